@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup
+from . import language_id, line_dedup, media_columns, mixing, sentencepiece_codec, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_media_columns": media_columns.op6_media_columns,
     "op7_language_id": language_id.op7_language_id,
 }
 
 ORACLES = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_mixing": mixing.OP3_SQL,
 }
