@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, media_columns, mixing, sentencepiece_codec, url_filter
+from . import html_extract, language_id, line_dedup, media_columns, mixing, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_media_columns": media_columns.op6_media_columns,
     "op7_language_id": language_id.op7_language_id,
+    "op8_html_extraction": html_extract.op8_html_extraction,
 }
 
 ORACLES = {
