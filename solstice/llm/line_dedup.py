@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE, ascii_lower, new_path
+from .shared import WHITE, ascii_lower, materialize, new_path
 
 
 def line_key(line: Column) -> Column:
@@ -51,7 +51,8 @@ class LineRuns:
 
     def _store(self, df: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
-        writer = df.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
+        # Dealt out by bucket first: one file for each, not one for each task and bucket.
+        writer = df.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
         writer.option("path", new_path(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
 
@@ -124,7 +125,8 @@ def dedup_lines(
         part = spark.read.schema(schema).parquet(staged).where(F.col("batch") == k)
         one = F.struct(F.col("doc_id").isNull(), "doc_id")  # counts a null id as well
         runs.add(part.groupBy("h1", "h2").agg(F.count_distinct(one).alias("n"), F.max("doc_id").alias("doc_id")))
-    common = runs.common(min_docs)
+    # A table of its own, so that the join below can split a line that very many documents have.
+    common = materialize(runs.common(min_docs), "common-lines")
     seen = spark.read.schema(schema).parquet(staged).select("doc_id", "h1", "h2").distinct()
     drops = (
         seen.join(common, ["h1", "h2"])
