@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, jaccard_join, language_id, line_dedup, media_columns, mixing, sentencepiece_codec, url_filter
+from . import embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, media_columns, mixing, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
 ORACLES = {
