@@ -95,9 +95,10 @@ class LineRuns:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Per row of docs: its id, lines array<string> (all), dropped array<boolean> (per line), kept string.
+    """Per row of docs: its id, the columns in keep, lines array<string> (all), dropped array<boolean> (per line), kept string.
 
     Lines whose key (see line_key) has min_chars code points and occurs in
     min_docs documents lose all their occurrences, except those in the document
@@ -110,7 +111,8 @@ def dedup_lines(
     are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keep = keep or []
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     cuts = sorted(set(docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
     batch = F.lit(len(cuts))
     for k, cut in reversed(list(enumerate(cuts))):
@@ -139,11 +141,11 @@ def dedup_lines(
     flags = F.when(F.col("drop").isNull(), F.transform("lines", lambda _: F.lit(False))).otherwise(
         F.transform(hash_lines(F.col("lines"), min_chars), lambda h: h.isNotNull() & F.coalesce(F.array_contains(F.col("drop"), h), F.lit(False)))
     )
-    joined = joined.select("doc_id", "text", "lines", flags.alias("dropped"))
+    joined = joined.select("doc_id", *keep, "text", "lines", flags.alias("dropped"))
     kept = F.when(~F.exists("dropped", lambda x: x), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.filter("lines", lambda _, i: ~F.get("dropped", i)), "\n")
     )
-    return joined.select("doc_id", "lines", "dropped", kept.alias("kept"))
+    return joined.select("doc_id", *keep, "lines", "dropped", kept.alias("kept"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
