@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, media_columns, mixing, sentencepiece_codec, url_filter
+from . import embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, media_columns, mixing, sentencepiece_codec, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_media_columns": media_columns.op6_media_columns,
     "op7_language_id": language_id.op7_language_id,
