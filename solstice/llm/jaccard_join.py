@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, shingle_sets
-from .shared import connected_components, materialize
+from .shared import arrow_batches, connected_components, materialize
 
 #: Bits of the filter that keeps documents without a candidate from being cut into n-grams again: a fixed 1 MB.
 FILTER_BITS = 1 << 23
 #: An n-gram in at least this part of the documents comes last in the global order.
 COMMON = 0.001
-#: So many of the shared n-grams after a branch's own are kept in the trie below it.
+#: So many of the shared n-grams after a branch's own are kept in the trie below it, and so many before it to tell repeats.
 DEPTH = 4
+#: Rounds in which sets are compared with one hub of each branch before the tries are searched.
+ROUNDS = 4
+#: Documents or pairs of sets that a task holds at once.
+BATCH = 1000
 #: A branch of more sets than this is divided by the sets' sizes.
 LARGE_BRANCH = 4000
 HOT = np.uint64(1 << 62)
@@ -110,7 +114,7 @@ def ordered(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def shared_prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(gram, pos, cls, n, hub): the prefix elements that at least two different sets have; hub is the smallest cls with it.
+    """(gram, pos, cls, n, size): the prefix elements that at least two different sets have, and how many do.
 
     Tasks pack what goes to a bucket into one row of NumPy arrays, each set once
     for a batch, so copies are joined before the shuffle. A bucket's task then
@@ -145,12 +149,12 @@ def shared_prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: in
         rows = rows[new]  # a set may come from several batches
         first = np.flatnonzero(np.append(True, rows["gram"][1:] != rows["gram"][:-1]))
         size = np.diff(np.append(first, len(rows)))
-        hub, size = np.repeat(rows["cls"][first], size), np.repeat(size, size)
+        size = np.repeat(size, size)
         keep = size > 1
-        return pa.table({k: rows[k][keep] for k in ("gram", "pos", "cls", "n")} | {"hub": hub[keep], "size": size[keep].astype(np.int64)})
+        return pa.table({k: rows[k][keep] for k in ("gram", "pos", "cls", "n")} | {"size": size[keep].astype(np.int64)})
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, rows binary")
-    return packed.groupBy("bucket").applyInArrow(sift, "gram long, pos int, cls long, n int, hub long, size long")
+    return packed.groupBy("bucket").applyInArrow(sift, "gram long, pos int, cls long, n int, size long")
 
 
 ROW = np.dtype([("gram", "<i8"), ("cls", "<i8"), ("pos", "<i4"), ("n", "<i4")])
@@ -171,7 +175,7 @@ class Trie:
         self.rest, self.small, self.label = 0, 1 << 62, None
 
     def insert(self, one: tuple) -> None:
-        """one: (cls, n, label, bits, pos, grams, places)."""
+        """one: (cls, n, label, bits, pos, grams, places, earlier)."""
         node, left = self, one[1] - one[4] - 1
         node.note(left, one)
         for gram, place in zip(one[5], one[6], strict=True):
@@ -190,7 +194,7 @@ class Trie:
         subtree is left when the overlap and the rest of either side can't reach
         the intersection needed for the smallest set below it.
         """
-        cls, n, label, bits, pos, grams, places = one
+        cls, n, label, bits, pos, grams, places, earlier = one
         todo = [(self, 0, 1, n - pos - 1)]
         while todo:
             node, k, overlap, rest = todo.pop()
@@ -198,7 +202,9 @@ class Trie:
                 continue
             for other in node.sets:
                 least = needed(n, other[1], percent)
-                if other[2] != label and least <= min(n, other[1]) and (n + other[1] - differing(bits, other[3])) // 2 >= least:
+                if other[2] == label or least > min(n, other[1]) or not earlier.isdisjoint(other[7]):
+                    continue  # with an earlier n-gram in common that one's branch gives the pair
+                if (n + other[1] - differing(bits, other[3])) // 2 >= least:
                     yield other
             for gram, child in node.children.items():
                 i = bisect_left(grams, gram, k)
@@ -251,15 +257,16 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     alive = shared.groupBy("gram").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("gram")
     alive = materialize(alive, "branches")
-    live = materialize(shared.join(alive, "gram"), "branch-rows")
+    live = shared.join(alive, "gram")
     lists = live.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("gram", "pos", "size"))).alias("s"), F.first("n").alias("n"), F.first("label").alias("label"))
     lists = lists.join(sets, "cls")
     band = bands(F.col("n"))
     rows = lists.select("cls", "n", "label", "bits", "s", F.posexplode("s").alias("k", "own"))
     rows = rows.select(
         F.col("own.gram").alias("gram"), "cls", "n", "label", "bits", F.col("own.pos").alias("pos"), F.slice("s", F.col("k") + 2, DEPTH).alias("next"),
+        F.slice("s", F.greatest(F.col("k") + 1 - DEPTH, F.lit(1)), F.least("k", F.lit(DEPTH))).alias("last"),
         F.explode(F.when(F.col("own.size") > LARGE_BRANCH, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))).alias("band"),
-    ).select("gram", "band", "cls", "n", "label", "bits", "pos", F.col("next.gram").alias("grams"), F.col("next.pos").alias("places"))
+    ).select("gram", "band", "cls", "n", "label", "bits", "pos", F.col("next.gram").alias("grams"), F.col("next.pos").alias("places"), F.col("last.gram").alias("earlier"))
 
     def run(batches):
         def all_rows():
@@ -268,7 +275,7 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         pairs: set[tuple[int, int]] = set()
         for (_, band), group in groupby(all_rows(), key=itemgetter(0, 1)):
-            group = [x[2:] for x in group]
+            group = [(*x[2:-1], frozenset(x[-1])) for x in group]
             if len(group) > 1:
                 pairs |= join_branch(group, band, percent)
             if len(pairs) > 100_000:
@@ -285,18 +292,16 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection.
+def gram_sets(wanted: DataFrame, docs: DataFrame, described: DataFrame, words: int) -> DataFrame:
+    """(cls, grams) of the wanted classes (cls).
 
-    Only documents of the pairs are cut into n-grams again: a bit map of a fixed
+    Only their documents are cut into n-grams again: a bit map of a fixed
     size over their ids leaves out most others, a join by class the rest.
     """
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     first = described.groupBy("cls").agg(F.min(F.xxhash64("id")).alias("key"))
-    slot = F.pmod("key", F.lit(FILTER_BITS)).cast("int")
+    slot = F.pmod("key", F.lit(FILTER_BITS))
+    maps = wanted.join(first, "cls").select(F.floor(slot / 32768).cast("int").alias("part"), (slot % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("m"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    shift = F.pmod("slot", F.lit(32768))
-    maps = wanted.join(first, "cls").select(slot.alias("slot")).select((F.col("slot") / 32768).cast("int").alias("part"), shift.cast("long").alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("m"))
     for part, m in maps.toArrow().to_pandas().itertuples(index=False):  # at most 256 rows of 4 kB
         bits[part * 4096 : part * 4096 + len(m)] |= np.frombuffer(m, np.uint8)
     flags = np.unpackbits(bits, bitorder="little").astype(bool)
@@ -313,7 +318,12 @@ def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, words: int
 
     sets = docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(cut, "cls long, grams binary")
     sets = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets, "gram-sets")
+    with arrow_batches(docs.sparkSession, BATCH):
+        return materialize(sets, "gram-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by exact intersection."""
 
     def test(batches):
         for batch in batches:
@@ -324,7 +334,28 @@ def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, words: int
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[:2], names=["a", "b"])
 
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    with arrow_batches(pairs.sparkSession, BATCH):
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "jaccard-links")
+
+
+def labelled(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """shared with `label`, the smallest class that links reach; and the components."""
+    if links is None:
+        return shared.withColumn("label", F.col("cls")), None
+    groups = materialize(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "cls"), "jaccard-labels")
+    return shared.join(groups, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component"), groups
+
+
+def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): sets and a hub of their branches with another label, where they share a good part of the set's prefix.
+
+    A branch's hub is the class of the least hash, another one each turn.
+    """
+    order = F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), "cls", "label")
+    hubs = rows.groupBy("gram").agg(F.min(order).alias("hub"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+    hubs = materialize(hubs.select("gram", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "jaccard-hubs")
+    met = rows.join(hubs, "gram").where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    return met.where("c >= 1 + n / 20").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, common: float = COMMON) -> DataFrame:
@@ -337,29 +368,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Sets are ordered globally by hash with common n-grams last. Linked sets share an n-gram
     of their prefixes; each shared one is a branch of a prefix tree, spread over tasks.
-    First each set is compared with the smallest class of its branches, which
+    First, in a few rounds, each set is compared with one hub of its branches, which
     joins large groups of near copies without their pairs; then the trie of each branch
     that still holds sets of several groups gives the other candidates.
 
     Repeated rows are rows of their own with equal sets. Of null ids, a component of
     nothing else has a null id. No rows give no rows. Other columns are ignored.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    described = materialize(describe(docs, words, common), "jaccard-rows")
+    with arrow_batches(spark, BATCH):
+        described = materialize(describe(docs, words, common), "jaccard-rows")
     hot = common_grams(described, common)
     described = described.select("id", "cls", "n", "bits")
-    shared = materialize(shared_prefixes(docs, hot, words, percent), "jaccard-prefixes")
-    # A set that shares a good part of its prefix with one hub is tried first.
-    star = shared.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= 1 + n / 20")
-    star = materialize(star.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "jaccard-star")
-    links = materialize(verified(star, docs, described, words, percent), "jaccard-links")
-    labels = materialize(links.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("to")), "jaccard-labels")
-    labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("to", "cls")).select("gram", "pos", "cls", "n", "size", "label")
+    with arrow_batches(spark, BATCH):
+        shared = materialize(shared_prefixes(docs, hot, words, percent), "jaccard-prefixes")
+    likely = shared.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= 1 + n / 20").select("cls")
+    likely = materialize(likely, "jaccard-likely")
+    grams = gram_sets(likely, docs, described, words)
+    links, rows = None, shared.withColumn("label", F.col("cls"))
+    for turn in range(ROUNDS):
+        pairs = materialize(hub_pairs(rows, turn), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, grams, percent)
+        links = found if links is None else links.unionByName(found)
+        rows, _ = labelled(shared, links)
     sets = materialize(described.groupBy("cls").agg(F.first("bits").alias("bits"), F.min("id").alias("id")), "jaccard-classes")
-    more = materialize(candidates(labelled, sets.select("cls", "bits"), percent), "jaccard-candidates")
-    links = links.unionByName(verified(more, docs, described, words, percent))
-    groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    groups = sets.select("cls", "id").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
+    more = materialize(candidates(rows, sets.select("cls", "bits"), percent), "jaccard-candidates")
+    wanted = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct().join(likely, "cls", "left_anti")
+    grams = grams.unionByName(gram_sets(materialize(wanted, "jaccard-wanted"), docs, described, words))
+    found = verified(more, grams, percent)
+    links = found if links is None else links.unionByName(found)
+    _, groups = labelled(shared, links)
+    groups = sets.select("cls", "id").join(groups, "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     least = groups.groupBy("group").agg(F.min("id").alias("component"))
     groups = materialize(groups.select("cls", "group").join(least, "group").select("cls", "component"), "jaccard-groups")
     out = described.select("id", "cls", "n").join(groups, "cls")
