@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import geometry_queries, relational_queries, series_queries
+
+_MODULES = (series_queries, relational_queries, geometry_queries)
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
