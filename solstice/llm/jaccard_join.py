@@ -211,8 +211,8 @@ class Trie:
                 left = n - places[i - 1] - 1 if i else rest
                 if i < len(grams) and grams[i] == gram:
                     todo.append((child, i + 1, overlap + 1, n - places[i] - 1))
-                else:
-                    todo.append((child, i, overlap, left))
+                else:  # behind the last n-gram that is known here there may be a match
+                    todo.append((child, i, overlap + (i == len(grams) == DEPTH), left))
 
 
 def join_branch(rows: list[tuple], band: int, percent: int) -> set[tuple[int, int]]:
