@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, row_slices, sums, text_bytes, windows
-from .shared import materialize
+from .shared import arrow_batches, materialize
 
 #: Texts are taken in slices of about so many bytes; positions in a slice have so many bits.
 SLICE, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
 #: Windows around a half string that is at more positions than this are dealt out one by one.
 LARGE = 50_000
+#: Texts that a task holds at once.
+BATCH = 1000
 SPOT = np.dtype([("half", "<u8"), ("key", "<i8"), ("at", "<i4"), ("more", "<i4")])
 
 
@@ -128,10 +130,9 @@ def contexts(texts: DataFrame, size: int, buckets: int) -> DataFrame:
             found: dict[bytes, tuple[list, list]] = {}
             for key, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = zlib.decompress(packed.as_py())
-                # Texts with one key are the same text; so each place may come several times.
-                for x in places:
-                    at, more = x["at"], x["more"]
-                    for a, m in [(at + d, 0) for d in range(more + 1)] if x["big"] else [(at, more)]:
+                # Equal rows have one key, and each of them brings the places of all.
+                for at, more, big in {(x["at"], x["more"], x["big"]) for x in places}:
+                    for a, m in [(at + d, 0) for d in range(more + 1)] if big else [(at, more)]:
                         keys, ats = found.setdefault(data[a : a + m + size], ([], []))
                         keys.append(key)
                         ats.append(a)
@@ -231,15 +232,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = repeated_spots(docs, size, large).groupBy("key").agg(F.collect_list(F.struct("at", "more", "big")).alias("places"))
-    # A key of several rows has its places once for each row: rows of equal text and id count as often as they occur.
-    places = materialize(places.withColumn("places", F.array_distinct("places")), "repeat-places")
-    texts = packed_texts(docs).join(places, "key").select("key", "packed", "places")
-    spans = repeats(contexts(texts, size, buckets), size)
-    spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "repeat-spans")
+    with arrow_batches(spark, BATCH):
+        places = repeated_spots(docs, size, large).groupBy("key").agg(F.collect_list(F.struct("at", "more", "big")).alias("places"))
+        places = materialize(places, "repeat-places")
+        texts = packed_texts(docs).join(places, "key").select("key", "packed", "places")
+        spans = repeats(contexts(texts, size, buckets), size)
+        spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "repeat-spans")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, BATCH) for whole in batches for a in range(0, whole.num_rows, BATCH)):
             n, gone, runs, rest = [], [], [], []
             for packed, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = zlib.decompress(packed.as_py())
