@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path
+from .shared import arrow_batches, materialize, new_path
 
 #: Payloads are padded to whole rows of so many samples; a shard ends after so many bytes.
 WIDTH, SHARD_BYTES = 192, 256 << 20
@@ -86,7 +86,7 @@ class ShardWriter:
         self.files.create_dir(self.folder)
         self.most, self.out, self.at, self.known = most, None, 0, {}
 
-    def add(self, digest: str, data: bytes) -> tuple[str, int]:
+    def add(self, digest: bytes, data: bytes) -> tuple[str, int]:
         """(shard, offset of the data)."""
         if digest in self.known:
             return self.known[digest]
@@ -96,7 +96,7 @@ class ShardWriter:
             context = TaskContext.get()
             self.name, self.at = f"{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}.tar", 0
             self.out = self.files.open_output_stream(f"{self.folder}/{self.name}")
-        info = tarfile.TarInfo(digest + ".png")
+        info = tarfile.TarInfo(digest.hex() + ".png")
         info.size = len(data)
         self.out.write(info.tobuf(tarfile.USTAR_FORMAT) + data + b"\0" * (-len(data) % 512))
         place = self.name, self.at + 512
@@ -115,7 +115,7 @@ class ShardWriter:
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Stores each row's text as an image in tar shards below folder, a URI that all executors share.
 
-    Returns per row: id, n_bytes, payload_sha256 (of the padded text), digest (of the
+    Returns per row: id, n_bytes, digest (SHA-256 of the
     stored image: its address), shard, offset, length. The payload is the text in UTF-8 with
     spaces up to a positive multiple of width; null is empty. No payload passes
     through a shuffle: each task writes its own shards, each payload once to a
@@ -131,18 +131,19 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 data = (text.as_py() or "").encode()
                 payload = pad(data, width)
                 media = to_png(payload, width)
-                digest = hashlib.sha256(media).hexdigest()
-                rows.append((len(data), hashlib.sha256(payload).hexdigest(), digest, *writer.add(digest, media), len(media)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                digest = hashlib.sha256(media).digest()
+                rows.append((len(data), digest, *writer.add(digest, media), len(media)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names=["id", *names])
         writer.close()
 
-    names = ["n_bytes", "payload_sha256", "digest", "shard", "offset", "length"]
+    names = ["n_bytes", "digest", "shard", "offset", "length"]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     # Written out, so that a lost executor never makes a shard be written again that rows point to already.
-    return materialize(rows.mapInArrow(run, f"id {kind}, n_bytes long, payload_sha256 string, digest string, shard string, offset long, length long"), "media-rows")
+    with arrow_batches(docs.sparkSession, 1000):
+        return materialize(rows.mapInArrow(run, f"id {kind}, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
 
 
 def places(stored: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def places(stored: DataFrame) -> DataFrame:
     return first.select("digest", "at.*").repartitionByRange(parts, "shard", "offset")
 
 
-def _read(folder: str, batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[str, bytes]]:
+def _read(folder: str, batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[bytes, bytes]]:
     """(digest, data) of each place; at most `most` bytes of each are read."""
     files, root = fs.FileSystem.from_uri(folder)
     name, file = None, None
@@ -176,12 +177,12 @@ def _rows(found: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iter
 
 def header_columns(at: DataFrame, folder: str) -> DataFrame:
     """Per place: digest, width, height, bits; only the first HEADER_BYTES bytes of each image are read."""
-    schema = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
+    schema = pa.schema([("digest", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
 
     def run(batches):
         yield from _rows(((d, *png_header(x)) for d, x in _read(folder, batches, HEADER_BYTES)), schema)
 
-    return at.select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, width int, height int, bits int")
+    return at.select("digest", "shard", "offset", "length").mapInArrow(run, "digest binary, width int, height int, bits int")
 
 
 def payload_columns(at: DataFrame, folder: str) -> DataFrame:
@@ -189,25 +190,25 @@ def payload_columns(at: DataFrame, folder: str) -> DataFrame:
 
     An image that is not what its digest says fails.
     """
-    schema = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("read_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+    schema = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("read_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
 
-    def one(digest: str, data: bytes) -> tuple:
-        if hashlib.sha256(data).hexdigest() != digest:
-            raise ValueError(f"stored bytes differ from their digest {digest}")
+    def one(digest: bytes, data: bytes) -> tuple:
+        if hashlib.sha256(data).digest() != digest:
+            raise ValueError(f"stored bytes differ from their digest {digest.hex()}")
         payload = from_png(data)
-        return digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature(payload)
+        return digest, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), feature(payload)
 
     def run(batches):
         yield from _rows((one(*x) for x in _read(folder, batches, None)), schema)
 
-    return at.select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, payload_bytes long, read_sha256 string, tail_crc32 long, feature string")
+    return at.select("digest", "shard", "offset", "length").mapInArrow(run, "digest binary, payload_bytes long, read_sha256 binary, tail_crc32 long, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, the place and digest of its stored image, and its metadata and payload columns.
 
-    Columns: id, n_bytes, payload_sha256, digest, shard, offset, length, width,
-    height, bits, payload_bytes, read_sha256, tail_crc32, feature. Null texts
+    Columns: id, n_bytes, digest, shard, offset, length, width, height, bits,
+    payload_bytes, read_sha256, tail_crc32, feature; both hashes in lower-case hexadecimal. Null texts
     are empty texts: one row of spaces. Repeated rows and equal texts share one
     place. No rows give no rows. Other columns of docs are ignored, whatever their names.
 
@@ -219,7 +220,8 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     at = materialize(places(stored), "media-places")
     found = at.join(header_columns(at, folder), "digest").join(payload_columns(at, folder), "digest")
     found = materialize(found.drop("length"), "media-found")
-    return stored.drop("shard", "offset").join(found, "digest")
+    out = stored.drop("shard", "offset").join(found, "digest")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "read_sha256")})
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
