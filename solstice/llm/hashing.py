@@ -78,7 +78,7 @@ def row_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def shingle_sets(column: pa.Array, words: int = 5, most: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, words: int = 5, most: int = 1 << 18) -> Iterator[np.ndarray]:
     """Per text the sorted distinct 62-bit hashes of its word shingles.
 
     Words are what is between the bytes SPACES, with A-Z lower-cased. A text of fewer words

@@ -270,15 +270,16 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         def all_rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for whole in batches:
+                for batch in (whole.slice(a, BATCH) for a in range(0, whole.num_rows, BATCH)):
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         pairs: set[tuple[int, int]] = set()
         for (_, band), group in groupby(all_rows(), key=itemgetter(0, 1)):
             group = [(*x[2:-1], frozenset(x[-1])) for x in group]
             if len(group) > 1:
                 pairs |= join_branch(group, band, percent)
-            if len(pairs) > 100_000:
+            if len(pairs) > 20_000:
                 yield out(pairs)
                 pairs = set()
         if pairs:
