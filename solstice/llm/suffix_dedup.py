@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,36 +121,48 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def contexts(texts: DataFrame, size: int, buckets: int) -> DataFrame:
-    """(bucket, context, members): the bytes that each repeated position stands for, and where they are.
+    """(bucket, context, key, at, stop): the bytes that each repeated position stands for, and where they are.
 
-    Equal contexts of a batch are one row with all its members (key, at), so copies are joined before the shuffle.
+    A context that a batch holds twice repeats for certain: it goes on once, without a key, and all its
+    places in the batch are rows without a context: merged runs of starts, `at` to `stop`. So a context
+    has a row for each batch at most, however often its texts repeat it.
     """
 
     def run(batches):
         for batch in batches:
-            found: dict[bytes, tuple[list, list]] = {}
+            found: dict[tuple[bytes, bool], list[tuple[int, int]]] = {}
             for key, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = zlib.decompress(packed.as_py())
                 # Equal rows have one key, and each of them brings the places of all.
                 for at, more, big in {(x["at"], x["more"], x["big"]) for x in places}:
                     for a, m in [(at + d, 0) for d in range(more + 1)] if big else [(at, more)]:
-                        keys, ats = found.setdefault(data[a : a + m + size], ([], []))
-                        keys.append(key)
-                        ats.append(a)
-            if found:
-                list_of = [[{"key": k, "at": a} for k, a in zip(*x, strict=True)] for x in found.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(list(found), size, buckets), pa.int32()), pa.array(list(found), pa.binary()), pa.array(list_of, pa.list_(member))], names=["bucket", "context", "members"])
-
-    member = pa.struct([("key", pa.int64()), ("at", pa.int32())])
-    return texts.mapInArrow(run, "bucket int, context binary, members array<struct<key:long,at:int>>")
+                        found.setdefault((data[a : a + m + size], big), []).append((key, a))
+            if not found:
+                continue
+            sure: dict[int, list[tuple[int, int]]] = {}
+            rows = []
+            for (context, _), members in found.items():
+                rows.append((context, *(members[0] if len(members) == 1 else (None, None)), None))
+                if len(members) > 1:
+                    for key, a in members:
+                        sure.setdefault(key, []).append((a, a + len(context) - size + 1))
+            bucket = bucket_of([x for x, _ in found], np.array([big for _, big in found]), size, buckets).tolist()
+            for key, spans in sure.items():
+                for a, b in removed_runs(spans):
+                    rows.append((None, key, a, b - 1))
+                    bucket.append(key % buckets)
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["bucket", "context", "key", "at", "stop"])
+
+    return texts.mapInArrow(run, "bucket int, context binary, key long, at int, stop int")
 
 
 def joined_bytes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
 
 
-def bucket_of(parts: list[bytes], size: int, buckets: int) -> np.ndarray:
-    """By the half string that the context's strings have in common."""
+def bucket_of(parts: list[bytes], big: np.ndarray, size: int, buckets: int) -> np.ndarray:
+    """By the half string that the context's strings have in common; of big ones by the whole string."""
     out = np.zeros(len(parts), np.int64)
     start = 0
     while start < len(parts):
@@ -160,7 +173,10 @@ def bucket_of(parts: list[bytes], size: int, buckets: int) -> np.ndarray:
         data, ends = joined_bytes(parts[start:end])
         half, text, _, _ = spots(data, ends, size)
         first = np.append(True, text[1:] != text[:-1])  # a context has one
-        out[start:end][text[first]] = (mix(half[first] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        rank = np.zeros(end - start, np.uint64)
+        rank[text[first]] = half[first]
+        rank = np.where(big[start:end], windows(sums(data), size)[ends[:-1]], rank)
+        out[start:end] = (mix(rank + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
         start = end
     return out
 
@@ -174,32 +190,32 @@ def repeats(found: DataFrame, size: int) -> DataFrame:
     half = size // 2
 
     def run(table: pa.Table) -> pa.Table:
-        parts = table.column("context").to_pylist()
-        members = table.column("members").to_pylist()
-        data, ends = joined_bytes(parts)
-        total = sums(data)
-        halves = windows(total, half)
+        sure = table.filter(pc.is_null(table["context"]))
+        table = table.filter(pc.is_valid(table["context"]))
+        data, ends = joined_bytes(table["context"].to_pylist())
+        known = pc.is_valid(table["key"]).to_numpy()
+        keys, places = (pc.fill_null(table[c], 0).to_numpy() for c in ("key", "at"))
+        halves = windows(sums(data), half)
         counts = np.diff(ends) - size + 1
-        owner = np.repeat(np.arange(len(parts)), counts)
+        owner = np.repeat(np.arange(len(counts)), counts)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = ends[owner] + offset
         low, high = halves[at], halves[at + size - half]
         order = np.lexsort((high, low))
         low, high = low[order], high[order]
-        first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-        copies = np.array([len(x) for x in members])[owner[order]]
-        together = np.add.reduceat(copies, first) if len(first) else first
+        first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)])
+        copies = np.where(known, 1, 2)[owner[order]]
         twice = np.zeros(len(owner), bool)
-        twice[order] = np.repeat(together > 1, np.diff(np.append(first, len(owner))))
-        begin = np.flatnonzero(twice & np.append(True, ~twice[:-1] | (owner[1:] != owner[:-1])))
-        stop = np.flatnonzero(twice & np.append(~twice[1:] | (owner[1:] != owner[:-1]), True))
-        key, a, b = [], [], []
-        for s, e in zip(begin.tolist(), stop.tolist(), strict=True):
-            for x in members[owner[s]]:
-                key.append(x["key"])
-                a.append(x["at"] + int(offset[s]))
-                b.append(x["at"] + int(offset[e]))
-        return pa.table({"key": pa.array(key, pa.int64()), "start": pa.array(a, pa.int32()), "stop": pa.array(b, pa.int32())})
+        if len(first):
+            twice[order] = np.repeat(np.add.reduceat(copies, first) > 1, np.diff(np.append(first, len(owner))))
+        twice &= known[owner]
+        other = owner[1:] != owner[:-1]
+        begin = np.flatnonzero(twice & np.append(True, ~twice[:-1] | other)[: len(owner)])
+        stop = np.flatnonzero(twice & np.append(~twice[1:] | other, True)[: len(owner)])
+        key = np.concatenate([keys[owner[begin]], sure["key"].to_numpy()])
+        start = np.concatenate([places[owner[begin]] + offset[begin], sure["at"].to_numpy()])
+        end = np.concatenate([places[owner[stop]] + offset[stop], sure["stop"].to_numpy()])
+        return pa.table({"key": pa.array(key, pa.int64()), "start": pa.array(start.astype(np.int32)), "stop": pa.array(end.astype(np.int32))})
 
     return found.groupBy("bucket").applyInArrow(run, "key long, start int, stop int")
 
