@@ -220,3 +220,15 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP10_SQL = """
+with recursive v as (
+    select vec_id, embedding::double[] as e from embeddings
+    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9
+), reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links, m.component_id, e.vec_id = m.component_id as kept
+from embeddings e join (select a as vec_id, min(b) as component_id from reach group by a) m using (vec_id)
+"""

@@ -412,3 +412,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP9_SQL = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), g as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from g group by doc_id), links as (
+    select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+    having 100 * count(*) >= 80 * ((select n from n where n.doc_id = a.doc_id) + (select n from n where n.doc_id = b.doc_id) - count(*))
+), reach as (
+    select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m.component_id
+from documents d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by a) m using (doc_id)
+"""

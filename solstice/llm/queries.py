@@ -20,4 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
+    "op10_embedding_dedup": embedding_dedup.OP10_SQL,
 }

@@ -215,7 +215,8 @@ def test_sql_of_the_registered_queries(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()
         columns = sorted(want.columns)
