@@ -23,7 +23,7 @@ COMMON = 0.001
 #: So many of the shared n-grams after a branch's own are kept in the trie below it, and so many before it to tell repeats.
 DEPTH = 4
 #: Rounds in which sets are compared with one hub of each branch before the tries are searched.
-ROUNDS = 4
+ROUNDS = 10
 #: Documents or pairs of sets that a task holds at once.
 BATCH = 1000
 #: A branch of more sets than this is divided by the sets' sizes.
@@ -339,24 +339,46 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return materialize(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "jaccard-links")
 
 
-def labelled(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """shared with `label`, the smallest class that links reach; and the components."""
-    if links is None:
-        return shared.withColumn("label", F.col("cls")), None
-    groups = materialize(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "cls"), "jaccard-labels")
-    return shared.join(groups, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component"), groups
+def near_labels(links: DataFrame) -> DataFrame:
+    """(cls, label): of each linked class the smallest one within two links; a cheap part of its component."""
+    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    one = materialize(both.groupBy("cls").agg(F.min(F.least("cls", "other")).alias("label")), "jaccard-labels")
+    two = both.join(one.select(F.col("cls").alias("other"), "label"), "other").groupBy("cls").agg(F.min("label").alias("label"))
+    return materialize(two, "jaccard-labels")
 
 
-def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): sets and a hub of their branches with another label, where they share a good part of the set's prefix.
+def hub_links(shared: DataFrame, likely: DataFrame, grams: DataFrame, percent: int, rounds: int) -> DataFrame | None:
+    """Links (a, b) between sets and hubs of their branches, found in rounds; None if there was nothing to compare.
 
-    A branch's hub is the class of the least hash, another one each turn.
+    A branch's hub is the class of the least hash, another one each round. A
+    set is compared with a hub of another label where it shares a good part of its prefix
+    with it. Branches whose sets have one label by then are left, so the rounds get ever smaller.
     """
-    order = F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), "cls", "label")
-    hubs = rows.groupBy("gram").agg(F.min(order).alias("hub"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
-    hubs = materialize(hubs.select("gram", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "jaccard-hubs")
-    met = rows.join(hubs, "gram").where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    return met.where("c >= 1 + n / 20").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+    links = labels = None
+    rows = materialize(shared.join(likely, "cls", "left_semi").select("gram", "cls", "n"), "jaccard-hub-rows")
+    for turn in range(rounds):
+        if labels is not None:
+            rows = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        else:
+            rows = rows.withColumn("label", F.col("cls"))
+        hubs = rows.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), "cls", "label")).alias("hub"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+        hubs = materialize(hubs.select("gram", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "jaccard-hubs")
+        met = materialize(rows.join(hubs, "gram"), "jaccard-hub-rows")
+        pairs = met.where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= 1 + n / 20")
+        pairs = materialize(pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, grams, percent)
+        links = found if links is None else links.unionByName(found)
+        labels = near_labels(links)
+        rows = met.select("gram", "cls", "n")
+    return links
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(cls, component) of the classes that have links."""
+    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return materialize(found.withColumnRenamed("id", "cls"), "jaccard-components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, common: float = COMMON) -> DataFrame:
@@ -369,7 +391,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Sets are ordered globally by hash with common n-grams last. Linked sets share an n-gram
     of their prefixes; each shared one is a branch of a prefix tree, spread over tasks.
-    First, in a few rounds, each set is compared with one hub of its branches, which
+    First, in rounds, each set is compared with one hub of its branches, which
     joins large groups of near copies without their pairs; then the trie of each branch
     that still holds sets of several groups gives the other candidates.
 
@@ -387,22 +409,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     likely = shared.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= 1 + n / 20").select("cls")
     likely = materialize(likely, "jaccard-likely")
     grams = gram_sets(likely, docs, described, words)
-    links, rows = None, shared.withColumn("label", F.col("cls"))
-    for turn in range(ROUNDS):
-        pairs = materialize(hub_pairs(rows, turn), "jaccard-pairs")
-        if pairs.isEmpty():
-            break
-        found = verified(pairs, grams, percent)
-        links = found if links is None else links.unionByName(found)
-        rows, _ = labelled(shared, links)
+    links = hub_links(shared, likely, grams, percent, ROUNDS)
+    rows = shared.withColumn("label", F.col("cls"))
+    if links is not None:
+        rows = shared.join(components(links), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
     sets = materialize(described.groupBy("cls").agg(F.first("bits").alias("bits"), F.min("id").alias("id")), "jaccard-classes")
     more = materialize(candidates(rows, sets.select("cls", "bits"), percent), "jaccard-candidates")
     wanted = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct().join(likely, "cls", "left_anti")
     grams = grams.unionByName(gram_sets(materialize(wanted, "jaccard-wanted"), docs, described, words))
     found = verified(more, grams, percent)
     links = found if links is None else links.unionByName(found)
-    _, groups = labelled(shared, links)
-    groups = sets.select("cls", "id").join(groups, "cls", "left").withColumn("group", F.coalesce("component", "cls"))
+    groups = sets.select("cls", "id").join(components(links), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     least = groups.groupBy("group").agg(F.min("id").alias("component"))
     groups = materialize(groups.select("cls", "group").join(least, "group").select("cls", "component"), "jaccard-groups")
     out = described.select("id", "cls", "n").join(groups, "cls")
