@@ -256,7 +256,7 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     gets that band and the one below.
     """
     alive = shared.groupBy("gram").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("gram")
-    alive = materialize(alive, "branches")
+    alive = materialize(alive, "branches", narrow=True)
     live = shared.join(alive, "gram")
     lists = live.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("gram", "pos", "size"))).alias("s"), F.first("n").alias("n"), F.first("label").alias("label"))
     lists = lists.join(sets, "cls")
@@ -342,9 +342,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_labels(links: DataFrame) -> DataFrame:
     """(cls, label): of each linked class the smallest one within two links; a cheap part of its component."""
     both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-    one = materialize(both.groupBy("cls").agg(F.min(F.least("cls", "other")).alias("label")), "jaccard-labels")
+    one = materialize(both.groupBy("cls").agg(F.min(F.least("cls", "other")).alias("label")), "jaccard-labels", narrow=True)
     two = both.join(one.select(F.col("cls").alias("other"), "label"), "other").groupBy("cls").agg(F.min("label").alias("label"))
-    return materialize(two, "jaccard-labels")
+    return materialize(two, "jaccard-labels", narrow=True)
 
 
 def hub_links(shared: DataFrame, likely: DataFrame, grams: DataFrame, percent: int, rounds: int) -> DataFrame | None:
@@ -362,10 +362,10 @@ def hub_links(shared: DataFrame, likely: DataFrame, grams: DataFrame, percent: i
         else:
             rows = rows.withColumn("label", F.col("cls"))
         hubs = rows.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), "cls", "label")).alias("hub"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
-        hubs = materialize(hubs.select("gram", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "jaccard-hubs")
+        hubs = materialize(hubs.select("gram", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label")), "jaccard-hubs", narrow=True)
         met = materialize(rows.join(hubs, "gram"), "jaccard-hub-rows")
         pairs = met.where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= 1 + n / 20")
-        pairs = materialize(pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "jaccard-pairs")
+        pairs = materialize(pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "jaccard-pairs", narrow=True)
         if pairs.isEmpty():
             break
         found = verified(pairs, grams, percent)
@@ -378,7 +378,7 @@ def hub_links(shared: DataFrame, likely: DataFrame, grams: DataFrame, percent: i
 def components(links: DataFrame) -> DataFrame:
     """(cls, component) of the classes that have links."""
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return materialize(found.withColumnRenamed("id", "cls"), "jaccard-components")
+    return materialize(found.withColumnRenamed("id", "cls"), "jaccard-components", narrow=True)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, common: float = COMMON) -> DataFrame:
@@ -407,16 +407,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with arrow_batches(spark, BATCH):
         shared = materialize(shared_prefixes(docs, hot, words, percent), "jaccard-prefixes")
     likely = shared.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c >= 1 + n / 20").select("cls")
-    likely = materialize(likely, "jaccard-likely")
+    likely = materialize(likely, "jaccard-likely", narrow=True)
     grams = gram_sets(likely, docs, described, words)
     links = hub_links(shared, likely, grams, percent, ROUNDS)
     rows = shared.withColumn("label", F.col("cls"))
     if links is not None:
         rows = shared.join(components(links), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
     sets = materialize(described.groupBy("cls").agg(F.first("bits").alias("bits"), F.min("id").alias("id")), "jaccard-classes")
-    more = materialize(candidates(rows, sets.select("cls", "bits"), percent), "jaccard-candidates")
+    more = materialize(candidates(rows, sets.select("cls", "bits"), percent), "jaccard-candidates", narrow=True)
     wanted = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct().join(likely, "cls", "left_anti")
-    grams = grams.unionByName(gram_sets(materialize(wanted, "jaccard-wanted"), docs, described, words))
+    grams = grams.unionByName(gram_sets(materialize(wanted, "jaccard-wanted", narrow=True), docs, described, words))
     found = verified(more, grams, percent)
     links = found if links is None else links.unionByName(found)
     groups = sets.select("cls", "id").join(components(links), "cls", "left").withColumn("group", F.coalesce("component", "cls"))

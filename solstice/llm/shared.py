@@ -33,9 +33,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it back.
+
+    narrow: rows are few and short for the session's shuffle partitions (a pair of ids for
+    some of the documents), so a sixteenth of the tasks writes them, in as many files.
+    """
     path = new_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,7 +78,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     now = materialize(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(),
-        "edges",
+        "edges", narrow=True,
     )
     before = None
     for _ in range(rounds):
@@ -81,10 +87,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         # an edge to the own minimum is kept by its larger end
         down = least.where("m < u").select("u", F.col("m").alias("v"))
-        large = materialize(large.unionByName(down).distinct(), "large")
+        large = materialize(large.unionByName(down).distinct(), "large", narrow=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(v.alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
