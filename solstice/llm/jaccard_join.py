@@ -208,11 +208,12 @@ class Trie:
                     yield other
             for gram, child in node.children.items():
                 i = bisect_left(grams, gram, k)
-                left = n - places[i - 1] - 1 if i else rest
+                left = n - places[i - 1] - 1 if i > k else rest
                 if i < len(grams) and grams[i] == gram:
                     todo.append((child, i + 1, overlap + 1, n - places[i] - 1))
-                else:  # behind the last n-gram that is known here there may be a match
-                    todo.append((child, i, overlap + (i == len(grams) == DEPTH), left))
+                else:  # behind the last n-gram that is known here, be the list full or the prefix at its end, there may be a match
+                    match = i == len(grams)
+                    todo.append((child, i, overlap + match, left - match))
 
 
 def join_branch(rows: list[tuple], band: int, percent: int) -> set[tuple[int, int]]:

@@ -135,6 +135,24 @@ def test_tries_alone_find_all_links(spark, monkeypatch, rounds, large):
     assert collected(jaccard_join.jaccard_components(docs), "id", "n", "component") == components(rows)
 
 
+def test_tries_find_sets_of_unequal_sizes(spark, monkeypatch):
+    """Sets of 5 to 40 n-grams and the same with a few more, besides sets that share n-grams of their prefixes but don't link."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    rng = random.Random(11)
+    texts = []
+    for k in range(100):
+        base = [f"b{k}.{i}" for i in range(rng.randrange(9, 45))]
+        more = [f"m{k}.{i}" for i in range((len(base) - 4) // 4)]
+        texts += [base, base + more]
+        for at in range(0, len(base) - 4, 7):
+            texts.append([f"o{k}.{at}.{i}" for i in range(len(base))] + base[at : at + 11])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(rows)
+    assert collected(jaccard_join.jaccard_components(docs, common=1.0), "id", "n", "component") == want
+    assert sum(i != c for i, _, c in want) >= 100
+
+
 def test_jaccard_of_no_documents(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, None), (3, " ")], "doc_id long, text string")
