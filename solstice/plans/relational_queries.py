@@ -121,6 +121,15 @@ MEDOID = """with c as (select label, vec_id, embedding::double[] as v from embed
 select label, vec_id, round(m, 6) as median_distance, consistent, n, consistent >= greatest(1, case when n > 1 then n // 2 + 1 else 1 end) as accepted from r where k = 1"""
 
 
+def medoid_blocks(spark, d) -> DataFrame:
+    """All vectors: those of a label among 120 neighbouring ids are a group of candidate fits."""
+    group = F.struct("label", F.floor(F.col("vec_id") / 120).alias("block"))
+    e = table(spark, d, "embeddings").select(group.alias("fits"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    square = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    out = matching.medoid(e, "fits", "vec_id", lambda a, b: F.round(F.sqrt(square), 9), 1.4)
+    return out.select("fits.label", "fits.block", "vec_id", F.round("median_distance", 6).alias("median_distance"), "consistent", "n", "accepted")
+
+
 def _rays(spark, d) -> DataFrame:
     """The first three parts of neighbouring vectors of a label as pairs of directions."""
     e = table(spark, d, "embeddings")
@@ -202,7 +211,7 @@ select case when rate = 0 then 'absent' when rate > 50 then 'too many' when v %
 QUERIES = {
     "contract_single_valued": contract_single_valued, "adapter_lookup_unknowns": adapter_lookup_unknowns, "mode_resolution": mode_resolution, "option_violations": option_violations,
     "resume_semi": resume_semi, "resume_anti": resume_anti, "path_collisions": path_collisions, "set_difference_fields": set_difference_fields, "edge_identity_hash": edge_identity_hash,
-    "nearest2_ratio_test": nearest2_ratio_test, "medoid_consensus": medoid_consensus, "kabsch_moments": kabsch_moments, "kabsch_rotation": kabsch_rotation,
+    "nearest2_ratio_test": nearest2_ratio_test, "medoid_consensus": medoid_consensus, "medoid_blocks": medoid_blocks, "kabsch_moments": kabsch_moments, "kabsch_rotation": kabsch_rotation,
     "sector_log_ratio_median": sector_log_ratio, "audio_sample_windows": audio_sample_windows, "manifest_explode": manifest_explode, "audio_contract": audio_contract,
 }
 ORACLES = {

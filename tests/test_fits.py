@@ -114,3 +114,21 @@ def test_medoid_needs_a_majority(spark):
     fits = spark.createDataFrame(rows, "grp string, item long, v double")
     out = {r.grp: r for r in matching.medoid(fits, "grp", "item", lambda a, b: F.abs(F.col("a.v") - F.col("b.v")), 0.75).collect()}
     assert (out["a"]["item"], out["a"].consistent, out["a"].accepted) == (1, 2, True) and not out["b"].accepted and out["c"].accepted
+
+
+def test_medoids_of_all_vectors_equal_brute_force(spark):
+    from solstice.plans import relational_queries
+
+    sf = "/root/testdata/sf0.01"
+    groups = {}
+    for x in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        groups.setdefault((x.label, x.vec_id // 120), []).append((x.vec_id, np.array(x.embedding, float)))
+    out = {(x.label, x.block): x for x in relational_queries.medoid_blocks(spark, sf).collect()}
+    assert out.keys() == groups.keys() and sum(x.n for x in out.values()) == sum(map(len, groups.values())) == 500
+    for key, items in groups.items():
+        d = np.array([[round(float(np.linalg.norm(v - w)), 9) for _, w in items] for _, v in items])
+        middle, best = min((round(float(np.median(row)), 9), i) for (i, _), row in zip(items, d))
+        near = int((d[[i for i, _ in items].index(best)] <= 1.4).sum())
+        x = out[key]
+        assert (x.vec_id, x.n, x.consistent, x.accepted) == (best, len(items), near, near > len(items) // 2 or len(items) == 1)
+        assert x.median_distance == pytest.approx(middle, abs=2e-6)
