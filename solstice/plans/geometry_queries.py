@@ -106,14 +106,14 @@ select line, round(a / nullif(a + b, 0), 6) as w0, round(b / nullif(a + b, 0), 6
 
 
 def ransac_rotation(spark, d) -> DataFrame:
-    """Directions of each label and the same ones turned, a quarter of them wrong: a robust fit per label."""
+    """Directions of each label and the same ones turned, a quarter of them wrong: a robust fit per label and block of 500 ids, as of a frame pair."""
     e = table(spark, d, "embeddings")
     x, y, z = (F.element_at("embedding", k).cast("double") for k in (1, 2, 3))
     n = F.sqrt(x * x + y * y + z * z)
-    e = e.where(n > 0).select("label", "vec_id", (x / n).alias("ax"), (y / n).alias("ay"), (z / n).alias("az"))
+    e = e.where(n > 0).select("label", F.floor(F.col("vec_id") / 500).alias("block"), "vec_id", (x / n).alias("ax"), (y / n).alias("ay"), (z / n).alias("az"))
     c, s, wrong = math.cos(0.4), math.sin(0.4), F.col("vec_id") % 4 == 0
-    pairs = e.select("label", "ax", "ay", "az", F.when(wrong, F.col("az")).otherwise(F.col("ax") * c - F.col("ay") * s).alias("bx"), F.when(wrong, F.col("ax")).otherwise(F.col("ax") * s + F.col("ay") * c).alias("by"), F.when(wrong, F.col("ay")).otherwise(F.col("az")).alias("bz"))
-    return matching.fit_robust_rotations(pairs, "label", iterations=60)
+    pairs = e.select("label", "block", "ax", "ay", "az", F.when(wrong, F.col("az")).otherwise(F.col("ax") * c - F.col("ay") * s).alias("bx"), F.when(wrong, F.col("ax")).otherwise(F.col("ax") * s + F.col("ay") * c).alias("by"), F.when(wrong, F.col("ay")).otherwise(F.col("az")).alias("bz"))
+    return matching.fit_robust_rotations(pairs, ["label", "block"], iterations=3000)
 
 
 def closed_path_dp(spark, d) -> DataFrame:

@@ -116,6 +116,38 @@ def test_medoid_needs_a_majority(spark):
     assert (out["a"]["item"], out["a"].consistent, out["a"].accepted) == (1, 2, True) and not out["b"].accepted and out["c"].accepted
 
 
+def test_robust_rotation_among_many_outliers(spark):
+    rng = np.random.default_rng(9)
+    r, rows = turn([0.6, 0, 0.8], 0.7), []
+    for g in range(20):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 100, 3)))
+        b[:15] = a[:15] @ r.T
+        rows += [(g, g % 3, *map(float, x), *map(float, y)) for x, y in zip(a, b)]
+    pairs = spark.createDataFrame(rows, "grp long, part int, ax double, ay double, az double, bx double, by double, bz double")
+    out = matching.fit_robust_rotations(pairs, "grp").collect()
+    assert len(out) == 20 and all(x.status == "fitted" and x.inliers >= 15 and np.allclose(np.reshape(x.rotation, (3, 3)), r, atol=0.02) for x in out)
+    both = matching.fit_robust_rotations(pairs, ["grp", "part"], iterations=3000).collect()
+    assert sorted((x.grp, x.part, x.inliers) for x in both) == sorted((x.grp, x.grp % 3, x.inliers) for x in out)
+
+
+def test_random_triples_are_different():
+    picks = matching.random_triples(4, 6000, 1)
+    assert picks.min() == 0 and picks.max() == 3 and all(len(set(p)) == 3 for p in picks.tolist())
+    assert np.unique(picks, axis=0, return_counts=True)[1].min() > 150 and len(np.unique(picks, axis=0)) == 24
+
+
+def test_robust_rotation_query_fits_small_groups_of_all_rows(spark):
+    from solstice.plans import geometry_queries
+
+    sf, right = "/root/testdata/sf0.1", {}
+    for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "vec_id").collect():
+        right.setdefault((x.label, x.vec_id // 500), []).append(x.vec_id % 4 != 0)
+    out = {(x.label, x.block): x for x in geometry_queries.ransac_rotation(spark, sf).collect()}
+    assert out.keys() == right.keys() and all(out[k].pairs == len(v) <= 500 for k, v in right.items()) and sum(map(len, right.values())) == 2000
+    for k, v in right.items():  # the wrong ones of a group are turned alike
+        assert out[k].inliers >= max(sum(v), len(v) - sum(v)) or out[k].status == "rejected" and len(v) < 12
+
+
 def test_medoids_of_all_vectors_equal_brute_force(spark):
     from solstice.plans import relational_queries
 
