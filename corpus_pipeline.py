@@ -13,12 +13,12 @@ from solstice.llm import jaccard_join, language_id, line_dedup, mixing, sentence
 from solstice.llm.shared import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Three standard deviations of the cosine of unrelated vectors with 1024 parts: less is no sign of any language.
-LEAST_SCORE = 0.1
+#: The least score that stays: any. A short text has few of its language's n-grams, so a low cosine doesn't tell that it is in none.
+LEAST_SCORE = 0.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are like no language: those without a letter and those whose score is what chance gives.
+    """Rejects documents without a letter, null texts among them.
 
     The languages are learned from the documents that are not held out. If none
     has a language, only null texts and texts without letters could be told; nothing is rejected then.
@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not prototypes:
         return docs.select(*COLUMNS)
     told = language_id.identify(docs, prototypes, keep=[x for x in COLUMNS if x != "doc_id"])
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return told.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,6 +246,20 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == sorted(r.doc_id for r in mixed.select("doc_id").collect())
 
 
+def test_language_stage_keeps_short_clean_texts(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    short = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 200 or doc_id % 5 = 0 or text is null")
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, short, sf).collect()}
+    rows = short.collect()
+    assert kept == {r.doc_id for r in rows if any(c.isalpha() for c in r.text or "")}
+    extra = [(10**9 + k, t, "en", "s", len(t)) for k, t in enumerate(["Avec.", "Edrere.", "A.", "Qx", "Zyzzyva."])] + [(10**9 + 9, "12 - 3.", "en", "s", 7), (10**9 + 10, None, "en", "s", 0)]
+    more = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language_stage(spark, short.select(*corpus_pipeline.COLUMNS).unionByName(more.select(*corpus_pipeline.COLUMNS)), sf)
+    assert {r.doc_id for r in out.where("doc_id >= 1000000000").collect()} == {10**9 + k for k in range(5)}
+
+
 def test_pipeline_of_no_documents(spark):
     import corpus_pipeline
 
