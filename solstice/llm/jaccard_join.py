@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, takewhile
 from operator import itemgetter
 
 import numpy as np
@@ -220,7 +220,7 @@ def join_branch(rows: list[tuple], band: int, percent: int) -> set[tuple[int, in
     """Candidate pairs of one branch. Sets are inserted by size, so each is compared with those inserted before."""
     pairs, roots = set(), {}
     for one in sorted(rows, key=itemgetter(1, 0)):
-        home = size_band(one[1])
+        home = size_band(one[1], percent)
         for near in (home - 1, home):  # sets of linked sizes are in the same or in neighbouring bands
             if near in roots and (band < 0 or home == band):
                 pairs.update((min(one[0], x[0]), max(one[0], x[0])) for x in roots[near].find(one, percent))
@@ -228,24 +228,26 @@ def join_branch(rows: list[tuple], band: int, percent: int) -> set[tuple[int, in
     return pairs
 
 
-def size_band(n: int) -> int:
-    """Bands of sizes, each a quarter more than the one before, found by whole numbers so that all machines agree."""
-    band, top = 0, 1
-    while n > top:
-        top += top // 4 + 1
-        band += 1
-    return band
+def band_tops(percent: int) -> Iterator[int]:
+    """The largest size of each band, found by whole numbers so that all machines agree.
+
+    Each is more than 100 / percent of the one before, and a quarter more at least.
+    """
+    top, percent = 1, min(percent, 80)
+    while True:
+        yield top
+        top += top * (100 - percent) // percent + 1
 
 
-size_band = functools.lru_cache(maxsize=1 << 16)(size_band)
+@functools.lru_cache(maxsize=1 << 16)
+def size_band(n: int, percent: int) -> int:
+    """The band of a size. Linked sizes are in the same or in neighbouring bands."""
+    return next(band for band, top in enumerate(band_tops(percent)) if n <= top)
 
 
-def bands(n):
+def bands(n, percent: int):
     """size_band() of a column, as a comparison with its bounds."""
-    tops, top = [], 1
-    while top < 1 << 31:
-        tops.append(top)
-        top += top // 4 + 1
+    tops = takewhile(lambda top: top < 1 << 31, band_tops(percent))
     return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in tops]), lambda x: n > x))
 
 
@@ -261,7 +263,7 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     live = shared.join(alive, "gram")
     lists = live.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("gram", "pos", "size"))).alias("s"), F.first("n").alias("n"), F.first("label").alias("label"))
     lists = lists.join(sets, "cls")
-    band = bands(F.col("n"))
+    band = bands(F.col("n"), percent)
     rows = lists.select("cls", "n", "label", "bits", "s", F.posexplode("s").alias("k", "own"))
     rows = rows.select(
         F.col("own.gram").alias("gram"), "cls", "n", "label", "bits", F.col("own.pos").alias("pos"), F.slice("s", F.col("k") + 2, DEPTH).alias("next"),

@@ -153,6 +153,31 @@ def test_tries_find_sets_of_unequal_sizes(spark, monkeypatch):
     assert sum(i != c for i, _, c in want) >= 100
 
 
+@pytest.mark.parametrize("large", [4000, 3])
+def test_jaccard_of_another_percent(spark, monkeypatch, large):
+    """Contained sets of a bit over half the size link at 50 per cent; a size band that is a quarter wide would be skipped."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "LARGE_BRANCH", large)
+    rng = random.Random(large)
+    texts = []
+    for k in range(12):
+        base = [f"b{k}.{i}" for i in range(rng.randrange(30, 120))]
+        texts += [base[: 4 + -(-(len(base) - 4) * p // 100)] for p in (100, 70, 52, 45)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = dict(brute_sets(rows))
+    least = {}
+    for i in sets:  # of contained sets the smallest id is the largest set
+        least[i] = min(least.get(j, j) for j in sets if j <= i and 100 * len(sets[i] & sets[j]) >= 50 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collected(jaccard_join.jaccard_components(docs, percent=50, common=1.0), "id", "component")
+    assert got == sorted(least.items())
+
+
+@pytest.mark.parametrize("percent", [5, 30, 50, 70, 80, 95, 100])
+def test_linked_sizes_are_in_neighbouring_bands(percent):
+    assert all(jaccard_join.size_band(100 * n // percent, percent) - jaccard_join.size_band(n, percent) <= 1 for n in range(1, 3000))
+
+
 def test_jaccard_of_no_documents(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, None), (3, " ")], "doc_id long, text string")
