@@ -116,12 +116,12 @@ def test_jaccard_equals_brute_force(spark):
     assert len({c for _, _, c in want}) < len(want) - 10
 
 
-@pytest.mark.parametrize("rounds, large", [(0, 4000), (1, 3)])
-def test_tries_alone_find_all_links(spark, monkeypatch, rounds, large):
-    """Random near copies, chains included, by the tries with few or no hub rounds and with branches divided by size."""
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccard_join, "LARGE_BRANCH", large)
-    rng = random.Random(rounds)
+@pytest.mark.parametrize("first, part, leaf, depth", [(0, 500, 8, 64), (8, 3, 1, 2), (0, 4, 1, 64), (0, 500, 1, 3)])
+def test_tries_alone_find_all_links(spark, monkeypatch, first, part, leaf, depth):
+    """Random near copies, chains included, by the tries with or without hubs, with branches in many parts and with tries of any depth."""
+    for name, value in (("FIRST", first), ("PART", part), ("LEAF", leaf), ("DEPTH", depth)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(first)
     rows, base = [], [f"v{rng.randrange(60)}" for _ in range(70)]
     for k in range(40):
         if k % 8 == 0:
@@ -137,7 +137,8 @@ def test_tries_alone_find_all_links(spark, monkeypatch, rounds, large):
 
 def test_tries_find_sets_of_unequal_sizes(spark, monkeypatch):
     """Sets of 5 to 40 n-grams and the same with a few more, besides sets that share n-grams of their prefixes but don't link."""
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "FIRST", 0)
+    monkeypatch.setattr(jaccard_join, "LEAF", 1)
     rng = random.Random(11)
     texts = []
     for k in range(100):
@@ -156,8 +157,8 @@ def test_tries_find_sets_of_unequal_sizes(spark, monkeypatch):
 @pytest.mark.parametrize("large", [4000, 3])
 def test_jaccard_of_another_percent(spark, monkeypatch, large):
     """Contained sets of a bit over half the size link at 50 per cent; a size band that is a quarter wide would be skipped."""
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
-    monkeypatch.setattr(jaccard_join, "LARGE_BRANCH", large)
+    monkeypatch.setattr(jaccard_join, "FIRST", 0)
+    monkeypatch.setattr(jaccard_join, "PART", large)
     rng = random.Random(large)
     texts = []
     for k in range(12):
