@@ -78,6 +78,32 @@ def row_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def word_pieces(text: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in pieces of about `most` bytes that end between words."""
+    start = 0
+    while start < len(text):
+        end = start + most
+        while end < len(text) and not (gap := SPACES[end : end + most]).any():
+            end += most  # a very long word
+        end = min(len(text), end + int(gap.argmax())) if end < len(text) else len(text)
+        yield text[start:end]
+        start = end
+
+
+def word_hashes(part: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of joined texts (text r is part[ends[r]:ends[r + 1]]), and how many words lie before each end."""
+    total = sums(part, LOWER_VALUES)
+    solid = ~SPACES[part]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    filled = ends[:-1] < ends[1:]
+    first[ends[:-1][filled]] = solid[ends[:-1][filled]]  # a text ends the word before it
+    last[ends[1:][filled] - 1] = solid[ends[1:][filled] - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return mix((total[stops] - total[starts]) * powers(len(total))[1][starts]), np.searchsorted(starts, ends)
+
+
 def shingle_sets(column: pa.Array, words: int = 5, most: int = 1 << 18) -> Iterator[np.ndarray]:
     """Per text the sorted distinct 62-bit hashes of its word shingles.
 
@@ -88,17 +114,11 @@ def shingle_sets(column: pa.Array, words: int = 5, most: int = 1 << 18) -> Itera
     for a, b in row_slices(offsets, most):
         low = offsets[a]
         part, ends = data[low : offsets[b]], offsets[a : b + 1] - low
-        total = sums(part, LOWER_VALUES)
-        solid = ~SPACES[part]
-        first, last = solid.copy(), solid.copy()
-        first[1:] &= ~solid[:-1]
-        last[:-1] &= ~solid[1:]
-        filled = ends[:-1] < ends[1:]
-        first[ends[:-1][filled]] = solid[ends[:-1][filled]]  # a text ends the word before it
-        last[ends[1:][filled] - 1] = solid[ends[1:][filled] - 1]
-        starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-        word = mix((total[stops] - total[starts]) * powers(len(total))[1][starts])
-        bound = np.searchsorted(starts, ends)
+        if b - a == 1 and len(part) > 2 * most:
+            found = [word_hashes(x, np.array([0, len(x)]))[0] for x in word_pieces(part, most)]
+            word, bound = np.concatenate(found), np.array([0, sum(map(len, found))])
+        else:
+            word, bound = word_hashes(part, ends)
         grams = np.zeros(max(0, len(word) - words + 1), np.uint64)
         for k in range(words):
             grams = grams * BASE + word[k : k + len(grams)]

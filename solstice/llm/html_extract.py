@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 #: Elements whose text belongs to the block around them.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split()
@@ -33,10 +36,12 @@ HINTS = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TAG = re.compile(
-    r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:"[^"]*"|'[^']*'|[^'">])*)|[^>]*)(?:>|\Z))""", re.S
-)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+START = re.compile(r"<(?:(?P<comment>!--)|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile("--!?>")
+QUOTE_OR_END = re.compile("[>\"']")
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+#: Elements that hold a block of text of their container.
+LEAVES = frozenset("p li pre blockquote td dd dt h1 h2 h3 h4 h5 h6".split())
 NOT_WORD = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -56,8 +61,12 @@ def unwanted(name: str, attrs: str) -> bool:
         return True
     if name in ("html", "body", "article", "main") and "comment" not in attrs:
         return False
+    seen = set()
     for key, a, b, c in ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), a or b or c
+        if not key or key in seen:
+            continue  # of an attribute's values the first counts
+        seen.add(key)
         if key in ("class", "id"):
             if not HINTS.isdisjoint(NOT_WORD.split(CAMEL.sub("-", value).lower())):
                 return True
@@ -69,16 +78,29 @@ def unwanted(name: str, attrs: str) -> bool:
     return False
 
 
+def tag_end(source: str, at: int) -> int:
+    """Behind the > that ends a tag whose attributes start at `at`; a > in quotes doesn't, unless a quote isn't closed."""
+    place = at
+    while found := QUOTE_OR_END.search(source, place):
+        if found[0] == ">":
+            return found.end()
+        place = source.find(found[0], found.end()) + 1
+        if not place:
+            return source.find(">", at) + 1 or len(source)
+    return len(source)
+
+
 def parse(source: str) -> Page:
-    page, stack, inside = Page(), [0], []
+    """Reads the page once; time is in proportion to its length, however deep it nests."""
+    page, stack = Page(), [0]
+    places: dict[str, list[int]] = defaultdict(list)  # of each name the depths of its open elements
     text: list[str] = []
     linked, link_from = 0, 0  # characters of the block's text within links; the depth at which the open link began, or 0
-    lower = None
 
     def flush() -> None:
         nonlocal linked
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
+            words = " ".join("".join(text).split())
             if words:
                 page.blocks.append((stack[-1], words, min(linked, len(words))))
             text.clear()
@@ -87,34 +109,42 @@ def parse(source: str) -> Page:
     def close(depth: int) -> None:
         nonlocal link_from
         flush()
+        for node in stack[depth:]:
+            places[page.names[node]].pop()
         del stack[depth:]
         if link_from > depth:
             link_from = 0
 
+    def last(name: str) -> int:
+        return places[name][-1] if places[name] else 0
+
     def add(piece: str) -> None:
         nonlocal linked
+        piece = html.unescape(piece)  # a reference doesn't go beyond a tag
         text.append(piece)
         if link_from:
             linked += len(piece)
 
     at = 0
-    while found := TAG.search(source, at):
+    while found := START.search(source, at):
         if found.start() > at:
             add(source[at : found.start()])
-        at = found.end()
-        if found["name"] is None:
+        if found["comment"]:
+            end = COMMENT_END.search(source, found.end())
+            at = end.end() if end else len(source)
+            continue
+        if not found["name"]:
+            at = source.find(">", found.end()) + 1 or len(source)
             continue
+        at = tag_end(source, found.end())
         name = found["name"].lower()
         if found["end"]:
             if name == "a":
                 link_from = 0
             elif name not in INLINE:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if page.names[stack[depth]] == name:
-                        close(depth)
-                        break
-                    if name == "p" or name == "li" and page.names[stack[depth]] in ("ul", "ol"):
-                        break
+                depth = last(name)
+                if depth and not (name == "p" and depth < len(stack) - 1 or name == "li" and depth < max(last("ul"), last("ol"))):
+                    close(depth)
             continue
         if name == "br":
             add(" ")
@@ -122,24 +152,24 @@ def parse(source: str) -> Page:
             link_from = link_from or len(stack)
         elif name not in INLINE:
             flush()
-            last = page.names[stack[-1]]
+            top = page.names[stack[-1]]
             if name in CLOSES:
                 for depth in range(len(stack) - 1, 0, -1):
                     if page.names[stack[depth]] in CLOSES[name]:
                         close(depth)
                     elif page.names[stack[depth]] not in ("p", "tr", "td", "th"):
                         break
-            elif last == "p" or last in HEADINGS and name in HEADINGS:
+            elif top == "p" or top in HEADINGS and name in HEADINGS:
                 close(len(stack) - 1)  # a block ends an open paragraph
             if name in VOID:
                 continue
             page.names.append(name)
             page.parents.append(stack[-1])
-            page.strip.append(unwanted(name, found["attrs"]) or name == "header" and not any(page.names[i] in ("article", "main") for i in stack))
+            page.strip.append(unwanted(name, source[found.end() : at].removesuffix(">")) or name == "header" and not (places["article"] or places["main"]))
             if name in RAW:
-                lower = lower if lower is not None else source.lower()
-                end = lower.find(f"</{name}", at)
-                at = len(source) if end < 0 else end
+                end = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
+                at = end.start() if end else len(source)
+            places[name].append(len(stack))
             stack.append(len(page.names) - 1)
     if at < len(source):
         add(source[at:])
@@ -147,13 +177,22 @@ def parse(source: str) -> Page:
     return page
 
 
+def summed_up(values: list[float], parents: list[int], share: float) -> list[float]:
+    """Each element's own value and `share` of its children's."""
+    out = list(values)
+    for i in range(len(out) - 1, 0, -1):
+        out[parents[i]] += share * out[i]
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the best container and of its siblings that score like it, in page order, joined by spaces.
 
     A block gives its parent points for its length and commas, less by the part of it
     that is links, the grandparent half of them and those above ever less. Menus, forms
     and the like get and keep nothing, unless they hold the article (a tag that isn't
-    closed). If the best container lies in an article or in the main element, that is the container.
+    closed). If the best container lies in an article or in the main element, that is the container;
+    lists and boxes in it that are links for the most part are left.
     """
     page = parse(source or "")
     names, parents = page.names, page.parents
@@ -166,19 +205,17 @@ def main_text(source: str | None) -> str:
     for i in range(1, n):
         gone[i] = gone[parents[i]] or page.strip[i] and (not holds[i] or names[i] in STRIP and names[i] not in ("nav", "footer", "aside", "form", "menu", "noscript"))
     blocks = [x for x in page.blocks if not gone[x[0]]]
-    score, size, links = [0.0] * n, [0] * n, [0] * n
+    points, size, links, count = [0.0] * n, [0] * n, [0] * n, [0] * n
     for node, text, linked in blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) * (0.2 if names[node] in HEADINGS else 1)
-        up, share = parents[node] if names[node] in ("p", "li", "pre", "blockquote", "td", "dd", "dt") or names[node] in HEADINGS else node, 1.0
-        while up:
-            score[up] += points * share
-            up, share = parents[up], share / 2
-        while node:
-            size[node] += len(text)
-            links[node] += linked
-            node = parents[node]
-    for i in range(1, n):
-        score[i] *= 1 - links[i] / size[i] if size[i] else 0
+        up = parents[node] if names[node] in LEAVES else node
+        points[up] += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) * (0.2 if names[node] in HEADINGS else 1)
+        size[node] += len(text)
+        links[node] += linked
+        count[node] += 1
+    points[0] = 0.0
+    score = summed_up(points, parents, 0.5)
+    size, links, count = (summed_up(x, parents, 1) for x in (size, links, count))
+    score = [0.0] + [score[i] * (1 - links[i] / size[i]) if size[i] else 0.0 for i in range(1, n)]
     best = max(range(n), key=lambda i: (score[i], -i))
     if not score[best]:
         kept = {0}
@@ -199,7 +236,8 @@ def main_text(source: str | None) -> str:
                         kept.add(node)
     inside = [i in kept for i in range(n)]
     for i in range(1, n):
-        inside[i] = inside[i] or inside[parents[i]]
+        lists = names[i] not in LEAVES and count[i] > 1 and links[i] > 0.6 * size[i]
+        inside[i] = inside[i] or inside[parents[i]] and not lists
     return " ".join(text for node, text, _ in blocks if inside[node])
 
 
@@ -209,7 +247,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     The whole page is read, however long. Null and empty pages and pages without
     main text give an empty text. Markup that is broken off or not closed is read
     as browsers do, roughly. Rows are independent: repeated rows each give
-    their text; no rows give no rows. Other columns are ignored.
+    their text; no rows give no rows. Other columns, and such named text or n_chars, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +256,8 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
             made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
-    rows = pages.select(*[F.col(x) for x in keep or []], F.col(html_col).alias("_html"))
+    bound_batches(pages.sparkSession)
+    rows = pages.select(*[F.col(f"`{x}`") for x in keep or [] if x not in ("text", "n_chars")], F.col(html_col).alias("_html"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["text string", "n_chars long"])
     return rows.mapInArrow(run, schema)
 

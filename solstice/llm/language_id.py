@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 #: Documents are bundled in groups of at most this many code points (a longer document is a group of its own).
 GROUP_CHARS, GROUP_DOCS = 200_000, 64
 GRAM = 3
@@ -34,17 +36,23 @@ def letter_vector(letter: int, dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, letter)).integers(0, 2, dims, np.int8) * np.int8(2) - np.int8(1)
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """Letter n-grams of the text as integers: lower-cased letters, with one 0 for what lies between words and at both ends."""
-    points = letter_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    points = np.concatenate(([0], points, [0]))
-    points = points[np.append(True, (points[1:] != 0) | (points[:-1] != 0))].astype(np.int64)
-    if len(points) < GRAM:
-        return np.zeros(0, np.int64)
-    code = points[: len(points) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        code = (code << 21) | points[k : len(points) - GRAM + 1 + k]
-    return code
+def gram_codes(text: str, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Letter n-grams of the text as integers: lower-cased letters, with one 0 for what lies between words and at both ends.
+
+    A long text is taken in pieces; the last points of a piece go on before the next.
+    """
+    before = np.zeros(1, np.int64)
+    for a in range(0, max(1, len(text)), most):
+        points = letter_table()[np.frombuffer(text[a : a + most].encode("utf-32-le", "replace"), np.uint32)]
+        points = np.concatenate((before, points, [0] if a + most >= len(text) else []))
+        points = points[np.append(True, (points[1:] != 0) | (points[:-1] != 0))].astype(np.int64)
+        n = len(points) - GRAM + 1
+        if n > 0:
+            code = points[:n].copy()
+            for k in range(1, GRAM):
+                code = (code << 21) | points[k : n + k]
+            yield code
+        before = points[-(GRAM - 1) :]
 
 
 def gram_vectors(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
@@ -71,11 +79,21 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a group of texts: document and n-gram of each pair that occurs, its count, and the distinct n-grams."""
-    codes = [gram_codes(x or "") for x in texts]
-    which, grams = pd.factorize(np.concatenate(codes))
-    owner = np.repeat(np.arange(len(texts)), [len(x) for x in codes])
-    pair, n = np.unique(owner * max(1, len(grams)) + which, return_counts=True)
-    return pair // max(1, len(grams)), pair % max(1, len(grams)), n, np.asarray(grams, np.int64)
+    owners, codes, counts = [], [], []
+    for i, text in enumerate(texts):
+        for code in gram_codes(text or ""):
+            if len(texts) == 1:  # perhaps a long one: a piece's n-grams are counted before the next
+                code, n = np.unique(code, return_counts=True)
+            else:
+                n = np.ones(len(code), np.int64)
+            owners.append(np.full(len(code), i))
+            codes.append(code)
+            counts.append(n)
+    none = np.zeros(0, np.int64)
+    which, grams = pd.factorize(np.concatenate([none, *codes]))
+    pairs, at = np.unique(np.concatenate([none, *owners]) * max(1, len(grams)) + which, return_inverse=True)
+    n = np.bincount(at, np.concatenate([none, *counts]), len(pairs)).astype(np.int64)
+    return pairs // max(1, len(grams)), pairs % max(1, len(grams)), n, np.asarray(grams, np.int64)
 
 
 def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -117,6 +135,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
                     total += part["n"].to_numpy(float) @ gram_vectors(part["gram"].to_numpy(), dims, seed)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * dims, "i": np.arange(dims, dtype=np.int32), "x": total.astype(np.int64)})
 
+    bound_batches(docs.sparkSession)
     sums = count_grams(docs, text_col, lang_col).mapInArrow(run, "lang string, i int, x long")
     prototypes: dict[str, np.ndarray] = {}
     for lang, i, x in sums.groupBy("lang", "i").agg(F.sum("x").alias("x")).toPandas().itertuples(index=False):
@@ -130,38 +149,38 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     score is the cosine between the bundle of all the text's n-grams and the
     nearest prototype, cut to 0..1; of equal cosines the first language by name
     wins. Null texts, texts without a letter, and all texts if nothing was learned
-    are `und` with score 0. Whole texts are used.
+    are `und` with score 0. Whole texts are used. Python gets the texts and returns verdicts;
+    the other columns stay with Spark. Columns of docs named lang_pred or score are not kept.
     """
     names = sorted(prototypes)
     dims = len(prototypes[names[0]]) if names else 1
     matrix = np.stack([prototypes[x] for x in names]).astype(np.float32) if names else np.zeros((0, 1), np.float32)
-    keep = keep or []
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for a, b in groups(texts) if names else ():
-                doc, gram, n, grams = counted(texts[a:b])
-                bundle = np.zeros((b - a, dims), np.float32)
-                for g in range(0, len(grams), 8192):  # bounds the matrices for texts with very many n-grams
-                    here = (gram >= g) & (gram < g + 8192)
-                    counts = np.zeros((b - a, min(8192, len(grams) - g)), np.float32)
-                    counts[doc[here], gram[here] - g] = n[here]
-                    bundle += counts @ gram_vectors(grams[g : g + 8192], dims, seed).astype(np.float32)
-                norm = np.linalg.norm(bundle, axis=1)
-                cosine = bundle @ matrix.T / np.maximum(norm, 1e-9)[:, None]
-                letters = np.zeros(b - a, bool)
-                letters[doc] = True
-                best = cosine.argmax(axis=1)
-                for i in np.flatnonzero(letters):
-                    lang[a + i], score[a + i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
-            rest = [batch.column(k + 1) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
-
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(run, schema)
+    keep = [x for x in keep or [] if x not in ("lang_pred", "score")]
+    bound_batches(docs.sparkSession)
+
+    def judge(texts: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
+        lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        for a, b in groups(texts) if names else ():
+            doc, gram, n, grams = counted(texts[a:b])
+            bundle = np.zeros((b - a, dims), np.float32)
+            for g in range(0, len(grams), 8192):  # bounds the matrices for texts with very many n-grams
+                here = (gram >= g) & (gram < g + 8192)
+                counts = np.zeros((b - a, min(8192, len(grams) - g)), np.float32)
+                counts[doc[here], gram[here] - g] = n[here]
+                bundle += counts @ gram_vectors(grams[g : g + 8192], dims, seed).astype(np.float32)
+            norm = np.linalg.norm(bundle, axis=1)
+            cosine = bundle @ matrix.T / np.maximum(norm, 1e-9)[:, None]
+            letters = np.zeros(b - a, bool)
+            letters[doc] = True
+            best = cosine.argmax(axis=1)
+            for i in np.flatnonzero(letters):
+                lang[a + i], score[a + i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    told = F.arrow_udf(judge, "lang_pred string, score double")(F.col(text_col))
+    rows = docs.select(F.col(id_col), *[F.col(f"`{x}`") for x in keep], told.alias("_told"))
+    return rows.select(F.col(f"`{id_col}`"), *[F.col(f"`{x}`") for x in keep], "_told.lang_pred", "_told.score")
 
 
 def held_out(id_col: Column) -> Column:

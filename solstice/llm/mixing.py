@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Hexadecimal digits of the order key that name a bucket: 4096 buckets to a leaf.
-DIGITS = 3
+#: Rows of a leaf that a bucket of its order has at most on average, if the leaf had all rows.
+BUCKET_ROWS = 10_000
 
 
 def source_domain(source: Column) -> Column:
@@ -51,16 +51,16 @@ def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     ones before leave. The rest is divided in whole tokens that add up exactly.
     """
     order = W.partitionBy(*parents).orderBy(F.col("cap") / F.greatest("weight", F.lit(1)), name)
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.currentRow, W.unboundedFollowing)
+    whole, before = W.partitionBy(*parents), order.rowsBetween(W.unboundedPreceding, -1)
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731  products of tokens and sums of weights don't fit a long
     zero = F.lit(0).cast("long")
-    left = F.col("budget") - F.coalesce(F.sum("cap").over(before), zero)
-    nodes = nodes.withColumn("full", F.col("cap") * F.sum("weight").over(after) <= left * F.col("weight"))
-    whole = W.partitionBy(*parents)
+    nodes = nodes.withColumns({"gone": F.coalesce(F.sum("cap").over(before), zero), "behind": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), zero)})
+    nodes = nodes.withColumn("full", wide(F.col("cap")) * wide(F.col("behind")) <= wide(F.col("budget") - F.col("gone")) * wide(F.col("weight")))
     rest = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(whole)
     open_weight = F.when(F.col("full"), 0).otherwise(F.col("weight"))
-    nodes = nodes.withColumns({"rest": rest, "open_sum": F.sum(open_weight).over(whole), "upto": F.sum(open_weight).over(order.rowsBetween(W.unboundedPreceding, 0))})
-    part = F.expr("(rest * upto) div open_sum - (rest * (upto - weight)) div open_sum")
-    return nodes.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(part)).drop("full", "rest", "open_sum", "upto")
+    nodes = nodes.withColumns({"rest": wide(rest), "open_sum": wide(F.sum(open_weight).over(whole)), "upto": F.sum(open_weight).over(order.rowsBetween(W.unboundedPreceding, 0))})
+    part = F.expr("(rest * cast(upto as decimal(19,0))) div nullif(open_sum, 0) - (rest * cast(upto - weight as decimal(19,0))) div nullif(open_sum, 0)")
+    return nodes.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(part)).drop("full", "rest", "open_sum", "upto", "gone", "behind")
 
 
 def budgets(leaves: DataFrame, levels: dict[str, dict[str, int]], share: float, max_epochs: int) -> DataFrame:
@@ -109,8 +109,8 @@ def mix(
     in the order go by n_tokens. A leaf without tokens gets nothing. No rows give
     no rows. Other columns are ignored.
 
-    A leaf of any size is ordered in parallel: 4096 buckets by the first digits
-    of the key are added up, and only rows of the bucket in which the budget ends
+    A leaf of any size is ordered in parallel: buckets by the first digits
+    of the key, more of them the more rows there are, are added up, and only rows of the bucket in which the budget ends
     are sorted.
     """
     levels = LEVELS if levels is None else levels
@@ -118,6 +118,10 @@ def mix(
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)) if tokens is None else tokens, F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in names], size.alias("n_tokens"))
     rows = materialize(rows, "mix-rows")
+    digits = 1  # hexadecimal, of the order key: they name a bucket
+    n = rows.count()
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     leaves = budgets(leaves, levels, share, max_epochs)
     leaves = leaves.select(
@@ -127,7 +131,7 @@ def mix(
     )
     leaves = materialize(leaves, "mix-leaves")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = rows.join(leaves, names).withColumn("key", key).withColumn("bucket", F.left(key, F.lit(DIGITS)))
+    keyed = rows.join(leaves, names).withColumn("key", key).withColumn("bucket", F.left(key, F.lit(digits)))
     upto = W.partitionBy(*names).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     ends = (
         keyed.groupBy(*names, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))

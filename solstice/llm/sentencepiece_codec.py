@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 #: A public model; a parameter everywhere.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -23,7 +25,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in slices of about so many code points; so many distinct words are remembered by a task.
-SLICE_CHARS, WORDS_KEPT = 4_000_000, 400_000
+SLICE_CHARS, WORDS_KEPT = 1_000_000, 150_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,7 +102,7 @@ class Codec:
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer, decoders, models, normalizers
 
-        self.model = m = parse_model(data)
+        self.data, self.model = data, (m := parse_model(data))
         unknown = next((i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN), None)
         if m.model_type == UNIGRAM:
             # What is no ordinary piece must never match a text.
@@ -124,6 +126,8 @@ class Codec:
         split = not any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k == NORMAL)
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if split else "(?s:.+)")
         self.known: dict[str, bytes] = {}
+        self.library = None
+        self.odd: set[str] = set()
 
     def normalize(self, text: str) -> str:
         """The text as the model sees it: its character map, then white space as marks."""
@@ -135,15 +139,31 @@ class Codec:
             return text
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as 32-bit integers. Words not met before go to the library together, which uses its threads."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, as 32-bit integers, and whether they are the library's. Words not met before go to the library together, which uses its threads."""
         words = [self.words.findall(self.normalize(x)) for x in texts]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
+            self.odd.clear()
         new = list(set(chain.from_iterable(words)) - self.known.keys())
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, np.int32).tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+        self.verify(new)
+        return [b"".join(map(self.known.__getitem__, x)) for x in words], [self.odd.isdisjoint(x) for x in words] if self.odd else [True] * len(words)
+
+    def verify(self, words: list[str]) -> None:
+        """Notes the words whose ids differ from what the model file's own library gives for them.
+
+        Where words depend on each other, a word is a whole text, and its first mark is the library's own.
+        """
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=self.data)
+        start = int(self.model.dummy_prefix)
+        for word, ids in zip(words, self.library.encode([x[start:].replace(MARK, " ") for x in words], num_threads=1), strict=True):
+            if np.array(ids, np.int32).tobytes() != self.known[word]:
+                self.odd.add(word)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
@@ -181,6 +201,7 @@ def _batches(df: DataFrame, column: str, run, kind: str, extra: str) -> DataFram
                 made = run(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made.values()], names=[*part.schema.names[:-1], *made])
 
+    bound_batches(df.sparkSession)
     rest = [x for x in df.columns if x not in [y.split()[0] for y in extra.split(", ")]]
     rows = df.select(*[F.col(f"`{x}`") for x in rest], F.col(column).alias("_codec_in"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + [extra])
@@ -188,13 +209,13 @@ def _batches(df: DataFrame, column: str, run, kind: str, extra: str) -> DataFram
 
 
 def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH, threads: int = 2) -> DataFrame:
-    """df with ids array<int>, n_tokens long and round_trip boolean.
+    """df with ids array<int>, n_tokens long, round_trip boolean and parity boolean.
 
     ids are what the model file's own library gives for the whole text, without
     begin or end marks. round_trip says that decoding them gives the normalised text
-    again. Null and empty texts have no ids, and their round_trip is true. Rows are
-    independent: repeated rows are each encoded. Columns of df named ids, n_tokens or
-    round_trip are replaced; all others stay. No rows give no rows. The model
+    again; parity, that each of its words has the ids that the library gives for it. Null and empty texts have no ids, and both are true. Rows are
+    independent: repeated rows are each encoded. Columns of df named ids, n_tokens,
+    round_trip or parity are replaced; all others stay. No rows give no rows. The model
     file is read by the driver and sent to the tasks; it is of a fixed size.
     """
     with open(model_path, "rb") as file:
@@ -203,7 +224,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
     def run(column):
         c = codec(data, threads)
         texts = [x or "" for x in column.to_pylist()]
-        found = c.encode(texts)
+        found, right = c.encode(texts)
         flat = np.frombuffer(b"".join(found), np.int32)
         ends = np.cumsum([0, *(len(x) // 4 for x in found)])
         back = c.decode([np.frombuffer(x, np.int32).tolist() for x in found])
@@ -212,9 +233,10 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
             "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
             "n_tokens": pa.array(np.diff(ends), pa.int64()),
             "round_trip": pa.array(same, pa.bool_()),
+            "parity": pa.array(right, pa.bool_()),
         }
 
-    return _batches(df, text_col, run, "text", "ids array<int>, n_tokens long, round_trip boolean")
+    return _batches(df, text_col, run, "text", "ids array<int>, n_tokens long, round_trip boolean, parity boolean")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH, threads: int = 2) -> DataFrame:
@@ -261,4 +283,4 @@ def parity(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model_pa
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs).select("doc_id", "n_tokens", "ids", "round_trip")
+    return encode(docs).select("doc_id", "n_tokens", "ids", "round_trip", "parity")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,17 +13,21 @@ from pyspark.sql import functions as F
 
 #: The bytes 0x20 and 0x09 to 0x0D, as SQL and regular expressions write them.
 WHITE = " \t\n\x0b\x0c\r"
+#: Python gets batches of about so many bytes.
+BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset (local runs
-    and tests: one machine), a temporary folder is made once per session.
+    A cluster names it in spark.checkpoint.dir. Where that is unset on a local master
+    (one machine), a temporary folder is made once per session; on any other it must be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="solstice-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,6 +51,13 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound of bytes that Python gets in a batch, where it has none: rows may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) in (-1, (1 << 63) - 1, (1 << 31) - 1):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Within it, jobs that run at once hand Python at most so many rows a batch: for rows that are large or that a batch gathers."""

@@ -21,7 +21,7 @@ def test_codec_equals_the_library_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
     out = sentencepiece_codec.encode(docs)
     assert sentencepiece_codec.parity(out).where("not same").count() == 0
-    assert out.where("not round_trip").count() == 0
+    assert out.where("not round_trip or not parity").count() == 0
     back = sentencepiece_codec.decode(out)
     assert back.where("decoded <> replace(coalesce(text, ''), '▁', ' ')").count() == 0
     assert sentencepiece_codec.encode(empty(spark)).count() == 0
@@ -29,7 +29,7 @@ def test_codec_equals_the_library_on_documents(spark):
 
 def test_codec_keeps_clashing_columns_and_refuses_bad_ids(spark):
     df = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, ids string")
-    assert sentencepiece_codec.encode(df).columns == ["doc_id", "text", "ids", "n_tokens", "round_trip"]
+    assert sentencepiece_codec.encode(df).columns == ["doc_id", "text", "ids", "n_tokens", "round_trip", "parity"]
     with pytest.raises(Exception, match="not in the model"):
         sentencepiece_codec.decode(spark.createDataFrame([([99999999],)], "ids array<int>")).collect()
 
@@ -45,7 +45,7 @@ def bpe():
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=30) | st.text("  ▁ab\nthe<s>0xA", max_size=20))
 def test_codec_parity_on_any_text(bpe, text):
     codec, library = bpe
-    ids = np.frombuffer(codec.encode([text])[0], np.int32).tolist()
+    ids = np.frombuffer(codec.encode([text])[0][0], np.int32).tolist()
     assert ids == library.encode(text)
     assert codec.decode([ids])[0] == library.decode(ids)
 
@@ -74,7 +74,7 @@ def test_unigram_models_are_rebuilt(squeeze):
     rng = random.Random(1)
     for _ in range(500):
         text = "".join(rng.choice(["a", "b", "c", " ", "ab", "é"]) for _ in range(rng.randrange(12)))
-        ids = np.frombuffer(codec.encode([text])[0], np.int32).tolist()
+        ids = np.frombuffer(codec.encode([text])[0][0], np.int32).tolist()
         assert ids == library.encode(text), text
         assert codec.decode([ids])[0] == library.decode(ids)
 
@@ -232,7 +232,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = shared.materialize(corpus_pipeline.language_stage(spark, docs, SF), "t1")
     told = {r.doc_id: r for r in language_id.op7_language_id(spark, SF).collect()}
-    assert {r.doc_id for r in kept.collect()} == {i for i, r in told.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in told.items() if r.lang_pred != "und"}
     lines = shared.materialize(corpus_pipeline.line_stage(spark, kept, SF), "t2")
     assert lines.columns == list(corpus_pipeline.COLUMNS) and lines.where("n_chars <> length(text)").count() == 0
     near = shared.materialize(corpus_pipeline.near_duplicate_stage(spark, lines, SF), "t3")
@@ -267,3 +267,26 @@ def test_pipeline_of_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_pipeline_stages_take_nulls_repeats_ties_and_clashing_columns(spark):
+    """Through all stages, over rows with null ids, texts, languages and sources, repeated rows and columns named like the operators' own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    odd = spark.createDataFrame([(None, "One line with words.", None, None), (None, None, "en", "src1"), (900, "Tie one. Tie one.", "en", "src1"), (901, "Tie one. Tie one.", "en", "src1")], "doc_id long, text string, lang string, source string")
+    rows = documents(spark).unionByName(odd, allowMissingColumns=True).withColumns({"lang_pred": F.lit("x"), "parity": F.lit(1), "component": F.lit(2), "copies": F.lit(3), "_told": F.lit(4)})
+    letters = lambda text: any(c.isalpha() for c in text or "")
+    want = sorted(str(r.doc_id) for r in rows.collect() if letters(r.text))
+    docs, counts = rows, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = shared.materialize(stage(spark, docs, SF), f"test-{name}")
+        counts.append(docs.count())
+        if k < 4:
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+        if k == 0:
+            assert sorted(str(r.doc_id) for r in docs.collect()) == want
+    assert counts[0] >= counts[1] >= counts[2] > 0 and counts[3] == counts[4] > 0
+    assert docs.where("not round_trip or not parity").count() == 0
+    nothing = rows.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = shared.materialize(stage(spark, nothing, SF), f"none-{name}")
+    assert nothing.count() == 0
