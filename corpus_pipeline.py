@@ -13,8 +13,6 @@ from solstice.llm import jaccard_join, language_id, line_dedup, mixing, sentence
 from solstice.llm.shared import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The least score that stays: any. A short text has few of its language's n-grams, so a low cosine doesn't tell that it is in none.
-LEAST_SCORE = 0.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     prototypes = language_id.learn(docs.where(~held))
     if not prototypes:
         return docs.select(*COLUMNS)
-    told = language_id.identify(docs, prototypes, keep=[x for x in COLUMNS if x != "doc_id"])
+    told = language_id.identify(docs, prototypes, keep=[x for x in COLUMNS if x != "doc_id"])  # whatever the score: that of a short text is low in its own language
     return told.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
@@ -58,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each document, and whether they give its text again."""
-    return sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
+    return sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip", "parity")
 
 
 STAGES = [
