@@ -28,7 +28,7 @@ def require(found: DataFrame, what: str) -> None:
 
 def single_valued(df: DataFrame, group: str, *columns: str) -> DataFrame:
     """Per group: rows, and for each column whether all rows have one value (nulls not counted)."""
-    return df.groupBy(group).agg(F.count("*").alias("n"), *[(F.count_distinct(c) == 1).alias(f"single_{c}") for c in columns])
+    return df.groupBy(group).agg(F.count("*").alias("n"), *[F.coalesce(F.min(c) == F.max(c), F.lit(False)).alias(f"single_{c}") for c in columns])
 
 
 def lookup(df: DataFrame, names: DataFrame, key: str, name_key: str, name: str, default: str = "unknown") -> DataFrame:

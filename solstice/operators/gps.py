@@ -45,7 +45,8 @@ def positions(samples: DataFrame, gap_seconds: float = 10.0) -> DataFrame:
     lat = F.abs("lat") * F.when(F.col("ns") == "S", -1.0).otherwise(1.0)
     lon = F.abs("lon") * F.when(F.col("ew").isin("W", "O"), -1.0).otherwise(1.0)
     course = finite(F.col("course")) & (F.col("course") >= 0) & (F.col("course") < 360)
-    utc = F.date_format(F.timestamp_millis("utc_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    clock_text = F.expr("cast(timestampadd(MILLISECOND, utc_ms, TIMESTAMP_NTZ'1970-01-01 00:00:00') as string)")  # whatever the session's time zone
+    utc = F.concat(F.translate(F.left(clock_text, F.lit(19)), " ", "T"), F.lit("."), F.lpad(F.pmod("utc_ms", F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))
     return points.select(
         "source", "segment", "sample", "utc_ms", utc.alias("utc"), lat.alias("lat"), F.when(lon == 180, -180.0).otherwise(lon).alias("lon"),
         F.when(finite(F.col("alt")), F.col("alt")).alias("elevation_m"),

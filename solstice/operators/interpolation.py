@@ -28,7 +28,8 @@ def asof(queries: DataFrame, samples: DataFrame, source: str = "source", time: s
     both = left.unionByName(right)
     both = both.withColumn("before", F.last("_sample", ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, 0)))
     if not backward_only:
-        both = both.withColumn("after", F.first("_sample", ignorenulls=True).over(window.rowsBetween(1, W.unboundedFollowing)))
+        back = W.partitionBy(source).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_o"))  # from the end, so the frame runs too
+        both = both.withColumn("after", F.last("_sample", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)))
     out = both.where("_kind = 1")
     return out.select("_query.*", *(["before"] if backward_only else ["before", "after"]))
 

@@ -4,25 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def nearest_two(queries: DataFrame, base: DataFrame, block: str, query_id: str, base_id: str, vector: str, ratio: float = 0.72) -> DataFrame:
+def chunked(rows: DataFrame, block: str, item: str, vector: str, size: int) -> DataFrame:
+    """(block, items, vectors): the rows of a block in chunks of about `size`, as many as the block needs."""
+    parts = rows.groupBy(block).agg(F.ceil(F.count("*") / size).alias("_parts"))
+    dealt = rows.join(parts, block).withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
+    lists = dealt.groupBy(block, "_part").agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias("x"))
+    return lists.select(block, F.col("x.i").alias("items"), F.col("x.v").alias("vectors"))
+
+
+def nearest_two(queries: DataFrame, base: DataFrame, block: str, query_id: str, base_id: str, vector: str, ratio: float = 0.72, size: int = 1000) -> DataFrame:
     """Per query with two neighbours in its block: the nearest, both distances, and whether the first is under ratio times the second.
 
-    An equi-join by block: a query meets the vectors of its own block (a frame pair)
-    only. The two least distances are kept by partial aggregation, so no block is sorted.
+    A query meets the vectors of its own block (a frame pair) only. Both sides of a block are dealt out in chunks, and each two of them
+    meet in a row, wherever it runs; it gives the two nearest of each query, and of those the two
+    nearest over all chunks are meant. Equal distances go by id.
     """
-    a = queries.select(F.col(block), F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("_a"))
-    b = base.select(F.col(block), F.col(base_id).alias("base_id"), F.col(vector).cast("array<double>").alias("_b"))
-    square = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, block).select(block, "query_id", F.struct(F.sqrt(square).alias("d"), F.col("base_id").alias("id")).alias("x"))
-    best = pairs.groupBy(block, "query_id").agg(F.min("x").alias("one"))
-    second = pairs.join(best, [block, "query_id"]).where("x.id <> one.id").groupBy(block, "query_id").agg(F.first("one").alias("one"), F.min("x").alias("two"))
-    return second.select(block, "query_id", F.col("one.id").alias("base_id"), F.col("one.d").alias("d1"), F.col("two.d").alias("d2"), (F.col("one.d") < ratio * F.col("two.d")).alias("kept"))
+    a = chunked(queries, block, query_id, vector, size).select(block, F.col("items").alias("qi"), F.col("vectors").alias("qv"))
+    b = chunked(base, block, base_id, vector, size).select(block, F.col("items").alias("bi"), F.col("vectors").alias("bv"))
+    kind, query_kind = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+
+    def two(batches):
+        for batch in batches:
+            for block_value, qi, qv, bi, bv in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                order = np.argsort(np.array(bi), kind="stable")
+                points, ids = np.array(bv, float)[order], [bi[k] for k in order]
+                found = []
+                for i, v in zip(qi, np.array(qv, float), strict=True):
+                    d = np.sqrt(((points - v) ** 2).sum(axis=1))
+                    near = np.argpartition(d, 1)[:2] if len(d) > 2 else np.arange(len(d))
+                    ties = np.flatnonzero(d <= d[near].max())  # of equal distances the first ids
+                    for k in ties[np.argsort(d[ties], kind="stable")][:2]:
+                        found.append((i, float(d[k]), ids[k]))
+                yield pa.RecordBatch.from_arrays([pa.array([block_value.as_py()] * len(found), batch.schema.types[0]), *(pa.array(c) for c in zip(*found, strict=True))], names=[block, "query_id", "d", "id"])
+
+    pairs = a.join(b, block).select(block, "qi", "qv", "bi", "bv")
+    near = pairs.mapInArrow(two, f"{block} {base.schema[block].dataType.simpleString()}, query_id {query_kind}, d double, id {kind}")
+    best = near.groupBy(block, "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, 2).alias("x")).where("size(x) = 2")
+    best = best.select(block, "query_id", F.col("x")[0].alias("one"), F.col("x")[1].alias("two"))
+    return best.select(block, "query_id", F.col("one.id").alias("base_id"), F.col("one.d").alias("d1"), F.col("two.d").alias("d2"), (F.col("one.d") < ratio * F.col("two.d")).alias("kept"))
 
 
 def medoid(candidates: DataFrame, group: str, item: str, distance, within: float, minimum: int = 1) -> DataFrame:
@@ -139,12 +165,30 @@ def grid_shift(samples: DataFrame, source: str, index: str, value: str, shifts:
     return cost.groupBy(source).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "shift")).alias("best"), F.max("n").alias("n")).select(source, F.col("best.shift").alias("shift"), F.col("best.cost").alias("cost"), "n")
 
 
-def sector_ratio(rows: DataFrame, group: str, order: str, first: str, second: str, sectors: int = 32, least: int = 16, bound: float = 0.6931471805599453) -> DataFrame:
-    """Per group and sector (equal runs of the ordered rows): rows and the median of log(second / first), within the bounds; null where there are too few."""
-    cut = F.ntile(sectors).over(W.partitionBy(group).orderBy(order)) - 1
-    usable = rows.withColumn("sector", cut).where((F.col(first) > 0) & (F.col(second) > 0))
+def ranked(rows: DataFrame, group: str, lead: str, order: list[str], mean: int = 10_000) -> DataFrame:
+    """rows with _rank (from 0 in its group by the order, which begins with the number `lead`) and _n, the group's rows.
+
+    A group of any size is ranked in parallel: buckets of equal width over `lead`, `mean` rows each on average, are counted,
+    running sums over the counts are the buckets' first ranks, and rows are numbered within their bucket.
+    """
+    ends = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min(lead).cast("double").alias("_low"), F.max(lead).cast("double").alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low")) * mean / F.col("_n"), F.lit(1e-300))
+    dealt = rows.join(ends, group).withColumn("_bucket", F.floor((F.col(lead).cast("double") - F.col("_low")) / width)).drop("_low", "_high")
+    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(*order))
+    out = dealt.join(counts.select(group, "_bucket", before.alias("_first")), [group, "_bucket"])
+    return out.withColumn("_rank", F.col("_first") + number - 1).drop("_bucket", "_first")
+
+
+def sector_ratio(rows: DataFrame, group: str, order: list[str], first: str, second: str, sectors: int = 32, least: int = 16, bound: float = 0.6931471805599453) -> DataFrame:
+    """Per group and sector (equal runs of the ordered rows): rows and the median of log(second / first), within the bounds; null where there are too few.
+
+    The order begins with a number. The first sectors get the rows that don't divide evenly.
+    """
+    each, over = F.expr(f"_n div {sectors}"), F.col("_n") % sectors
+    cut = F.when(F.col("_rank") < over * (each + 1), F.floor(F.col("_rank") / (each + 1))).otherwise(over + F.floor((F.col("_rank") - over * (each + 1)) / F.greatest(each, F.lit(1))))
+    usable = ranked(rows, group, order[0], order).withColumn("sector", cut.cast("int")).where((F.col(first) > 0) & (F.col(second) > 0))
     middle = F.percentile(F.ln(F.col(second) / F.col(first)), F.lit(0.5))
     out = usable.groupBy(group, "sector").agg(F.count("*").alias("n"), middle.alias("_m"))
     return out.select(group, "sector", "n", F.when(F.col("n") >= least, F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_m")))).alias("log_ratio"))
-
-

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,25 +124,30 @@ def ema(df: DataFrame, s: Series, value: Column, supported: Column, gain: float,
     """Adds `state`, folded in order: the first supported value starts it; then it moves by gain times the difference
     (at most limit either way, if given), or shrinks by decay where the value is not supported. Null before its start.
 
-    A recurrence cannot be a plain window: each source's values are collected in
-    order and folded by a higher-order function, so a source must fit into a task.
+    Null values are not supported. A recurrence cannot be a plain window: the rows come sorted by source and time, and
+    a task folds them as they pass, with one number of state; no source is held in memory.
     """
-    item = F.struct(F.col(s.time).alias("t"), F.col(s.order).alias("o"), value.cast("double").alias("v"), F.coalesce(supported, F.lit(False)).alias("ok"))
-    lists = df.groupBy(s.source).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(state, x):
-        last = state.last
-        move = gain * (x.v - last)
-        if limit is not None:
-            move = F.greatest(F.lit(-limit), F.least(F.lit(limit), move))
-        now = F.when(x.ok, F.when(last.isNull(), x.v).otherwise(last + move)).otherwise(last * decay)
-        return F.struct(now.alias("last"), F.concat(state.out, F.array(now)).alias("out"))
-
-    empty = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-    folded = lists.select(s.source, "items", F.aggregate("items", empty, step, lambda x: x.out).alias("states"))
-    zipped = F.arrays_zip("items", "states")
-    out = folded.select(s.source, F.explode(zipped).alias("x"))
-    return out.select(s.source, F.col("x.items.t").alias(s.time), F.col("x.items.o").alias(s.order), F.col("x.states").alias("state"))
+    rows = df.select(s.source, s.time, s.order, value.cast("double").alias("_v"), F.coalesce(supported, F.lit(False)).alias("_ok"))
+
+    def fold(batches):
+        source, last = None, None
+        for batch in batches:
+            states = []
+            for key, v, ok in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+                if key != source:
+                    source, last = key, None
+                if ok and v is not None:
+                    move = 0.0 if last is None else gain * (v - last)
+                    if limit is not None:
+                        move = max(-limit, min(limit, move))
+                    last = v if last is None else last + move
+                elif last is not None:
+                    last *= decay
+                states.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(states, pa.float64())], names=[*batch.schema.names[:3], "state"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:3])
+    return rows.repartition(s.source).sortWithinPartitions(s.source, s.time, s.order).mapInArrow(fold, f"{kinds}, state double")
 
 
 def paced(df: DataFrame, s: Series, target: Column, step: float) -> DataFrame:

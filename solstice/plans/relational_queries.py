@@ -106,28 +106,29 @@ NEAREST = """with p as (select a.label, a.vec_id as query_id, b.vec_id as base_i
 select o.label, o.query_id, o.base_id, round(o.d, 6) as d1, round(t.d, 6) as d2, o.d < 0.95::double * t.d as kept from r o join r t on o.label = t.label and o.query_id = t.query_id and o.k = 1 and t.k = 2"""
 
 
-def medoid_consensus(spark, d) -> DataFrame:
-    """The first twelve vectors of each label as candidate fits."""
-    e = table(spark, d, "embeddings").where("vec_id < 120").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    square = lambda a, b: F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    out = matching.medoid(e, "label", "vec_id", lambda a, b: F.round(F.sqrt(square(a, b)), 9), 1.4)
-    return out.withColumn("median_distance", F.round("median_distance", 6))
+def _medoids(spark, d, ids: int) -> DataFrame:
+    """All vectors: those of a label among so many neighbouring ids are a group of candidate fits."""
+    group = F.struct("label", F.floor(F.col("vec_id") / ids).alias("block"))
+    e = table(spark, d, "embeddings").select(group.alias("fits"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    square = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    out = matching.medoid(e, "fits", "vec_id", lambda a, b: F.round(F.sqrt(square), 9), 1.4)
+    return out.select("fits.label", "fits.block", "vec_id", F.round("median_distance", 6).alias("median_distance"), "consistent", "n", "accepted")
 
 
-MEDOID = """with c as (select label, vec_id, embedding::double[] as v from embeddings where vec_id < 120), p as (
- select a.label, a.vec_id, round(list_distance(a.v, b.v), 9) as d from c a join c b on a.label = b.label), s as (
- select label, vec_id, quantile_cont(d, 0.5) as m, count(*) filter (d <= 1.4) as consistent, count(*) as n from p group by label, vec_id), r as (
- select *, row_number() over (partition by label order by m, vec_id) as k from s)
-select label, vec_id, round(m, 6) as median_distance, consistent, n, consistent >= greatest(1, case when n > 1 then n // 2 + 1 else 1 end) as accepted from r where k = 1"""
+def medoid_consensus(spark, d) -> DataFrame:
+    return _medoids(spark, d, 240)
 
 
 def medoid_blocks(spark, d) -> DataFrame:
-    """All vectors: those of a label among 120 neighbouring ids are a group of candidate fits."""
-    group = F.struct("label", F.floor(F.col("vec_id") / 120).alias("block"))
-    e = table(spark, d, "embeddings").select(group.alias("fits"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    square = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    out = matching.medoid(e, "fits", "vec_id", lambda a, b: F.round(F.sqrt(square), 9), 1.4)
-    return out.select("fits.label", "fits.block", "vec_id", F.round("median_distance", 6).alias("median_distance"), "consistent", "n", "accepted")
+    return _medoids(spark, d, 120)
+
+
+def _medoid_sql(ids: int) -> str:
+    return f"""with c as (select label, vec_id // {ids} as block, vec_id, embedding::double[] as v from embeddings), p as (
+ select a.label, a.block, a.vec_id, round(list_distance(a.v, b.v), 9) as d from c a join c b on a.label = b.label and a.block = b.block), s as (
+ select label, block, vec_id, quantile_cont(d, 0.5) as m, count(*) filter (d <= 1.4) as consistent, count(*) as n from p group by label, block, vec_id), r as (
+ select *, row_number() over (partition by label, block order by m, vec_id) as k from s)
+select label, block, vec_id, round(m, 6) as median_distance, consistent, n, consistent >= greatest(1, case when n > 1 then n // 2 + 1 else 1 end) as accepted from r where k = 1"""
 
 
 def _rays(spark, d) -> DataFrame:
@@ -161,7 +162,7 @@ KABSCH_ROTATION = """select a.label, count(*) as n, round(cos(0.3::double), 6) a
 
 
 def sector_log_ratio(spark, d) -> DataFrame:
-    out = matching.sector_ratio(table(spark, d, "lineitem").withColumn("order_key", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")), "l_returnflag", "order_key", "l_quantity", "l_discount")
+    out = matching.sector_ratio(table(spark, d, "lineitem"), "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"], "l_quantity", "l_discount")
     return out.select("l_returnflag", "sector", "n", F.round("log_ratio", 6).alias("log_ratio"))
 
 
@@ -217,6 +218,6 @@ QUERIES = {
 ORACLES = {
     "contract_single_valued": SINGLE, "adapter_lookup_unknowns": ADAPTER, "mode_resolution": MODE, "option_violations": OPTIONS,
     "resume_semi": _RESUME.format(""), "resume_anti": _RESUME.format("not"), "path_collisions": COLLISIONS, "set_difference_fields": FIELDS, "edge_identity_hash": EDGE,
-    "nearest2_ratio_test": NEAREST, "medoid_consensus": MEDOID, "kabsch_moments": KABSCH, "kabsch_rotation": KABSCH_ROTATION,
+    "nearest2_ratio_test": NEAREST, "medoid_consensus": _medoid_sql(240), "medoid_blocks": _medoid_sql(120), "kabsch_moments": KABSCH, "kabsch_rotation": KABSCH_ROTATION,
     "sector_log_ratio_median": SECTOR, "audio_sample_windows": AUDIO, "manifest_explode": MANIFEST, "audio_contract": AUDIO_CONTRACT,
 }
