@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lens as L
 from ..operators import gps, matching, raster
-from ..sources import synthetic, trailer
 from .tables import DAY, SERIES, events, table
 
 LENS = L.Lens(1.5, 90.0, 90.0, 63.5, 63.5, 128, (0.02, -0.005, 0.001, -0.002, 0.0005))
@@ -126,27 +125,6 @@ def closed_path_dp(spark, d) -> DataFrame:
     return raster.seam_paths(full, "p_brand")
 
 
-def _recordings(spark) -> DataFrame:
-    return spark.createDataFrame([(f"recording-{k}", bytearray(synthetic.example(k))) for k in range(5)], "source string, content binary")
-
-
-def trailer_inventory(spark, d) -> DataFrame:
-    return trailer.inventory(_recordings(spark))
-
-
-def protobuf_fields(spark, d) -> DataFrame:
-    return trailer.metadata_fields(_recordings(spark))
-
-
-def gps_decode(spark, d) -> DataFrame:
-    return gps.positions(trailer.stream(_recordings(spark), "gps"))
-
-
-def gps_summary(spark, d) -> DataFrame:
-    samples = trailer.stream(_recordings(spark), "gps")
-    return gps.position_summary(samples, gps.positions(samples))
-
-
 def gpx_document(spark, d) -> DataFrame:
     """Events as positions: a document per user."""
     e = events(spark, d)
@@ -161,7 +139,7 @@ def gpx_document(spark, d) -> DataFrame:
 QUERIES = {
     "lens_project": lens_project, "v6_distort": v6_distort, "equirect_rays": equirect_rays, "undistort_roundtrip": undistort_roundtrip, "ransac_rotation": ransac_rotation,
     "closed_path_dp": closed_path_dp, "coverage_missing_fraction": coverage_missing_fraction, "visibility_weights": visibility_weights, "visibility_fallback": visibility_fallback,
-    "gpx_document": gpx_document, "protobuf_fields": protobuf_fields, "trailer_inventory": trailer_inventory, "gps_decode": gps_decode, "gps_summary": gps_summary,
+    "gpx_document": gpx_document,
 }
 ORACLES = {
     "lens_project": PROJECT, "v6_distort": DISTORT, "equirect_rays": RAYS, "coverage_missing_fraction": COVERAGE, "visibility_weights": WEIGHTS, "visibility_fallback": FALLBACK,
