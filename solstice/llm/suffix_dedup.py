@@ -1,4 +1,4 @@
-"""Repeated byte strings by distributed, sparse prefix doubling."""
+"""Repeated byte strings by distributed prefix doubling from sampled positions."""
 
 from __future__ import annotations
 
@@ -7,20 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .hashing import mix, row_slices, sums, text_bytes, windows
-from .shared import arrow_batches, materialize
+from .hashing import mix, powers, row_slices, sums, text_bytes, windows
+from .shared import arrow_batches, bound_batches, materialize
 
 #: Texts are taken in slices of about so many bytes; positions in a slice have so many bits.
 SLICE, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
-#: Windows around a half string that is at more positions than this are dealt out one by one.
-LARGE = 50_000
 #: Texts that a task holds at once.
 BATCH = 1000
-SPOT = np.dtype([("half", "<u8"), ("key", "<i8"), ("at", "<i4"), ("more", "<i4")])
+#: rank: of the half string. place: see packed(); with SURE, if the half string is in the batch twice; MARK for the half string alone.
+SPOT = np.dtype([("rank", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("place", "<i8")])
+SURE, MARK = np.int64(1 << 62), np.int64(-1)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -34,35 +34,42 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def spots(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of joined texts (text r is data[ends[r]:ends[r + 1]]): half, text, at, more of each sampled position.
+def spots(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of joined texts (text r is data[ends[r]:ends[r + 1]]): rank, text, at, n, d of each sampled position.
 
     Every string of `size` bytes is represented by the half string (size // 2 bytes) in it with
     the least hash, the last one of equals. Equal strings are so by equal halves at
-    the same offset. A sampled position stands for the more + 1 strings that start at
-    `at` and behind it; half is its rank, a 64-bit fingerprint.
+    the same distance. A sampled position stands for the n strings that start at
+    `at` and behind it; it lies d bytes behind `at`. Its rank is a 64-bit fingerprint of its half string.
     """
     half = size // 2
     none = np.zeros(0, np.int64)
     if len(data) < size:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     ranks = windows(sums(data), half)
     place = np.arange(len(ranks), dtype=np.uint64)
     least = sliding_least((ranks & ~PLACE) | (PLACE - place), size - half + 1)
     text_end = np.repeat(ends[1:], np.diff(ends))[: len(least)]
     starts = np.flatnonzero(text_end - np.arange(len(least)) >= size)
     if not len(starts):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     chosen = (PLACE - (least[starts] & PLACE)).astype(np.int64)
     new = np.append(True, (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1) | (text_end[starts[1:]] != text_end[starts[:-1]]))
     first = np.flatnonzero(new)
-    more = np.diff(np.append(first, len(starts))) - 1
     at = starts[first]
     text = np.searchsorted(ends, at, "right") - 1
-    return ranks[chosen[first]], text, at - ends[text], more
+    return ranks[chosen[first]], text, at - ends[text], np.diff(np.append(first, len(starts))), chosen[first] - at
 
 
-def all_spots(column: pa.Array, keys: np.ndarray, size: int) -> np.ndarray:
+def packed(at: np.ndarray, n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return (at << 16 | n << 8 | d).astype(np.int64)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 16, place >> 8 & 255, place & 255
+
+
+def all_spots(column: pa.Array, k1: np.ndarray, k2: np.ndarray, size: int) -> np.ndarray:
     """SPOT rows of a column of texts. Texts longer than a slice are taken in parts that overlap by size - 1 bytes."""
     data, offsets = text_bytes(column)
     found = []
@@ -74,25 +81,43 @@ def all_spots(column: pa.Array, keys: np.ndarray, size: int) -> np.ndarray:
             cuts = range(0, int(high - low) - size + 1, SLICE)
             parts = [(c, x := data[low + c : min(high, low + c + SLICE + size - 1)], np.array([0, len(x)])) for c in cuts]
         for shift, part, ends in parts:
-            half, text, at, more = spots(part, ends, size)
-            rows = np.zeros(len(half), SPOT)
-            rows["half"], rows["key"], rows["at"], rows["more"] = half, keys[a + text], at + shift, more
+            rank, text, at, n, d = spots(part, ends, size)
+            rows = np.zeros(len(rank), SPOT)
+            rows["rank"], rows["k1"], rows["k2"], rows["place"] = rank, k1[a + text], k2[a + text], packed(at + shift, n, d)
             found.append(rows)
     return np.concatenate(found) if found else np.zeros(0, SPOT)
 
 
-def repeated_spots(docs: DataFrame, size: int, large: int) -> DataFrame:
-    """(key, at, more, big): the sampled positions whose half string is at another one as well.
+def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorting order by the keys, where groups begin in it, and the size of each row's group, in that order."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    return order, first, np.repeat(count, count)
 
-    What is unique at this length cannot repeat at the full one and is dropped.
-    Tasks pack what goes to a bucket into one row; a bucket's task sorts it by rank.
+
+def repeated_spots(docs: DataFrame, size: int) -> DataFrame:
+    """(k1, k2, place): the sampled positions whose half string is at another one as well. An exact filter before the doubling.
+
+    What is unique at half the length cannot repeat at the full one and is dropped. Tasks pack what goes to a bucket into one row. A half string that a batch has twice is repeated for
+    certain: its positions go to any buckets, and one mark of it to its own, so a bucket gets each half string once from a batch at most.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches):
         for batch in batches:
-            rows = all_spots(batch.column(1), batch.column(0).to_numpy(), size)
-            bucket = (mix(rows["half"]) % np.uint64(buckets)).astype(np.int64)
+            rows = all_spots(batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy(), size)
+            order, first, count = groups_of(rows["rank"])
+            rows = rows[order]
+            marks = rows[first][count[first] > 1]
+            marks["place"] = MARK
+            bucket = mix(np.where(count > 1, rows["rank"] ^ mix(rows["place"].astype(np.uint64) + rows["k1"].astype(np.uint64)), rows["rank"]))
+            rows["place"] |= np.where(count > 1, SURE, 0)
+            rows = np.concatenate([rows, marks])
+            bucket = (np.concatenate([bucket, mix(marks["rank"])]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, cuts = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
@@ -100,124 +125,142 @@ def repeated_spots(docs: DataFrame, size: int, large: int) -> DataFrame:
 
     def sift(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x.as_py(), SPOT) for x in table.column("rows")])
-        rows = rows[np.argsort(rows["half"], kind="stable")]
-        first = np.flatnonzero(np.append(True, rows["half"][1:] != rows["half"][:-1]))
-        count = np.diff(np.append(first, len(rows)))
-        count = np.repeat(count, count)
-        rows, count = rows[count > 1], count[count > 1]
-        return pa.table({"key": rows["key"], "at": rows["at"], "more": rows["more"], "big": count > large})
+        sure = (rows["place"] != MARK) & (rows["place"] & SURE > 0)
+        rest = rows[~sure]
+        order, first, count = groups_of(rest["rank"])
+        rest = rest[order]
+        marked = np.zeros(len(rest), np.int64)
+        if len(first):
+            marked = np.repeat(np.add.reduceat(rest["place"] == MARK, first), np.diff(np.append(first, len(rest))))
+        rest = rest[((count > 1) | (marked > 0)) & (rest["place"] != MARK)]
+        kept = np.concatenate([rows[sure], rest])
+        return pa.table({"k1": kept["k1"], "k2": kept["k2"], "place": kept["place"] & ~SURE})
 
-    return docs.select("key", "text").mapInArrow(pack, "bucket int, rows binary").groupBy("bucket").applyInArrow(sift, "key long, at int, more int, big boolean")
+    return docs.select("k1", "k2", "text").mapInArrow(pack, "bucket int, rows binary").groupBy("bucket").applyInArrow(sift, "k1 long, k2 long, place long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(key, packed): compressed texts, for joins by key."""
+    """(k1, k2, packed): compressed texts, for joins by key."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column(1)], pa.binary())], names=["key", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column(2)], pa.binary())], names=["k1", "k2", "packed"])
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, packed binary")
 
-    return docs.select("key", "text").mapInArrow(run, "key long, packed binary")
 
+RANKS = np.dtype([("r1", "<i8"), ("r2", "<i8"), ("salt", "<i8"), ("whole", "<i8"), ("k1", "<i8"), ("k2", "<i8"), ("place", "<i8"), ("many", "?"), ("old", "?")])
 
-def contexts(texts: DataFrame, size: int, buckets: int) -> DataFrame:
-    """(bucket, context, key, at, stop): the bytes that each repeated position stands for, and where they are.
 
-    A context that a batch holds twice repeats for certain: it goes on once, without a key, and all its
-    places in the batch are rows without a context: merged runs of starts, `at` to `stop`. So a context
-    has a row for each batch at most, however often its texts repeat it.
+def rank_pairs(data: np.ndarray, base: np.ndarray, place: np.ndarray, size: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of sets of neighbouring strings, cut where the distance of their starts to the sampled position passes a multiple of `width`: which
+    set a part comes from, the rank pair of its core, the fingerprint of all its bytes, and its place.
+
+    data: joined texts; base: where each set's text begins. The core is what all strings of a whole part have in common, size - width + 1 bytes: its
+    rank is the pair of the ranks of its first and its last half string.
+    """
+    half = size // 2
+    at, n, d = unpacked(place)
+    low, high = (d - n + 1) // width, d // width
+    parts = high - low + 1
+    owner = np.repeat(np.arange(len(place)), parts)
+    cell = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    top = np.minimum(d[owner], cell * width + width - 1)
+    count = top - np.maximum((d - n + 1)[owner], cell * width) + 1
+    start = at[owner] + d[owner] - top
+    total = sums(data)
+    inverse = powers(len(total))[1]
+    of = lambda a, length: mix((total[a + length] - total[a]) * inverse[a])
+    first = base[owner] + start
+    core = first + top - cell * width
+    whole = mix(of(first, count - 1 + size) + (count << 8 | top).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return owner, of(core, half), of(core + (size - width + 1) - half, half), whole, packed(start, count, top)
+
+
+def ranked(texts: DataFrame, size: int, width: int) -> DataFrame:
+    """RANKS rows of the sets of texts (k1, k2, packed, sets array<struct<place,many>>), cut to parts of `width`.
+
+    A core that a batch has twice is repeated for certain. Its parts are told apart by a salt, of equal ones all but the first by any salt, and a mark of the
+    core goes to salt 0 (those others have negative ones): so of a core, and of each of its parts, a batch sends one row to a group at most, however common they are.
     """
 
     def run(batches):
         for batch in batches:
-            found: dict[tuple[bytes, bool], list[tuple[int, int]]] = {}
-            for key, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = zlib.decompress(packed.as_py())
-                # Equal rows have one key, and each of them brings the places of all.
-                for at, more, big in {(x["at"], x["more"], x["big"]) for x in places}:
-                    for a, m in [(at + d, 0) for d in range(more + 1)] if big else [(at, more)]:
-                        found.setdefault((data[a : a + m + size], big), []).append((key, a))
-            if not found:
-                continue
-            sure: dict[int, list[tuple[int, int]]] = {}
-            rows = []
-            for (context, _), members in found.items():
-                rows.append((context, *(members[0] if len(members) == 1 else (None, None)), None))
-                if len(members) > 1:
-                    for key, a in members:
-                        sure.setdefault(key, []).append((a, a + len(context) - size + 1))
-            bucket = bucket_of([x for x, _ in found], np.array([big for _, big in found]), size, buckets).tolist()
-            for key, spans in sure.items():
-                for a, b in removed_runs(spans):
-                    rows.append((None, key, a, b - 1))
-                    bucket.append(key % buckets)
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["bucket", "context", "key", "at", "stop"])
-
-    return texts.mapInArrow(run, "bucket int, context binary, key long, at int, stop int")
-
-
-def joined_bytes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
-
-
-def bucket_of(parts: list[bytes], big: np.ndarray, size: int, buckets: int) -> np.ndarray:
-    """By the half string that the context's strings have in common; of big ones by the whole string."""
-    out = np.zeros(len(parts), np.int64)
-    start = 0
-    while start < len(parts):
-        end, total = start, 0
-        while end < len(parts) and (end == start or total + len(parts[end]) <= SLICE):
-            total += len(parts[end])
-            end += 1
-        data, ends = joined_bytes(parts[start:end])
-        half, text, _, _ = spots(data, ends, size)
-        first = np.append(True, text[1:] != text[:-1])  # a context has one
-        rank = np.zeros(end - start, np.uint64)
-        rank[text[first]] = half[first]
-        rank = np.where(big[start:end], windows(sums(data), size)[ends[:-1]], rank)
-        out[start:end] = (mix(rank + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-        start = end
-    return out
-
-
-def repeats(found: DataFrame, size: int) -> DataFrame:
-    """(key, start, stop): the runs of strings' starts that repeat, from contexts().
-
-    Each string's rank pair (of its first and of its last half) is its rank at the
-    doubled length, 128 bits; equal pairs are equal strings, and all of them are in one bucket.
+            found, buffer, sets = [], [], []
+            filled = 0
+
+            def flush():
+                nonlocal filled
+                if sets:
+                    base, place, many, k1, k2 = (np.concatenate(x) for x in zip(*sets, strict=True))
+                    owner, r1, r2, whole, places = rank_pairs(np.frombuffer(b"".join(buffer), np.uint8), base, place, size, width)
+                    rows = np.zeros(len(owner), RANKS)
+                    rows["r1"], rows["r2"], rows["whole"], rows["place"] = r1.astype(np.int64), r2.astype(np.int64), whole.astype(np.int64), places
+                    rows["k1"], rows["k2"], rows["many"], rows["old"] = k1[owner], k2[owner], many[owner], many[owner]
+                    found.append(rows)
+                buffer.clear()
+                sets.clear()
+                filled = 0
+
+            for k1, k2, text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                data = zlib.decompress(text.as_py())
+                place, many = np.array([x["place"] for x in some], np.int64), np.array([x["many"] for x in some], bool)
+                for cut in range(0, max(1, len(data)), SLICE):  # a long text in parts
+                    here = place >> 16
+                    here = (here >= cut) & (here < cut + SLICE)
+                    if here.any():
+                        part = data[cut : cut + SLICE + 2 * size]
+                        k = int(here.sum())
+                        sets.append((np.full(k, filled - cut), place[here], many[here], np.full(k, k1), np.full(k, k2)))
+                        buffer.append(part)
+                        filled += len(part)
+                        if filled >= SLICE:
+                            flush()
+            flush()
+            if found:
+                yield pa.RecordBatch.from_pandas(salted(np.concatenate(found)), preserve_index=False)
+
+    def salted(rows: np.ndarray):
+        import pandas as pd
+
+        order, first, count = groups_of(rows["r1"], rows["r2"])
+        rows, sure = rows[order], count > 1
+        marks = rows[first][sure[first]]
+        order, begins, same = groups_of(rows["r1"], rows["r2"], rows["whole"])
+        rows, sure = rows[order], sure[order]
+        rows["many"] |= same > 1
+        lead = np.zeros(len(rows), bool)
+        lead[begins] = True
+        salt = mix(rows["whole"].astype(np.uint64) + np.where(lead, np.uint64(0), mix(rows["place"].astype(np.uint64) + rows["k1"].astype(np.uint64))))
+        salt = (salt >> np.uint64(1) | np.uint64(1)).astype(np.int64)
+        rows["salt"] = np.where(sure, np.where(lead, salt, -salt), 0)
+        out = pd.DataFrame({c: np.concatenate([rows[c], marks[c]]) for c in RANKS.names})
+        out["mark"] = np.arange(len(out)) >= len(rows)
+        out.loc[out["mark"], "salt"] = 0
+        return out
+
+    kinds = "r1 long, r2 long, salt long, whole long, k1 long, k2 long, place long, many boolean, old boolean, mark boolean"
+    return texts.mapInArrow(run, kinds)
+
+
+def doubled(rows: DataFrame, last: bool) -> DataFrame:
+    """(k1, k2, place, many, found, on) of ranked(): Spark sorts them by rank pair; parts of a unique core are dropped.
+
+    many: all strings of the part repeat (the part is somewhere else as well). found: that is known only now. on: it goes on to longer cores; of equal parts that
+    are known one does, for the others to meet it, and only where a part of the core isn't known.
     """
-    half = size // 2
-
-    def run(table: pa.Table) -> pa.Table:
-        sure = table.filter(pc.is_null(table["context"]))
-        table = table.filter(pc.is_valid(table["context"]))
-        data, ends = joined_bytes(table["context"].to_pylist())
-        known = pc.is_valid(table["key"]).to_numpy()
-        keys, places = (pc.fill_null(table[c], 0).to_numpy() for c in ("key", "at"))
-        halves = windows(sums(data), half)
-        counts = np.diff(ends) - size + 1
-        owner = np.repeat(np.arange(len(counts)), counts)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = ends[owner] + offset
-        low, high = halves[at], halves[at + size - half]
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)])
-        copies = np.where(known, 1, 2)[owner[order]]
-        twice = np.zeros(len(owner), bool)
-        if len(first):
-            twice[order] = np.repeat(np.add.reduceat(copies, first) > 1, np.diff(np.append(first, len(owner))))
-        twice &= known[owner]
-        other = owner[1:] != owner[:-1]
-        begin = np.flatnonzero(twice & np.append(True, ~twice[:-1] | other)[: len(owner)])
-        stop = np.flatnonzero(twice & np.append(~twice[1:] | other, True)[: len(owner)])
-        key = np.concatenate([keys[owner[begin]], sure["key"].to_numpy()])
-        start = np.concatenate([places[owner[begin]] + offset[begin], sure["at"].to_numpy()])
-        end = np.concatenate([places[owner[stop]] + offset[stop], sure["stop"].to_numpy()])
-        return pa.table({"key": pa.array(key, pa.int64()), "start": pa.array(start.astype(np.int32)), "stop": pa.array(end.astype(np.int32))})
-
-    return found.groupBy("bucket").applyInArrow(run, "key long, start int, stop int")
+    core, part = W.partitionBy("r1", "r2", "salt"), W.partitionBy("r1", "r2", "salt", "whole")
+    rows = rows.withColumns(
+        {
+            "_n": F.count("*").over(core), "_open": F.count_if(~F.col("many") | F.col("mark")).over(core),
+            "_same": F.sum(F.when(F.col("mark"), 2 if last else 0).when(F.col("many"), 2).otherwise(1)).over(part), "_k": F.row_number().over(part.orderBy("mark", "k1", "place")),
+        }
+    ).where("not mark")
+    rows = rows.withColumn("_many", F.col("many") | (F.col("_same") > 1))
+    waits = (F.col("_k") == 1) & ((F.col("_open") > 0) | (F.col("salt") > 0))
+    on = F.lit(False) if last else (F.col("salt") >= 0) & ((F.col("salt") > 0) | (F.col("_n") > 1)) & (~F.col("_many") | waits)
+    out = rows.select("k1", "k2", "place", F.col("_many").alias("many"), (F.col("_many") & ~F.col("old")).alias("found"), on.alias("on"))
+    return out.where("found or on")
 
 
 def removed_runs(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -233,34 +276,51 @@ def removed_runs(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, large: int = LARGE) -> DataFrame:
+def widths(half: int) -> list[int]:
+    """Of the parts in each round, down to single strings."""
+    return list(dict.fromkeys([half + 1, *(int(np.ceil((half + 1) ** p)) for p in (2 / 3, 1 / 3)), 1]))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept binary (the rest of its UTF-8 bytes).
 
-    Each byte goes that is covered by a string of `size` bytes (an even number) which also starts
+    Each byte goes that is covered by a string of `size` bytes (an even number up to 500) which also starts
     elsewhere in any row, the same one included. Strings do not cross rows, are
     judged on the input, and overlaps count. Null texts are empty; repeated rows
     are rows of their own, so all their strings repeat. No rows give no rows; other
-    columns are ignored. A row's key is a 64-bit hash of id and text.
+    columns are ignored. A row's key is a 128-bit hash of id and text.
 
-    Prefix doubling with positions sampled so that no repeat is missed: ranks of half strings first, then,
-    around those that are at several positions, rank pairs of the whole length.
+    Prefix doubling from sampled positions, so that no repeat is missed. All strings that a sampled position stands for have a core in
+    common. In rounds Spark sorts the cores by rank pairs, of their first half string and of the one at an offset, which grows from round to round until the core is the whole
+    string; unique cores are dropped. Strings of a core that is somewhere else go on in smaller parts with longer cores, unless
+    the part as a whole is somewhere else, which settles all its strings.
     """
+    if size % 2 or not 2 <= size <= 500:
+        raise ValueError("the size must be an even number of 2 to 500 bytes")
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(spark)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(1), "text", "id")})
+    texts, results = packed_texts(docs), []
     with arrow_batches(spark, BATCH):
-        places = repeated_spots(docs, size, large).groupBy("key").agg(F.collect_list(F.struct("at", "more", "big")).alias("places"))
-        places = materialize(places, "repeat-places")
-        texts = packed_texts(docs).join(places, "key").select("key", "packed", "places")
-        spans = repeats(contexts(texts, size, buckets), size)
-        spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "repeat-spans")
+        sets = repeated_spots(docs, size).withColumn("many", F.lit(False))
+        for width in widths(size // 2):
+            sets = sets.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "many")).alias("sets"))
+            sets = materialize(sets, "repeat-sets")
+            rows = doubled(ranked(texts.join(sets, ["k1", "k2"]), size, width), width == 1)
+            rows = materialize(rows, "repeat-ranks")
+            results.append(rows.where("found").select("k1", "k2", "place"))
+            sets = rows.where("on").select("k1", "k2", "place", "many")
+        found = results[0]
+        for more in results[1:]:
+            found = found.unionByName(more)
+        spans = materialize(found.groupBy("k1", "k2").agg(F.collect_set("place").alias("places")), "repeat-spans")
 
     def cut(batches):
         for batch in (whole.slice(a, BATCH) for whole in batches for a in range(0, whole.num_rows, BATCH)):
             n, gone, runs, rest = [], [], [], []
-            for packed, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = zlib.decompress(packed.as_py())
-                where = list(removed_runs([(x["start"], x["stop"] + size) for x in found or []]))
+            for text, places in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = zlib.decompress(text.as_py())
+                where = list(removed_runs([(x >> 16, (x >> 16) + (x >> 8 & 255) - 1 + size) for x in places or []]))
                 kept, at = [], 0
                 for a, b in where:
                     kept.append(data[at:a])
@@ -276,10 +336,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pack(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column(2)], pa.binary())], names=["id", "key", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in batch.column(3)], pa.binary())], names=["id", "k1", "k2", "packed"])
 
-    rows = docs.select("id", "key", "text").mapInArrow(pack, f"id {kind}, key long, packed binary")
-    return rows.join(spans, "key", "left").select("id", "packed", "spans").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = docs.select("id", "k1", "k2", "text").mapInArrow(pack, f"id {kind}, k1 long, k2 long, packed binary")
+    return rows.join(spans, ["k1", "k2"], "left").select("id", "packed", "places").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,11 +58,12 @@ def repeated(rows, size):
         yield i, len(b), sum(gone), spans, kept
 
 
-@pytest.mark.parametrize("size, large", [(200, 50_000), (16, 50_000), (16, 2)])
-def test_repeats_equal_brute_force(spark, size, large):
+@pytest.mark.parametrize("size, batch", [(200, 1000), (16, 1000), (16, 3), (2, 7)])
+def test_repeats_equal_brute_force(spark, monkeypatch, size, batch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     docs = documents(spark) if size == 200 else documents(spark).where("length(text) < 1000 or text is null")
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    got = [(r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, size=size, large=large).collect()]
+    got = [(r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, size=size).collect()]
     assert sorted(got) == sorted(repeated(rows, size))
     assert sum(r[2] for r in got) > 0
 
@@ -75,14 +76,38 @@ def test_repeats_of_no_documents(spark):
 def test_long_texts_are_sampled_in_parts(monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(5000)) + "x" * 500
-    keys = np.zeros(1, np.int64)
-    whole = suffix_dedup.all_spots(pa.array([text]), keys, 64)
+    key = np.zeros(1, np.int64)
+    whole = suffix_dedup.all_spots(pa.array([text]), key, key, 64)
     monkeypatch.setattr(suffix_dedup, "SLICE", 700)
-    parts = suffix_dedup.all_spots(pa.array([text]), keys, 64)
-    covered = lambda rows: sorted(a + d for a, m in zip(rows["at"].tolist(), rows["more"].tolist()) for d in range(m + 1))
+    parts = suffix_dedup.all_spots(pa.array([text]), key, key, 64)
+
+    def covered(rows):
+        at, n, _ = suffix_dedup.unpacked(rows["place"])
+        return sorted(a + k for a, m in zip(at.tolist(), n.tolist()) for k in range(m))
+
     assert covered(parts) == covered(whole) == list(range(5500 - 64 + 1))
 
 
+@pytest.mark.parametrize("batch", [1000, 5])
+def test_a_very_common_passage_in_different_places(spark, monkeypatch, batch):
+    """In most texts, each with other text around it, at other distances, sometimes with a slip, sometimes twice; long texts in parts."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 900)
+    rng = random.Random(batch)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, texts = some(260), []
+    for k in range(60):
+        body = list(passage)
+        if k % 3 == 0:
+            body[rng.randrange(len(body))] = "#"
+        texts.append(some(rng.randrange(250)) + "".join(body[rng.randrange(40) :]) + some(rng.randrange(250)) + ("".join(body) if k % 7 == 0 else "") + (some(2500) if k % 20 == 0 else ""))
+    texts += texts[:4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(repeated([(k, t.encode()) for k, t in enumerate(texts)], 200))
+    assert sum(r[2] > 0 for r in got) > 40
+
+
 def brute_sets(rows):
     for i, t in rows:
         w = [x for x in "".join(" " if c in WHITE else c for c in (t or "")).translate(A_TO_Z).split(" ") if x]
