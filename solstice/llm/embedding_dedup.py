@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, materialize, new_path
 
 #: Vectors in a tile, about; and rows of a tile that are compared with the other tile at once.
 TILE, STRIP = 4096, 512
+#: Tiles that a row of work compares one tile with.
+RUN = 8
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,37 +98,51 @@ def least_labels(n: int, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_tiles(pairs: DataFrame, axes: np.ndarray, dims: int, threshold: float) -> DataFrame:
+def read_tile(files: fs.FileSystem, path: str, dims: int, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, copies, vectors) of a tile's file; none without one."""
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims))
+    with files.open_input_file(path) as file:
+        data = file.read()
+    n = len(data) // (16 + dims * (4 if single else 8))
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.float32 if single else np.float64, n * dims, 16 * n).reshape(-1, dims)
+
+
+def compare_tiles(work: DataFrame, folder: str, axes: np.ndarray, dims: int, single: bool, threshold: float) -> DataFrame:
     """(id, degree, to): per vector with links in a pair of tiles, how many rows it links with, and the smallest id of its local component.
 
-    So a tile pair returns at most a row for each of its vectors, however many links there are.
+    work: tile i and the tiles first to last. A task reads them from the shared folder, so only their numbers are dealt out. A tile pair returns at most a row for
+    each of its vectors, however many links there are.
     """
 
     def run(batches):
+        files, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["i"] == row["j"]
-                sides = []
-                for side in "i" if same else "ij":
-                    kind = np.float32 if row[f"single_{side}"] else np.float64
-                    sides.append((np.frombuffer(row[f"ids_{side}"], np.int64), np.frombuffer(row[f"copies_{side}"], np.int64), np.frombuffer(row[f"v_{side}"], kind).reshape(-1, dims)))
-                ids = np.concatenate([x[0] for x in sides])
-                copies = np.concatenate([x[1] for x in sides])
-                shift = 0 if same else len(sides[0][0])
-                degree, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-                order = np.argsort(ids)  # labels by rank, so that the smallest label is the smallest id
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
-                for ii, jj in linked(sides[0][2], sides[-1][2], axes, threshold, same):
-                    jj = jj + shift
-                    np.add.at(degree, ii, copies[jj])
-                    np.add.at(degree, jj, copies[ii])
-                    label = least_labels(len(ids), np.concatenate([rank[ii], np.arange(len(ids))]), np.concatenate([rank[jj], label]))
-                found = np.flatnonzero(degree)
-                if len(found):
-                    yield pa.RecordBatch.from_pydict({"id": ids[found], "degree": degree[found], "to": ids[order[label[rank[found]]]]})
-
-    return pairs.mapInArrow(run, "id long, degree long, to long")
+            for i, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = read_tile(files, f"{root}/{i}", dims, single)
+                for j in range(first, last + 1):
+                    other = one if i == j else read_tile(files, f"{root}/{j}", dims, single)
+                    if len(other[0]):
+                        yield from compared(one, other, i == j)
+
+    def compared(one, other, same):
+        sides = [one] if same else [one, other]
+        ids, copies = (np.concatenate([x[k] for x in sides]) for k in (0, 1))
+        shift = 0 if same else len(one[0])
+        degree, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        order = np.argsort(ids)  # labels by rank, so that the smallest label is the smallest id
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        for ii, jj in linked(one[2], sides[-1][2], axes, threshold, same):
+            jj = jj + shift
+            np.add.at(degree, ii, copies[jj])
+            np.add.at(degree, jj, copies[ii])
+            label = least_labels(len(ids), np.concatenate([rank[ii], np.arange(len(ids))]), np.concatenate([rank[jj], label]))
+        found = np.flatnonzero(degree)
+        if len(found):
+            yield pa.RecordBatch.from_pydict({"id": ids[found], "degree": degree[found], "to": ids[order[label[rank[found]]]]})
+
+    return work.mapInArrow(run, "id long, degree long, to long")
 
 
 def _links(vectors: DataFrame, dims: int, single: bool, threshold: float, tile: int) -> DataFrame:
@@ -151,28 +168,29 @@ def _links(vectors: DataFrame, dims: int, single: bool, threshold: float, tile:
             at = np.searchsorted(edges, batch.column(3).to_numpy(), "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["id", "copies", "v", "angle", "tile"])
 
-    def pack(table: pa.Table) -> pa.Table:
+    folder = new_path(spark, "vector-tiles")
+
+    def write(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        angle = table["angle"].to_numpy()
+        angle, tile = table["angle"].to_numpy(), table["tile"][0].as_py()
         v = rows_of(table["v"].chunk(0) if table["v"].num_chunks else table["v"], dims)
-        return pa.table({
-            "tile": table["tile"][:1], "low": [angle.min()], "high": [angle.max()], "single": [single],
-            "ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "copies": pa.array([table["copies"].to_numpy().tobytes()], pa.binary()),
-            "v": pa.array([np.ascontiguousarray(v, np.float32 if single else np.float64).tobytes()], pa.binary()),
-        })
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        with files.open_output_stream(f"{root}/{tile}") as file:
+            for part in (table["id"].to_numpy(), table["copies"].to_numpy(), np.ascontiguousarray(v, np.float32 if single else np.float64)):
+                file.write(part.tobytes())
+        return pa.table({"tile": pa.array([tile], pa.int32()), "low": [angle.min()], "high": [angle.max()]})
 
     dealt = placed.mapInArrow(tiles, f"id long, copies long, v array<{number}>, angle double, tile int")
-    packed = materialize(dealt.groupBy("tile").applyInArrow(pack, "tile int, low double, high double, single boolean, ids binary, copies binary, v binary"), "vector-tiles")
     # Tiles are ranges of the angle to the first axis; vectors further apart in it than this have a smaller cosine.
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    known = packed.select("tile", "low", "high").orderBy("tile").toPandas()
-    last = known["tile"].to_numpy()[np.searchsorted(known["low"].to_numpy(), known["high"].to_numpy() + reach, "right") - 1]
-    spans = spark.createDataFrame([(int(i), int(j)) for i, j in zip(known["tile"], last, strict=True)], "i int, last int")
-    pairs = spans.select("i", F.explode(F.sequence("i", "last")).alias("j"))
-    for side in "ij":
-        pairs = pairs.join(packed.select(F.col("tile").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("single", "ids", "copies", "v")]), side)
-    spread = pairs.select("i", "j", *[f"{x}_{s}" for s in "ij" for x in ("single", "ids", "copies", "v")])
-    return compare_tiles(spread, axes, dims, threshold)
+    known = dealt.groupBy("tile").applyInArrow(write, "tile int, low double, high double").toPandas().sort_values("tile")
+    order = known["tile"].to_numpy()
+    last = order[np.searchsorted(known["low"].to_numpy(), known["high"].to_numpy() + reach, "right") - 1]
+    spans = spark.createDataFrame([(int(i), int(j)) for i, j in zip(order, last, strict=True)], "i int, last int")
+    runs = spans.select("i", F.explode(F.sequence("i", "last", F.lit(RUN))).alias("first"), "last")
+    runs = runs.select("i", "first", F.least("last", F.col("first") + RUN - 1).alias("last"))
+    return compare_tiles(runs.repartition("i", "first"), folder, axes, dims, single, threshold)
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
@@ -184,7 +202,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     counted as often as they occur. No rows give no rows. Other columns are ignored.
 
     All pairs of tiles that the first axis does not rule out are compared: the
-    result is exact, and the work is quadratic where vectors spread evenly. Each tile
+    result is exact, and the work is quadratic where vectors spread evenly. Tiles are files that tasks
+    read, so what is shuffled grows with the vectors only. Each tile
     pair returns counts and a spanning part of its links, never all its pairs.
     """
     single = rows.schema[vec_col].dataType.elementType.simpleString() == "float"
