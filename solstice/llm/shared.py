@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What the operators wrote, in order, by application: folders and tables.
+_written: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(spark: SparkSession) -> int:
+    """How many folders the operators have written in this application so far: a mark for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes what the operators have written since a mark, but for the last few: call it when their results are stored elsewhere.
+
+    Results that are not read yet read these folders, so nothing is deleted by itself.
+    """
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - but]
+    del paths[since : len(paths) - but]
+    for path in gone:
+        files, place = fs.FileSystem.from_uri(path)
+        if files.get_file_info(place).type == fs.FileType.Directory:
+            files.delete_dir(place)
+        name = place.rsplit("/", 1)[-1].rsplit("-", 1)[0]
+        if name.startswith("line_run_"):  # a table of the catalogue
+            spark.sql(f"drop table if exists `{name}`")
 
 
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:

@@ -290,3 +290,22 @@ def test_pipeline_stages_take_nulls_repeats_ties_and_clashing_columns(spark):
     for name, stage in corpus_pipeline.STAGES:
         nothing = shared.materialize(stage(spark, nothing, SF), f"none-{name}")
     assert nothing.count() == 0
+
+
+def test_release_deletes_what_operators_wrote(spark):
+    from urllib.parse import urlparse
+
+    from solstice.llm import line_dedup
+
+    mark = shared.written(spark)
+    kept = line_dedup.dedup_lines(documents(spark)).select("doc_id", "kept").toPandas()
+    last = shared.materialize(spark.range(3), "last")
+    paths = [urlparse(p).path for p in shared._written[spark.sparkContext.applicationId][mark:]]
+    tables = {t.name for t in spark.catalog.listTables()}
+    assert len(kept) and any(t.startswith("line_run_") for t in tables)
+    shared.release(spark, mark, but=1)
+    import os
+
+    assert [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True] and last.count() == 3
+    assert shared.written(spark) == mark + 1
+    assert not {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in paths} & {t.name for t in spark.catalog.listTables()}
