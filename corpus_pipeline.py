@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solstice.llm import jaccard_join, language_id, line_dedup, mixing, sentencepiece_codec
-from solstice.llm.shared import materialize
+from solstice.llm.shared import materialize, release, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each keeps is written to the shared folder and read again, and what it needed on the way is deleted."""
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, begin, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
