@@ -83,7 +83,7 @@ def word_pieces(text: np.ndarray, most: int) -> Iterator[np.ndarray]:
     start = 0
     while start < len(text):
         end = start + most
-        while end < len(text) and not (gap := SPACES[end : end + most]).any():
+        while end < len(text) and not (gap := SPACES[text[end : end + most]]).any():
             end += most  # a very long word
         end = min(len(text), end + int(gap.argmax())) if end < len(text) else len(text)
         yield text[start:end]

@@ -147,7 +147,7 @@ def test_language_edge_cases(spark):
 
 
 def test_profiles_are_bound_by_position():
-    a, b = (language_id.gram_vectors(language_id.gram_codes(x), 512, 7).sum(axis=0, dtype=float) for x in ("abcabcabc", "cbacbacba"))
+    a, b = (language_id.gram_vectors(np.concatenate(list(language_id.gram_codes(x))), 512, 7).sum(axis=0, dtype=float) for x in ("abcabcabc", "cbacbacba"))
     assert abs(a @ b) / np.linalg.norm(a) / np.linalg.norm(b) < 0.6
 
 
@@ -309,3 +309,122 @@ def test_release_deletes_what_operators_wrote(spark):
     assert [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True] and last.count() == 3
     assert shared.written(spark) == mark + 1
     assert not {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in paths} & {t.name for t in spark.catalog.listTables()}
+
+
+def test_url_parts_rules_and_verdicts_equal_brute_force(spark):
+    """Over all pages of the smallest tables and odd URLs: host, path and the longest rule by plain string work; rules decide verdicts."""
+    odd = ["HTTP://A.COM/en/", "x://com", "x://com/en", "x://com/en/?q", "a://b://c/d", "://", "http://EXAMPLE.COM/EN/7", "http://ÄB.com/en/", "http://a.b.example.net/de/8#x", "http://notexample.net/de/8", "http://org/es/" + "z" * 50_000, "h" * 9000]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    rows = [(r.page_id, r.url) for r in pages.collect()] + [(10**6 + k, u) for k, u in enumerate(odd)] + [(None, "http://www.com/en/x"), (5, None)]
+
+    def brute(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        for mark in "#?":
+            rest = rest.split(mark)[0]
+        host, path = rest.split("/", 1)[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), ""
+        if "/" in rest:
+            path = "/" + rest.split("/", 1)[1]
+        fits = [(len(rule), rule, verdict) for verdict, rule in url_filter.RULES if (f".{host}").endswith("." + rule.split("/", 1)[0]) and path.startswith("/" + rule.split("/", 1)[1])]
+        return host, path, max(fits)[1:] if fits else (None, None)
+
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    key = lambda x: (str(x[0]), x[1], x[2], str(x[3]))
+    want = sorted(((i, h, p, rule) for i, u in rows for h, p, (rule, _) in [brute(u)]), key=key)
+    assert sorted(((r.page_id, r.host, r.path, r.rule) for r in got), key=key) == want
+    verdict = {rule: v for v, rule in url_filter.RULES}
+    assert all(r.verdict == verdict[r.rule] if r.rule else r.verdict in ("allow", "block") for r in got)
+
+
+def test_language_equals_direct_bundling(spark):
+    """The same by one vector per letter, one product per n-gram and one sum per occurrence."""
+    dims = 256
+
+    def bundle(text):
+        letters = "".join(x.lower() if x.isalpha() and len(x.lower()) == 1 else x if x.isalpha() else " " for x in text or "")
+        letters = " " + " ".join(letters.split()) + " " if letters.strip() else " "
+        total = np.zeros(dims)
+        for k in range(len(letters) - 2):
+            parts = [np.roll(language_id.letter_vector(0 if c == " " else ord(c), dims, 7), 2 - place) for place, c in enumerate(letters[k : k + 3])]
+            total += parts[0] * parts[1] * parts[2].astype(float)
+        return total
+
+    docs = documents(spark).where("length(text) < 3000 or text is null")
+    rows = docs.collect()
+    bundles = {id(r): bundle(r.text) for r in rows}
+    want = {}
+    for r in rows:
+        if r.lang and r.text is not None:
+            want[r.lang] = want.get(r.lang, 0) + bundles[id(r)]
+    want = {k: v / np.linalg.norm(v) for k, v in want.items()}
+    got = language_id.learn(docs, dims=dims)
+    assert sorted(got) == sorted(want) and all(np.abs(got[k] - want[k]).max() < 1e-9 for k in want)
+    out = {(r.doc_id, r.text): r for r in language_id.identify(docs, got, keep=["text"]).collect()}
+    for r in rows:
+        b = bundles[id(r)]
+        if b.any():
+            scores = {k: b @ v / np.linalg.norm(b) for k, v in want.items()}
+            told = out[r.doc_id, r.text]
+            assert abs(told.score - max(0, max(scores.values()))) < 1e-4
+            assert abs(scores[told.lang_pred] - max(scores.values())) < 1e-4
+
+
+def test_languages_of_long_texts_are_counted_in_pieces():
+    text = "Ab, c d'E ff  g" * 20
+    whole = np.concatenate(list(language_id.gram_codes(text)))
+    for most in (1, 2, 3, 7, 100):
+        assert (np.concatenate(list(language_id.gram_codes(text, most))) == whole).all()
+
+
+def test_words_of_long_texts_are_hashed_in_pieces():
+    import pyarrow as pa
+
+    from solstice.llm import hashing
+
+    rng = random.Random(3)
+    text = "".join(rng.choice(["ab", "c", " ", "\n", "x" * 40, "é"]) for _ in range(4000))
+    want = next(hashing.shingle_sets(pa.array([text]), most=1 << 20))
+    for most in (16, 100, 5000):
+        assert (next(hashing.shingle_sets(pa.array([text]), most=most)) == want).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<article>", "</article>", "<b>", "</b>", "<ul>", "<li>", "</ul>", "<a href='x'>", "</a>", "One, two. ", "&amp;", "<", "\"", "<div title=\"hidden class=ad\">", "<nav>", "</nav>", "<br>", "<td>", "<tr>", "<script>x</script>", "<!-- c -->"]), max_size=40))
+def test_scores_from_the_leaves_up_equal_a_walk_to_the_root(pieces):
+    """Scores, sizes and links of each element, against a walk from every block to the root."""
+    page = html_extract.parse("".join(pieces))
+    n = len(page.names)
+    assert all(page.parents[i] < i for i in range(1, n))
+    points = [0.0] * n
+    direct = [0.0] * n
+    for node, text, _ in page.blocks:
+        points[node] += len(text)
+        share, up = 1.0, node
+        while up:
+            direct[up] += len(text) * share
+            up, share = page.parents[up], share / 2
+        direct[0] += len(text) * share
+    assert np.allclose(html_extract.summed_up(points, page.parents, 0.5), direct)
+    assert html_extract.main_text("".join(pieces)) is not None
+
+
+@pytest.mark.parametrize("attribute", ['title="hidden gem"', 'data-hidden="false"', 'data-class="ad"', 'data-role="search"', 'aria-label="class=menu"', "alt='role=banner'", 'class=text class="ad"', "style='color:red'", 'aria-hidden="false"'])
+def test_attributes_are_read_by_name(attribute):
+    page = f"<article><p>One, two.</p><div {attribute}><p>Three, four words.</p></div></article>"
+    assert html_extract.main_text(page) == "One, two. Three, four words."
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", 'class="x ad"', "id=sidebar", "role='search'", "aria-hidden=true", "style='display: none'", "title='a' class=\"newsLetter\""])
+def test_unwanted_attributes_hide(attribute):
+    assert html_extract.main_text(f"<article><p>One, two.</p><div {attribute}><p>Three, four.</p></div></article>") == "One, two."
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for k in (2000, 16_000):
+        begin = time.perf_counter()
+        for page in ("<div>" * k + "<p>One, two.", "<a \"" * k, "<li></x>" * k, "<b " * k, "<!--" * k, "<ul><li>" * k + "</li>" * k):
+            html_extract.main_text(page)
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 30 * took[0] + 1
