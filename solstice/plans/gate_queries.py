@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lens as L
 from ..functions import quaternion as Q
-from ..operators import calibration, gates, matching, raster
+from ..operators import calibration, frames, gates, matching, raster
 from ..operators import series as S
 from .tables import EVENTS, SERIES, events, table
 
@@ -410,3 +410,68 @@ def zero_phase_lowpass(spark, d) -> DataFrame:
     long = e.groupBy("source").count().where("count > 12").select("source")
     out = calibration.lowpass(e.join(long, "source", "left_semi"), 0.5)
     return out.select("source", F.round("t", 1).alias("t"), *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+_GRID = "g as (select (p_partkey // 20)::int as row, (p_partkey % 20)::int as col, (p_size - 25) / 40::double as fx, ((p_partkey * 7) % 11 - 5) / 8::double as fy, (p_partkey % 15)::double as texture, p_partkey % 37 <> 0 as valid, p_size * 5::double as value from part)"
+
+
+def _pixels(spark, d) -> DataFrame:
+    """Parts as the pixels of a picture of 20 columns and as many rows as there are."""
+    key = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        F.lit(0).alias("frame"), F.floor(key / 20).cast("int").alias("row"), (key % 20).cast("int").alias("col"), ((F.col("p_size") - 25) / 40).alias("fx"), (((key * 7) % 11 - 5) / 8).alias("fy"),
+        (key % 15).cast("double").alias("texture"), (key % 37 != 0).alias("valid"), (F.col("p_size") * 5.0).alias("value"),
+    )
+
+
+@query(f"""with {_GRID}, e as (select *, col + fx as x, row + fy as y from g where valid), c as (select row, col, fx, fy, (floor(x)::int + dx + 20) % 20 as c, floor(y)::int + dy as r, case when dx = 1 then x - floor(x) else 1 - (x - floor(x)) end * case when dy = 1 then y - floor(y) else 1 - (y - floor(y)) end as w
+ from e, (values (0, 0), (1, 0), (0, 1), (1, 1)) as k(dx, dy)), b as (select c.row, c.col, sum(w * -g.fx * 0.9::double) as bx, sum(w * -g.fy * 0.9::double) as b_y, sum(w) as covered from c join g on g.row = c.r and g.col = c.c and g.valid group by 1, 2), t as (
+ select g.row, g.col, covered, sqrt((fx + bx) ** 2 + (fy + b_y) ** 2) as error, sqrt((fx * 0.03::double) ** 2 + (fy * 0.03::double) ** 2) as moved, texture, valid from g left join b on b.row = g.row and b.col = g.col), s as (
+ select *, greatest(0.0::double, least(1.0::double, 1.5::double - error)) as a, greatest(0.0::double, least(1.0::double, (texture - 1) / 12)) as q from t)
+select row, col, round(case when coalesce(valid and covered > 0.99::double and moved < radians(2), false) then a * a * (3 - 2 * a) * q * q * (3 - 2 * q) else 0 end, 6) as trust from s""")
+def flow_trust(spark, d) -> DataFrame:
+    p = _pixels(spark, d)
+    back = p.withColumns({"fx": -F.col("fx") * 0.9, "fy": -F.col("fy") * 0.9})
+    return frames.flow_trust(p, back, 20, 0.03, 0.03).select("row", "col", F.round("trust", 6).alias("trust"))
+
+
+@query(f"""with {_GRID}, l as (select value, coalesce(lag(value) over a, lead(value) over a, value) + coalesce(lead(value) over a, lag(value) over a, value) + coalesce(lag(value) over b, lead(value) over b, value) + coalesce(lead(value) over b, lag(value) over b, value) - 4 * value as l
+ from g window a as (partition by row order by col), b as (partition by col order by row)) select 0 as frame, round(avg(value) / 255, 9) as luminance, round(var_pop(l), 6) as detail from l""")
+def picture_statistics(spark, d) -> DataFrame:
+    out = frames.picture_statistics(_pixels(spark, d), "frame")
+    return out.select("frame", F.round("luminance", 9).alias("luminance"), F.round("detail", 6).alias("detail"))
+
+
+@query("""with l as (select l_orderkey * 10 + l_linenumber as line, l_quantity / 50 as alpha, l_discount * 10 as trust, ln((l_tax + 0.01::double) / (l_discount + 0.01::double)) as r from lineitem)
+select line, round((1 - alpha) * trust, 6) as first, round(alpha * trust, 6) as second, round(exp(least(r, 0)), 6) as gain0, round(exp(least(-r, 0)), 6) as gain1 from l""")
+def seam_gains(spark, d) -> DataFrame:
+    c = F.col
+    first, second = frames.displacement(c("l_quantity") / 50, c("l_discount") * 10)
+    gain0, gain1 = frames.gains(F.ln((c("l_tax") + 0.01) / (c("l_discount") + 0.01)))
+    return table(spark, d, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("line"), *[F.round(x, 6).alias(n) for x, n in ((first, "first"), (second, "second"), (gain0, "gain0"), (gain1, "gain1"))])
+
+
+def _rays(e: DataFrame) -> DataFrame:
+    x, y, z = (F.element_at("embedding", k).cast("double") for k in (1, 2, 3))
+    n = F.sqrt(x * x + y * y + z * z)
+    return e.select("label", "vec_id", "embedding", *[F.when(n > 0, v / n).alias(c) for v, c in zip((x, y, z), "xyz", strict=True)])
+
+
+@query()
+def matched_rotations(spark, d) -> DataFrame:
+    """Vectors as descriptors of two frames of which the second is turned: what matches gives the turn."""
+    e = _rays(table(spark, d, "embeddings"))
+    c, s = math.cos(0.3), math.sin(0.3)
+    turned = e.select("label", "vec_id", "embedding", (F.col("x") * c - F.col("y") * s).alias("x"), (F.col("x") * s + F.col("y") * c).alias("y"), "z")
+    out = frames.matched_rotations(e, turned, "label", "vec_id", "embedding")
+    return out.select("label", "pairs", "inliers", "status", F.round(F.get("rotation", F.lit(0)), 6).alias("cosine"))
+
+
+@query()
+def face_observations(spark, d) -> DataFrame:
+    """The background fits of blocks of 500 ids with the tracks of their six faces."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 500).alias("pair"), (F.col("vec_id") % 6).cast("int").alias("face"))
+    r = _rays(table(spark, d, "embeddings")).where("x is not null").withColumn("pair", F.floor(F.col("vec_id") / 500))
+    fits = calibration.rigid_background(r.select("pair", *[F.col(c).alias(f"{k}{c}") for k in "ab" for c in "xyz"]), "pair")
+    out = frames.face_observations(fits, e, "pair")
+    return out.select("pair", F.to_json("tracks_per_face").alias("tracks_per_face"), "status", "inliers", F.round("p95_degrees", 6).alias("p95_degrees"), F.round("unmatched", 6).alias("unmatched"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +49,18 @@ def verify(spark, path: str) -> bool:
     receipt = spark.read.json(f"{path}/receipt").first()
     now = receipt_of(spark.read.parquet(f"{path}/data")).first()
     return (now["rows"], now["content_hash"]) == (receipt["rows"], str(receipt["content_hash"]))
+
+
+@contextlib.contextmanager
+def locked(path: str):
+    """Holds a lock file on the driver's storage: made only if it isn't there, and removed only if it is still the same file."""
+    handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    mine = os.fstat(handle)
+    try:
+        yield
+    finally:
+        os.close(handle)
+        with contextlib.suppress(FileNotFoundError):
+            now = os.stat(path)
+            if (now.st_dev, now.st_ino) == (mine.st_dev, mine.st_ino):
+                os.unlink(path)

@@ -143,3 +143,53 @@ def test_publish_never_overwrites_and_verifies(spark, tmp_path):
     assert publish.fingerprint({"b": 1, "a": [2]}) == publish.fingerprint({"a": [2], "b": 1})
     with pytest.raises(ValueError):
         publish.strict_json('{"a": NaN}')
+
+
+def entry(name, slots, wire):
+    payload = synthetic.bytes_field(1, name)
+    for x in slots:
+        payload += bytes([2 << 3 | 1]) + struct.pack("<d", x) if wire == 1 else synthetic.number_field(2, int(x))
+    return payload
+
+
+def test_accessory_entries():
+    good = synthetic.bytes_field(1, entry(b"lens_1", range(6), 1)) + synthetic.bytes_field(2, entry(b"a", [0.5], 1)) + synthetic.bytes_field(3, entry(b"b", [7], 0))
+    assert trailer.accessory_entries(good) == [(1, "lens_1", [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]), (2, "a", [0.5]), (3, "b", [7.0])]
+    first = synthetic.bytes_field(1, entry(b"x", range(6), 1))
+    for bad in (
+        b"", synthetic.bytes_field(2, entry(b"a", [0.5], 1)), first + first, first * 2, synthetic.bytes_field(4, entry(b"a", [1], 0)), synthetic.bytes_field(1, entry(b"x", range(5), 1)), synthetic.bytes_field(1, entry(b"x-y", range(6), 1)),
+        synthetic.bytes_field(1, entry(b"___", range(6), 1)), synthetic.bytes_field(1, entry(b"x", [float("nan")] * 6, 1)), first + synthetic.bytes_field(3, entry(b"b", [7], 1)), synthetic.bytes_field(1, synthetic.number_field(1, 3)),
+    ):
+        with pytest.raises(trailer.FormatError):
+            trailer.accessory_entries(bad)
+
+
+def test_adapters_keep_records_without_video(spark):
+    data = synthetic.recording({1: b"abc", 7: synthetic.position(5), 4: bytes(16)}, prefix=bytes(5000))
+    out = trailer.adapter(data)
+    assert len(out) < 300 and {(k, out[at : at + n]) for k, _, at, n, _, v in trailer.inventory_of(out) if v == 2} == {(1, b"abc"), (4, bytes(16))}
+
+
+def views(n, header=12, category=0, w=1.0, fov=1.5):
+    return struct.pack("<I", header) + bytes(header - 4) + b"".join(struct.pack("<Q3f8f", 1000 * k, 0, fov, 0.5, w, 0, 0, 0, 0, 1.0, 0, 0) + bytes(64) + struct.pack("<I", category) for k in range(n))
+
+
+def test_views(spark):
+    out = trailer.stream(files(spark, synthetic.recording({32: views(3)})), "view").orderBy("sample").collect()
+    assert [(r.us, r.fov_x, r.camera_w, r.pilot_x) for r in out] == [(1000 * k, 1.5, 1.0, 1.0) for k in range(3)]
+    for bad in (b"", views(1), views(3)[:-1], views(3, category=2), views(3, w=1.1), views(3, fov=float("inf")), views(3, header=4)[4:]):
+        with pytest.raises(trailer.FormatError):
+            trailer.view(bad)
+
+
+def test_locks_are_exclusive_and_leave_what_is_not_theirs(tmp_path):
+    path = tmp_path / "lock"
+    with publish.locked(str(path)):
+        with pytest.raises(FileExistsError), publish.locked(str(path)):
+            pass
+        assert path.exists()
+    assert not path.exists()
+    with publish.locked(str(path)):
+        path.unlink()
+        path.write_text("another's")
+    assert path.read_text() == "another's"
