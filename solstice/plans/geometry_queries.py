@@ -14,9 +14,15 @@ from .tables import DAY, SERIES, events, table
 LENS = L.Lens(1.5, 90.0, 90.0, 63.5, 63.5, 128, (0.02, -0.005, 0.001, -0.002, 0.0005))
 WIDTH, HEIGHT = 128, 64
 #: The grid's rays in SQL.
-_GRID = f"""g as (select (i // {WIDTH})::int as row, (i % {WIDTH})::int as col from (select unnest(range({WIDTH * HEIGHT})) as i)), a as (
+_GRID = f"""g as (select o_orderkey as id, (o_custkey % {HEIGHT})::int as row, (o_orderkey % {WIDTH})::int as col from orders), a as (
  select *, ((col + 0.5::double) / {WIDTH} - 0.5::double) * (2 * 3.141592653589793::double) as lon, (0.5::double - (row + 0.5::double) / {HEIGHT}) * 3.141592653589793::double as lat from g), r as (
- select row, col, cos(lat) * cos(lon) as x, cos(lat) * sin(lon) as y, sin(lat) as z from a)"""
+ select id, row, col, cos(lat) * cos(lon) as x, cos(lat) * sin(lon) as y, sin(lat) as z from a)"""
+
+
+def _grid(spark, d) -> DataFrame:
+    """Orders as pixels of a sphere."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % HEIGHT).cast("int").alias("row"), (F.col("o_orderkey") % WIDTH).cast("int").alias("col"))
+
 
 
 def _lens_sql(name: str, of: str, x: str, y: str, z: str, lens: L.Lens) -> str:
@@ -32,39 +38,41 @@ def _lens_sql(name: str, of: str, x: str, y: str, z: str, lens: L.Lens) -> str:
 
 
 def equirect_rays(spark, d) -> DataFrame:
-    g = raster.pixel_grid(spark, WIDTH, HEIGHT).withColumn("r", L.pixel_ray(F.col("col"), F.col("row"), WIDTH, HEIGHT))
-    return g.select("row", "col", *[F.round(F.col(f"r.{c}"), 9).alias(c) for c in "xyz"])
+    g = _grid(spark, d).withColumn("r", L.pixel_ray(F.col("col"), F.col("row"), WIDTH, HEIGHT))
+    return g.select("id", "row", "col", *[F.round(F.col(f"r.{c}"), 9).alias(c) for c in "xyz"])
 
 
-RAYS = f"with {_GRID} select row, col, round(x, 9) as x, round(y, 9) as y, round(z, 9) as z from r"
+RAYS = f"with {_GRID} select id, row, col, round(x, 9) as x, round(y, 9) as y, round(z, 9) as z from r"
 
 
 def lens_project(spark, d) -> DataFrame:
-    g = raster.pixel_grid(spark, WIDTH, HEIGHT).withColumn("r", L.pixel_ray(F.col("col"), F.col("row"), WIDTH, HEIGHT))
+    g = _grid(spark, d).withColumn("r", L.pixel_ray(F.col("col"), F.col("row"), WIDTH, HEIGHT))
     p = g.withColumn("p", L.project(LENS, F.col("r.x"), F.col("r.y"), F.col("r.z")))
-    return p.select("row", "col", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"), "p.valid")
+    return p.select("id", "row", "col", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"), "p.valid")
 
 
-PROJECT = f"with {_GRID}, {_lens_sql('q', 'r', 'x', 'y', 'z', LENS)} select row, col, round(case when ok then uu end, 6) as u, round(case when ok then vv end, 6) as v, ok as valid from q"
+PROJECT = f"with {_GRID}, {_lens_sql('q', 'r', 'x', 'y', 'z', LENS)} select id, row, col, round(case when ok then uu end, 6) as u, round(case when ok then vv end, 6) as v, ok as valid from q"
 
 C13 = [0.02, -0.01, 0.004, -0.001, 0.0005, 0.003, -0.002, 0.001, 0.0005, 0.002, -0.001, 0.0004, 0.0002]
 
 
 def v6_distort(spark, d) -> DataFrame:
-    g = raster.pixel_grid(spark, 40, 40).select("row", "col", (F.col("col") / 19.0 - 1).alias("x"), (F.col("row") / 19.0 - 1).alias("y"))
+    """Lines as points."""
+    c = F.col
+    g = table(spark, d, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), (c("l_quantity") / 25 - 1).alias("x"), (c("l_discount") * 20 - 1).alias("y"))
     p = g.withColumn("p", L.distort13(F.col("x"), F.col("y"), [F.lit(c) for c in C13]))
-    return p.select("row", "col", F.round("p.x", 9).alias("dx"), F.round("p.y", 9).alias("dy"))
+    return p.select("id", F.round("p.x", 9).alias("dx"), F.round("p.y", 9).alias("dy"))
 
 
 _C = [f"{c!r}::double" for c in C13]
-DISTORT = f"""with g as (select (i // 40)::int as row, (i % 40)::int as col, (i % 40) / 19::double - 1 as x, (i // 40) / 19::double - 1 as y from (select unnest(range(1600)) as i)), r as (
+DISTORT = f"""with g as (select l_orderkey * 10 + l_linenumber as id, l_quantity / 25 - 1 as x, l_discount * 20 - 1 as y from lineitem), r as (
  select *, x * x + y * y as r from g), t as (select *, 1 + {_C[0]} * r + {_C[1]} * r ** 2 + {_C[2]} * r ** 3 + {_C[3]} * r ** 4 + {_C[4]} * r ** 5 as rad, {_C[5]} + {_C[7]} * r as a, {_C[6]} + {_C[8]} * r as b from r)
-select row, col, round(x * rad + a * (r + 2 * x * x) + 2 * b * x * y + {_C[9]} * r + {_C[11]} * r * r, 9) as dx, round(y * rad + b * (r + 2 * y * y) + 2 * a * x * y + {_C[10]} * r + {_C[12]} * r * r, 9) as dy from t"""
+select id, round(x * rad + a * (r + 2 * x * x) + 2 * b * x * y + {_C[9]} * r + {_C[11]} * r * r, 9) as dx, round(y * rad + b * (r + 2 * y * y) + 2 * a * x * y + {_C[10]} * r + {_C[12]} * r * r, 9) as dy from t"""
 
 
 def undistort_roundtrip(spark, d) -> DataFrame:
     """Pixels to rays and back: what is missed by more than a millionth of a pixel."""
-    g = raster.pixel_grid(spark, 64, 64).select((F.col("col") * 2.0 - 0.5).alias("u"), (F.col("row") * 2.0 - 0.5).alias("v")).where("u >= 0 and v >= 0")
+    g = table(spark, d, "orders").select((F.col("o_orderkey") % 1259 / 10).alias("u"), (F.col("o_custkey") % 1259 / 10).alias("v"))
     back = L.unproject(g, LENS, "u", "v", "r").withColumn("p", L.project(LENS, F.col("r.x"), F.col("r.y"), F.col("r.z")))
     miss = F.greatest(F.abs(F.col("p.u") - F.col("u")), F.abs(F.col("p.v") - F.col("v")))
     return back.agg(F.count_if("p.valid").alias("pixels"), F.count_if(miss > 1e-6).alias("missed"))
@@ -74,17 +82,17 @@ FRONT, BACK = L.Lens(1.5, 80.0, 80.0, 63.5, 63.5, 128), L.Lens(1.5, 80.0, 80.0,
 
 
 def visibility_weights(spark, d) -> DataFrame:
-    out = raster.two_lens_weights(raster.pixel_grid(spark, WIDTH, HEIGHT), WIDTH, HEIGHT, FRONT, BACK)
-    return out.select("row", "col", F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"), "covered")
+    out = raster.two_lens_weights(_grid(spark, d), WIDTH, HEIGHT, FRONT, BACK)
+    return out.select("id", "row", "col", F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"), "covered")
 
 
-_WEIGHTS = f"""{_GRID}, {_lens_sql('f', 'r', 'x', 'y', 'z', FRONT)}, f2 as (select row, col, x, y, z, ok as ok0 from f), {_lens_sql('b', 'f2', 'x', '-y', '-z', BACK)}, w as (
- select row, col, greatest(0.0, least(1.0, (z + 0.1::double) / 0.2::double)) * ok0::int as a, greatest(0.0, least(1.0, (-z + 0.1::double) / 0.2::double)) * ok::int as b from b)"""
-WEIGHTS = f"with {_WEIGHTS} select row, col, round(a / nullif(a + b, 0), 6) as w0, round(b / nullif(a + b, 0), 6) as w1, a + b > 1e-5 as covered from w"
+_WEIGHTS = f"""{_GRID}, {_lens_sql('f', 'r', 'x', 'y', 'z', FRONT)}, f2 as (select id, row, col, x, y, z, ok as ok0 from f), {_lens_sql('b', 'f2', 'x', '-y', '-z', BACK)}, w as (
+ select id, row, col, greatest(0.0, least(1.0, (z + 0.1::double) / 0.2::double)) * ok0::int as a, greatest(0.0, least(1.0, (-z + 0.1::double) / 0.2::double)) * ok::int as b from b)"""
+WEIGHTS = f"with {_WEIGHTS} select id, row, col, round(a / nullif(a + b, 0), 6) as w0, round(b / nullif(a + b, 0), 6) as w1, a + b > 1e-5 as covered from w"
 
 
 def coverage_missing_fraction(spark, d) -> DataFrame:
-    return raster.missing_fraction(raster.two_lens_weights(raster.pixel_grid(spark, WIDTH, HEIGHT), WIDTH, HEIGHT, FRONT, BACK))
+    return raster.missing_fraction(raster.two_lens_weights(_grid(spark, d), WIDTH, HEIGHT, FRONT, BACK))
 
 
 COVERAGE = f"""with {_WEIGHTS} select count(*) as pixels, count(*) filter (not a + b > 1e-5) as missing, count(*) filter (not a + b > 1e-5) / count(*)::double as fraction,
