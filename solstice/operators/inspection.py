@@ -116,3 +116,19 @@ def audio_profile(stream: Column) -> Column:
         F.when(stream.isNull(), "absent").when(stream.codec_name != "aac", "codec").when(rate != 48000, "rate").when(~stream.channels.isin(1, 2), "channels")
         .when(start < 0, "start").when(F.coalesce(stream.duration_ts, F.lit(0)) <= 0, "length").otherwise("ok")
     )
+
+
+def report(inventory: DataFrame, fields: DataFrame, exposures: DataFrame, motion: DataFrame, attitude: DataFrame, positions: DataFrame, names: dict[int, str]) -> DataFrame:
+    """Per source one row: its records, its named metadata, what exposure_summary(), motion_summary(), orientation_quality() and gps.position_summary() say, its problems, and a fingerprint of all that.
+
+    A stream that a recording lacks is null; a problem is named after its stream.
+    """
+    from .gates import named_fields
+
+    records = inventory.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("kind", "size"))).alias("records"))
+    out = records.join(named_fields(fields, names), "source", "left")
+    for name, part in (("exposure", exposures), ("motion", motion), ("attitude", attitude), ("positions", positions)):
+        out = out.join(part.select("source", F.struct(*[c for c in part.columns if c != "source"]).alias(name)), "source", "left")
+    problems = {"exposure clock": F.col("exposure.not_increasing") > 0, "motion saturated": F.col("motion.saturated") > 0, "attitude clock": ~F.col("attitude.increasing"), "no positions": F.coalesce("positions.points", F.lit(0)) == 0}
+    out = out.withColumn("problems", F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in problems.items()])))
+    return out.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*[c for c in out.columns if c != "source"])).cast("binary"), 256))

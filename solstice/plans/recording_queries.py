@@ -224,3 +224,22 @@ def angles(spark, d) -> DataFrame:
     q = F.col("l_quantity")
     li = table(spark, d, "lineitem").withColumn("turn", Q.about_axis("z", F.col("l_discount")))
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.round(angle_between(q / 25 - 1), 6).alias("apart"), F.round(chord_angle(q / 20), 6).alias("arc"), F.round(Q.heading(F.col("turn")), 6).alias("heading"))
+
+
+@query(f"""with {_POSITIONS}, n as (select user_id, count(*) as n, min(us) as first_us, count(*) filter (event_id % 50 = 0 or event_id % 65535 = 65534) as saturated from ev group by user_id), s as (select user_id, us - lag(us) over (partition by user_id order by us, event_id) as step from ev), o as (
+ select user_id, count(*) filter (step <= 0) as stuck from s group by user_id), q as (select user_id, count(*) as points from p group by user_id)
+select n.user_id, 5::bigint as records, n as frames, first_us, n as exposures, n as motions, saturated, coalesce(points, 0) as points,
+ case when stuck > 0 then 'exposure clock,' else '' end || case when saturated > 0 then 'motion saturated,' else '' end || case when stuck > 0 then 'attitude clock,' else '' end || case when coalesce(points, 0) = 0 then 'no positions,' else '' end as problems from n join o using (user_id) left join q using (user_id)""")
+def inspect_report(spark, d) -> DataFrame:
+    files = _recordings(spark, d)
+    samples = trailer.stream(files, "gps")
+    out = inspection.report(
+        trailer.inventory(files), trailer.metadata_fields(files), inspection.exposure_summary(trailer.stream(files, "exposure")), inspection.motion_summary(trailer.stream(files, "raw_motion")),
+        inspection.orientation_quality(trailer.stream(files, "attitude")), gps.position_summary(samples, gps.positions(samples, DAY / 1e6)), {20: "frames", 24: "first_us"},
+    )
+    out = _user(out.where(F.length("fingerprint") == 64))
+    problems = F.concat(F.array_join("problems", ","), F.when(F.size("problems") > 0, ",").otherwise(""))
+    return out.select(
+        "user_id", F.size("records").cast("long").alias("records"), F.col("fields")["frames"].alias("frames"), F.col("fields")["first_us"].alias("first_us"), F.col("exposure.samples").alias("exposures"), F.col("motion.samples").alias("motions"),
+        "motion.saturated", F.coalesce("positions.points", F.lit(0).cast("long")).alias("points"), problems.alias("problems"),
+    )
