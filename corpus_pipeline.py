@@ -32,8 +32,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share from all but one; documents left without text go."""
     out = line_dedup.dedup_lines(docs, keep=["lang", "source"])
-    out = out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
-    return out.where(F.length(F.btrim("text", F.lit(line_dedup.WHITE))) > 0)
+    # The row number keeps Spark from moving the filter below the lines' expressions, where it would work them out again for each line.
+    out = out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.monotonically_increasing_id().alias("_row"))
+    out = out.where((F.col("_row") >= 0) & (F.length(F.btrim("text", F.lit(line_dedup.WHITE))) > 0))
+    return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
