@@ -25,7 +25,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in slices of about so many code points; so many distinct words are remembered by a task.
-SLICE_CHARS, WORDS_KEPT = 1_000_000, 150_000
+SLICE_CHARS, WORDS_KEPT = 1_000_000, 400_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -146,12 +146,15 @@ class Codec:
             self.known.clear()
             self.odd.clear()
         new = list(set(chain.from_iterable(words)) - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, np.int32).tobytes()
-        self.verify(new)
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.verify(new, ids)
+        flat, at = np.array(list(chain.from_iterable(ids)), np.int32).tobytes(), 0
+        for word, n in zip(new, map(len, ids), strict=True):
+            self.known[word] = flat[at : at + 4 * n]
+            at += 4 * n
         return [b"".join(map(self.known.__getitem__, x)) for x in words], [self.odd.isdisjoint(x) for x in words] if self.odd else [True] * len(words)
 
-    def verify(self, words: list[str]) -> None:
+    def verify(self, words: list[str], found: list[list[int]]) -> None:
         """Notes the words whose ids differ from what the model file's own library gives for them.
 
         Where words depend on each other, a word is a whole text, and its first mark is the library's own.
@@ -161,9 +164,9 @@ class Codec:
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=self.data)
         start = int(self.model.dummy_prefix)
-        for word, ids in zip(words, self.library.encode([x[start:].replace(MARK, " ") for x in words], num_threads=1), strict=True):
-            if np.array(ids, np.int32).tobytes() != self.known[word]:
-                self.odd.add(word)
+        right = self.library.encode([x[start:].replace(MARK, " ") for x in words], num_threads=1)
+        if right != found:
+            self.odd.update(word for word, a, b in zip(words, right, found, strict=True) if a != b)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
