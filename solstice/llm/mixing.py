@@ -93,9 +93,9 @@ def budgets(leaves: DataFrame, levels: dict[str, dict[str, int]], share: float,
 
 def mix(
     docs: DataFrame, levels: dict[str, dict[str, int]] | None = None, id_col: str = "doc_id", tokens: Column | None = None,
-    share: float = 0.6, max_epochs: int = 2, seed: int = 11,
+    share: float = 0.6, max_epochs: int = 2, seed: int = 11, keep: list[str] | None = None,
 ) -> DataFrame:
-    """Per row of docs: its id, the level columns, n_tokens, and copies: how often the mix takes it.
+    """Per row of docs: its id, the columns in keep, the level columns, n_tokens, and copies: how often the mix takes it.
 
     levels: columns of docs from the root down, each with the weights of its
     values (whole numbers; 1 where not named). tokens: the size of a row, words by
@@ -114,9 +114,9 @@ def mix(
     are sorted.
     """
     levels = LEVELS if levels is None else levels
-    names = list(levels)
+    names, keep = list(levels), keep or []
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)) if tokens is None else tokens, F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in names], size.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in names], size.alias("n_tokens"))
     rows = materialize(rows, "mix-rows")
     digits = 1  # hexadecimal, of the order key: they name a bucket
     n = rows.count()
@@ -147,7 +147,7 @@ def mix(
     inside = inside.withColumn("taken", (begins < F.col("rest")).cast("long"))
     outside = keyed.where("last is null or bucket <> last").withColumn("taken", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)).cast("long"))
     out = outside.unionByName(inside)
-    return out.select("doc_id", *names, "n_tokens", (F.col("epochs") + F.col("taken")).alias("copies"))
+    return out.select("doc_id", *keep, *names, "n_tokens", (F.col("epochs") + F.col("taken")).alias("copies"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import re
 import tempfile
@@ -34,37 +35,48 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: What the operators wrote, in order, by application: folders and tables.
-_written: dict[str, list[str]] = {}
+#: The scope that owns what is written now: one for each thread and call, so two queries at once never own each other's files.
+_owner: contextvars.ContextVar[Storage | None] = contextvars.ContextVar("owner", default=None)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+class Storage:
+    """Owns the folders and tables that operators write within its `with` block.
 
+    Results that are not read yet read these folders, so nothing is deleted by itself: release()
+    deletes once results are stored elsewhere. A block inside another hands what it has not released to that one.
+    """
 
-def written(spark: SparkSession) -> int:
-    """How many folders the operators have written in this application so far: a mark for release()."""
-    return len(_written.get(spark.sparkContext.applicationId, []))
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Storage:
+        self._token = _owner.set(self)
+        return self
 
-def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Deletes what the operators have written since a mark, but for the last few: call it when their results are stored elsewhere.
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._token)
+        if (outer := _owner.get()) is not None:
+            outer.paths += self.paths
 
-    Results that are not read yet read these folders, so nothing is deleted by itself.
-    """
-    paths = _written.get(spark.sparkContext.applicationId, [])
-    gone = paths[since : len(paths) - but]
-    del paths[since : len(paths) - but]
-    for path in gone:
-        files, place = fs.FileSystem.from_uri(path)
-        if files.get_file_info(place).type == fs.FileType.Directory:
-            files.delete_dir(place)
-        name = place.rsplit("/", 1)[-1].rsplit("-", 1)[0]
-        if name.startswith("line_run_"):  # a table of the catalogue
-            spark.sql(f"drop table if exists `{name}`")
+    def release(self, but: int = 0) -> None:
+        """Deletes what was written so far within the block, but for the last few folders."""
+        cut = len(self.paths) - but
+        gone, self.paths = self.paths[:cut], self.paths[cut:]
+        for path in gone:
+            files, place = fs.FileSystem.from_uri(path)
+            if files.get_file_info(place).type == fs.FileType.Directory:
+                files.delete_dir(place)
+            name = place.rsplit("/", 1)[-1].rsplit("-", 1)[0]
+            if name.startswith("line_run_"):  # a table of the catalogue
+                self.spark.sql(f"drop table if exists `{name}`")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (owner := _owner.get()) is not None:
+        owner.paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:

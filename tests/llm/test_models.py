@@ -284,6 +284,9 @@ def test_pipeline_stages_take_nulls_repeats_ties_and_clashing_columns(spark):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         if k == 0:
             assert sorted(str(r.doc_id) for r in docs.collect()) == want
+        if k == 2:
+            texts = [r.text for r in docs.collect()]
+            assert len(texts) == len(set(texts))  # of equal texts one row stays
     assert counts[0] >= counts[1] >= counts[2] > 0 and counts[3] == counts[4] > 0
     assert docs.where("not round_trip or not parity").count() == 0
     nothing = rows.where("false")
@@ -292,25 +295,65 @@ def test_pipeline_stages_take_nulls_repeats_ties_and_clashing_columns(spark):
     assert nothing.count() == 0
 
 
-def test_release_deletes_what_operators_wrote(spark):
+def test_storage_deletes_what_its_own_block_wrote(spark):
+    import os
+    import threading
     from urllib.parse import urlparse
 
     from solstice.llm import line_dedup
 
-    mark = shared.written(spark)
-    kept = line_dedup.dedup_lines(documents(spark)).select("doc_id", "kept").toPandas()
-    last = shared.materialize(spark.range(3), "last")
-    paths = [urlparse(p).path for p in shared._written[spark.sparkContext.applicationId][mark:]]
-    tables = {t.name for t in spark.catalog.listTables()}
-    assert len(kept) and any(t.startswith("line_run_") for t in tables)
-    shared.release(spark, mark, but=1)
-    import os
-
-    assert [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True] and last.count() == 3
-    assert shared.written(spark) == mark + 1
+    others = []
+
+    def other_query():  # of the same application, at the same time
+        with shared.Storage(spark) as other:
+            others.append((shared.materialize(spark.range(5), "other"), other))
+
+    with shared.Storage(spark) as own:
+        kept = line_dedup.dedup_lines(documents(spark)).select("doc_id", "kept").toPandas()
+        thread = threading.Thread(target=other_query)
+        thread.start()
+        thread.join()
+        with shared.Storage(spark) as inner:
+            shared.materialize(spark.range(2), "inner")
+            assert len(inner.paths) == 1
+        last = shared.materialize(spark.range(3), "last")
+        paths = [urlparse(p).path for p in own.paths]
+        tables = {t.name for t in spark.catalog.listTables()}
+        assert len(kept) and any(t.startswith("line_run_") for t in tables) and any("/inner-" in p for p in paths)
+        own.release(but=1)
+        assert [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True] and last.count() == 3
+    frame, other = others[0]
+    assert frame.count() == 5 and len(other.paths) == 1
+    other.release()
+    assert other.paths == []
     assert not {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in paths} & {t.name for t in spark.catalog.listTables()}
 
 
+def test_near_duplicate_stage_keeps_one_of_repeated_rows_and_rows_without_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, "a b c d e f g"), (None, "a b c d e f g"), (7, "x y"), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in out) == sorted([("1", text), ("None", "a b c d e f g"), ("7", "x y"), ("8", ""), ("8", ""), ("None", "")])
+
+
+def test_mixing_stage_keeps_to_the_budget_with_repeated_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join(["w"] * rng.randrange(1, 9)), "en", "src0", 1) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    total = sum(len(r[1].split()) for r in rows)
+    taken = sum(len(r.text.split()) for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect())
+    assert int(0.6 * total) <= taken < int(0.6 * total) + 8
+
+
+def test_language_stage_without_languages_goes_by_letters(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "12", None, "s", 1), (2, "ab", None, "s", 1), (3, None, None, "s", 1), (4, "é 1", None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()) == [2, 4]
+
+
 def test_url_parts_rules_and_verdicts_equal_brute_force(spark):
     """Over all pages of the smallest tables and odd URLs: host, path and the longest rule by plain string work; rules decide verdicts."""
     odd = ["HTTP://A.COM/en/", "x://com", "x://com/en", "x://com/en/?q", "a://b://c/d", "://", "http://EXAMPLE.COM/EN/7", "http://ÄB.com/en/", "http://a.b.example.net/de/8#x", "http://notexample.net/de/8", "http://org/es/" + "z" * 50_000, "h" * 9000]
