@@ -10,21 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solstice.llm import jaccard_join, language_id, line_dedup, mixing, sentencepiece_codec
-from solstice.llm.shared import materialize, release, written
+from solstice.llm.shared import Storage, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "row_number_"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row (`row_number_`), written, so that it stays the same: ids may be null or repeat."""
+    return materialize(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, null texts among them.
+    """Rejects documents without a letter, null texts among them, whatever the other documents are.
 
-    The languages are learned from the documents that are not held out. If none
-    has a language, only null texts and texts without letters could be told; nothing is rejected then.
+    The languages are learned from the documents that are not held out; if none of those has one, letters alone decide.
     """
     held = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
     prototypes = language_id.learn(docs.where(~held))
     if not prototypes:
-        return docs.select(*COLUMNS)
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     told = language_id.identify(docs, prototypes, keep=[x for x in COLUMNS if x != "doc_id"])  # whatever the score: that of a short text is low in its own language
     return told.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
@@ -39,20 +44,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents keeps the one of the smallest id; documents without an id stay."""
-    groups = jaccard_join.jaccard_components(docs)
-    goes = groups.where("id <> component").select(F.col("id").alias("gone")).distinct()
-    goes = materialize(goes, "near-duplicates")
-    return docs.join(goes, docs.doc_id == goes.gone, "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicate rows, that of the smallest id.
+
+    Rows are told apart by number, so of repeated rows, and of rows without an id, one stays as well; a row with an id goes before one without.
+    """
+    rows = numbered(docs, "near-rows")
+    groups = jaccard_join.jaccard_components(rows, id_col=ROW)
+    groups = materialize(groups.where("n > 0").select(F.col("id").alias("member"), "component"), "near-groups")
+    several = groups.groupBy("component").count().where("count > 1").select("component")
+    members = materialize(groups.join(several, "component"), "near-members", narrow=True)
+    named = members.join(rows.select(F.col(ROW).alias("member"), "doc_id"), "member")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "member"))
+    stays = named.groupBy("component").agg(first.alias("first")).select("component", F.col("first.member").alias("stays"))
+    goes = materialize(members.join(stays, "component").where("member <> stays").select(F.col("member").alias("gone")), "near-duplicates", narrow=True)
+    return rows.join(goes, rows[ROW] == goes.gone, "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the target mix says; some not at all."""
-    mix = mixing.mix(docs.withColumn("domain", mixing.source_domain(F.col("source"))))
-    # Of repeated rows of an id the largest number holds for all.
-    copies = mix.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "taken")
-    copies = materialize(copies, "mix-copies")
-    out = docs.join(copies, docs.doc_id.eqNullSafe(copies.taken))
+    """Takes each row as often as the target mix says; some not at all. Repeated rows count, and are taken, each for itself."""
+    rows = numbered(docs, "mix-documents")
+    mix = mixing.mix(rows.withColumn("domain", mixing.source_domain(F.col("source"))), keep=[ROW])
+    copies = materialize(mix.where("copies > 0").select(F.col(ROW).alias("taken"), "copies"), "mix-copies")
+    out = rows.join(copies, rows[ROW] == copies.taken)
     return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
@@ -75,8 +88,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each keeps is written to the shared folder and read again, and what it needed on the way is deleted."""
-    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        release(spark, begin, but=1)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Storage(spark) as own:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.release(but=1)
+        return STAGES[-1][1](spark, docs, sf_dir)
