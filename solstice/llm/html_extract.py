@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import defaultdict
@@ -32,6 +33,18 @@ HINTS = frozenset(
     "menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion related "
     "reply replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+#: Words that say nothing of their own beside a hint: `comment-list` is a list of comments, but `related-work` is not a related box.
+PLAIN = frozenset(
+    "area articles aside b bar block body bottom box boxes btn button close col column container content cont element entries fixed float form global head holder icon icons inline inner item items js "
+    "l large left link links list lists main mobile module more nav outer page panel post posts primary r right row secondary section site slot small sm md lg static stories sticky text title tools top "
+    "ul unit us wrap wrapper zone".split()
+)
+#: Hints that what readers wrote is below, which may be longer than the article.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: What a mark means: nothing, weighed by what the page has besides, the same but for readers' comments, or never main text.
+NONE, SOFT, COMMENTS, HARD = 0, 1, 2, 3
+#: Elements that are marked by their name alone, but may hold the article if their tag isn't closed or wraps the page.
+BOXES = frozenset("nav footer aside form menu noscript".split())
 #: A start tag of the first kind ends an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,30 +65,37 @@ class Page:
 
     names: list[str] = field(default_factory=lambda: ["#root"])
     parents: list[int] = field(default_factory=lambda: [0])
-    strip: list[bool] = field(default_factory=lambda: [False])
+    marks: list[int] = field(default_factory=lambda: [NONE])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def unwanted(name: str, attrs: str) -> bool:
+def hinted(value: str) -> int:
+    """The mark of a class or an id: one of its names is a hint, alone or with plain words, as in `footer`, `adSlot3` or `comment-list`."""
+    out = NONE
+    for name in value.split():
+        words = {x.rstrip("0123456789") for x in NOT_WORD.split(CAMEL.sub("-", name).lower())} - {""}
+        if not HINTS.isdisjoint(words) and words <= HINTS | PLAIN:
+            out = max(out, SOFT if READERS.isdisjoint(words) else COMMENTS)
+    return out
+
+
+def mark(name: str, attrs: str) -> int:
+    """HARD for elements that are never main text and what is hidden, SOFT for boxes, hints and roles."""
     if name in STRIP:
-        return True
-    if name in ("html", "body", "article", "main") and "comment" not in attrs:
-        return False
-    seen = set()
-    for key, a, b, c in ATTR.findall(attrs) if attrs else ():
+        return SOFT if name in BOXES else HARD
+    out, seen = NONE, set()
+    for key, a, b, c in ATTR.findall(attrs) if attrs and name not in ("html", "body") else ():
         key, value = key.lower(), a or b or c
         if not key or key in seen:
             continue  # of an attribute's values the first counts
         seen.add(key)
         if key in ("class", "id"):
-            if not HINTS.isdisjoint(NOT_WORD.split(CAMEL.sub("-", value).lower())):
-                return True
-        elif key == "role":
-            if value.lower() in ROLES:
-                return True
+            out = max(out, hinted(value))
+        elif key == "role" and value.lower() in ROLES:
+            out = max(out, SOFT)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            out = HARD
+    return out
 
 
 def tag_end(source: str, at: int) -> int:
@@ -165,7 +185,7 @@ def parse(source: str) -> Page:
                 continue
             page.names.append(name)
             page.parents.append(stack[-1])
-            page.strip.append(unwanted(name, source[found.end() : at].removesuffix(">")) or name == "header" and not (places["article"] or places["main"]))
+            page.marks.append(max(mark(name, source[found.end() : at].removesuffix(">")), SOFT if name == "header" and not (places["article"] or places["main"]) else NONE))
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
                 at = end.start() if end else len(source)
@@ -185,25 +205,62 @@ def summed_up(values: list[float], parents: list[int], share: float) -> list[flo
     return out
 
 
+def stripped(page: Page) -> list[bool]:
+    """Of each element whether it, or one around it, is left out.
+
+    A softly marked element is weighed against the page: it stays out if the text outside of all marked
+    ones is at least a quarter of its own; comments stay out if there is a paragraph, an article or a main element outside. Otherwise it holds the page, not a part beside it: if
+    it has such an element itself the mark falls, largest elements first, and the marked ones in it are weighed in turn. Text counts without links.
+    """
+    names, parents, marks = page.names, page.parents, list(page.marks)
+    n = len(names)
+    hard = [False] * n
+    for i in range(1, n):
+        hard[i] = hard[parents[i]] or marks[i] == HARD
+    text, prose = [0.0] * n, [0.0] * n
+    for node, words, linked in page.blocks:
+        if not hard[node]:
+            text[node] += len(words) - linked
+            prose[node] += names[node] == "p"
+    for i in range(1, n):
+        prose[i] += names[i] in ("article", "main")
+    text, prose = summed_up(text, parents, 1), summed_up(prose, parents, 1)
+    above, below = [0] * n, defaultdict(list)  # the marked element around each, and the marked ones right below
+    for i in range(1, n):
+        above[i] = parents[i] if marks[parents[i]] in (SOFT, COMMENTS) else above[parents[i]]
+        if marks[i] in (SOFT, COMMENTS):
+            below[above[i]].append(i)
+    outside, paragraphs = (x[0] - sum(x[i] for i in below[0]) for x in (text, prose))
+    heap = [(-text[i], i) for i in below[0]]
+    heapq.heapify(heap)
+    while heap:
+        size, i = heapq.heappop(heap)
+        if outside >= -size / 4:
+            break
+        if prose[i] > 0 and not (marks[i] == COMMENTS and paragraphs > 0):
+            marks[i] = NONE
+            outside += text[i] - sum(text[k] for k in below[i])
+            paragraphs += prose[i] - sum(prose[k] for k in below[i])
+            for k in below[i]:
+                heapq.heappush(heap, (-text[k], k))
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[parents[i]] or marks[i] != NONE
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the best container and of its siblings that score like it, in page order, joined by spaces.
 
     A block gives its parent points for its length and commas, less by the part of it
-    that is links, the grandparent half of them and those above ever less. Menus, forms
-    and the like get and keep nothing, unless they hold the article (a tag that isn't
-    closed). If the best container lies in an article or in the main element, that is the container;
+    that is links, the grandparent half of them and those above ever less. What stripped() leaves out
+    gets and keeps nothing. If the best container lies in an article or in the main element, that is the container;
     lists and boxes in it that are links for the most part are left.
     """
     page = parse(source or "")
     names, parents = page.names, page.parents
     n = len(names)
-    holds = [names[i] in ("article", "main") and not page.strip[i] for i in range(n)]
-    for i in range(n - 1, 0, -1):
-        if holds[i]:
-            holds[parents[i]] = True
-    gone = [False] * n
-    for i in range(1, n):
-        gone[i] = gone[parents[i]] or page.strip[i] and (not holds[i] or names[i] in STRIP and names[i] not in ("nav", "footer", "aside", "form", "menu", "noscript"))
+    gone = stripped(page)
     blocks = [x for x in page.blocks if not gone[x[0]]]
     points, size, links, count = [0.0] * n, [0] * n, [0] * n, [0] * n
     for node, text, linked in blocks:

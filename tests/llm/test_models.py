@@ -471,3 +471,80 @@ def test_deep_and_broken_pages_take_time_in_proportion():
             html_extract.main_text(page)
         took.append(time.perf_counter() - begin)
     assert took[1] < 30 * took[0] + 1
+
+
+PROSE = "<p>One, two and three, as it was said before.</p><p>Second one, with words that go on for a while, and more.</p>"
+ARTICLE = f"<article>{PROSE}</article>"
+TOLD = "One, two and three, as it was said before. Second one, with words that go on for a while, and more."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="single-post comments-open">{ARTICLE}</body>', f'<body class="comments">{ARTICLE}</body>', f'<article class="post comments-open">{PROSE}</article>', f'<article class="comments">{PROSE}</article>',
+        f'<main id="comment-policy">{PROSE}</main>', f'<main class="widget">{PROSE}</main>', f'<div class="content-with-sidebar">{ARTICLE}</div>', f'<div class="page-header-image-wrapper">{ARTICLE}</div>',
+        f'<div class="sidebar">{PROSE}</div>', f"<form><div>{PROSE}</div></form>", f'<form class="ad"><div id="footer">{PROSE}<nav>Home</nav></div></form>', f'<div role="dialog">{ARTICLE}</div>',
+        f'{ARTICLE}<div class="sidebar"><p>Beside it.</p></div>', f'<div id="text">{PROSE}</div><div class="comments"><p>{"What readers say, at length. " * 40}</p></div>',
+        f'{ARTICLE}<article class="comment"><p>Hi.</p></article>', f'{ARTICLE}<footer><p>Rights.</p></footer><div class="cookie-notice3"><p>Cookies.</p></div><div id="adSlot">Buy.</div>',
+        f"<header><p>Site.</p></header>{ARTICLE}<aside><p>Aside.</p></aside>", f'<div class="widget"><div class="promo-box"><p>Buy.</p></div>{PROSE}{PROSE.replace("<p>", "<p hidden>")}</div>',
+    ],
+)
+def test_marks_are_weighed_against_the_page(page):
+    assert html_extract.main_text(page) == TOLD
+
+
+def test_names_that_only_look_like_hints_keep_their_text():
+    page = f'<article>{PROSE}<div class="related-work"><p>Related work.</p></div><section id="social-science"><p>Social science.</p></section><div class="ad">Buy.</div></article>'
+    assert html_extract.main_text(page) == f"{TOLD} Related work. Social science."
+    assert html_extract.main_text("<footer><div>Rights.</div></footer><nav>Menu</nav>") == ""
+
+
+def left_out(page):
+    """stripped(), by walking down from the root and weighing all marked elements anew after each mark that falls."""
+    marks = list(page.marks)
+    n = len(marks)
+    soft = (html_extract.SOFT, html_extract.COMMENTS)
+
+    def up(i):
+        while i:
+            yield i
+            i = page.parents[i]
+
+    def text(i):
+        return sum(len(w) - k for node, w, k in page.blocks if (not i or i in up(node)) and not any(page.marks[x] == html_extract.HARD for x in up(node)))
+
+    def prose(i):
+        ps = sum(page.names[node] == "p" for node, _, _ in page.blocks if (not i or i in up(node)) and not any(page.marks[x] == html_extract.HARD for x in up(node)))
+        return ps + sum(page.names[x] in ("article", "main") for x in range(1, n) if not i or i in up(x))
+
+    held = set()
+    while True:
+        tops = [i for i in range(1, n) if marks[i] in soft and not any(marks[x] in soft for x in up(page.parents[i]))]
+        outside, paragraphs = text(0) - sum(map(text, tops)), prose(0) - sum(map(prose, tops))
+        for i in sorted(set(tops) - held, key=lambda i: (-text(i), i)):
+            if outside >= text(i) / 4:
+                return [any(marks[x] for x in up(i)) for i in range(n)]
+            held.add(i)
+            if prose(i) and not (marks[i] == html_extract.COMMENTS and paragraphs):
+                marks[i] = html_extract.NONE
+                break
+        else:
+            return [any(marks[x] for x in up(i)) for i in range(n)]
+
+
+PIECES = ["<div>", "</div>", "<p>", "</p>", "<article>", "</article>", '<div class="comments">', '<div class="ad">', "<nav>", "</nav>", "<form>", "</form>", "<a href='x'>", "</a>", "One, two. ", "Some more words, and others, for weight. " * 4, "<div hidden>", '<section id="sidebar">', "</section>", "<footer>", "</footer>", "<main>", "</main>"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30))
+def test_stripped_equals_weighing_anew(pieces):
+    page = html_extract.parse("".join(pieces))
+    assert html_extract.stripped(page) == left_out(page)
+
+
+def test_pages_with_paragraphs_give_text(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in pages:
+        page = html_extract.parse(r.html)
+        assert html_extract.stripped(page) == left_out(page)
+        assert html_extract.main_text(r.html) or not any(page.names[node] == "p" and len(w) > k for node, w, k in page.blocks)
