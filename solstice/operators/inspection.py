@@ -119,13 +119,14 @@ def audio_profile(stream: Column) -> Column:
 
 
 def report(inventory: DataFrame, fields: DataFrame, exposures: DataFrame, motion: DataFrame, attitude: DataFrame, positions: DataFrame, names: dict[int, str]) -> DataFrame:
-    """Per source one row: its records, its named metadata, what exposure_summary(), motion_summary(), orientation_quality() and gps.position_summary() say, its problems, and a fingerprint of all that.
+    """Per source one row: its records (with their hashes, if known), its named metadata, what exposure_summary(), motion_summary(), orientation_quality() and gps.position_summary() say, its problems, and a fingerprint of all that.
 
     A stream that a recording lacks is null; a problem is named after its stream.
     """
     from .gates import named_fields
 
-    records = inventory.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("kind", "size"))).alias("records"))
+    of = [c for c in ("kind", "size", "sha256") if c in inventory.columns]
+    records = inventory.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("records"))
     out = records.join(named_fields(fields, names), "source", "left")
     for name, part in (("exposure", exposures), ("motion", motion), ("attitude", attitude), ("positions", positions)):
         out = out.join(part.select("source", F.struct(*[c for c in part.columns if c != "source"]).alias(name)), "source", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyarrow import fs
@@ -12,7 +14,7 @@ from ..functions import quaternion as Q
 from ..functions.numeric import angle_between, chord_angle
 from ..operators import gps, inspection
 from ..operators import series as S
-from ..sources import synthetic, trailer
+from ..sources import recording_source, synthetic, trailer
 from ..streaming import tracks
 from ..streaming.replay import replay, scratch
 from .tables import DAY, EVENTS, SERIES, events, table
@@ -52,54 +54,76 @@ def _recording(rows: pd.DataFrame) -> bytes:
     return synthetic.recording({trailer.METADATA: about, trailer.EXPOSURE: times.tobytes(), trailer.GPS: places.tobytes(), trailer.ATTITUDE: poses.tobytes(), trailer.RAW_MOTION: motion.tobytes()})
 
 
-def _recordings(spark, d) -> DataFrame:
+#: The manifest of a table's recordings, by application and folder of the table.
+_made: dict[tuple[str, str], str] = {}
+
+
+def _manifest(spark, d) -> str:
+    """Recordings of all events, written once an application: a file per user under the name of the attempt that wrote it, and a table of those that count."""
+    known = (spark.sparkContext.applicationId, d)
+    if known in _made:
+        return _made[known]
     folder = f"{scratch(spark)}-recordings"
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        user = int(rows.user_id.iloc[0])
-        with system.open_output_stream(f"{path}/{user}.bin") as file:
-            file.write(_recording(rows.sort_values(["us", "event_id"])))
-        return pd.DataFrame({"user_id": [user]})
+        name, content = f"{int(rows.user_id.iloc[0])}-{uuid.uuid4().hex}.bin", _recording(rows.sort_values(["us", "event_id"]))
+        with system.open_output_stream(f"{path}/{name}") as file:
+            file.write(content)
+        return pd.DataFrame({"source": [f"{folder}/{name}"], "length": [len(content)]})
+
+    made = events(spark, d).select("user_id", "us", "event_id", "event_type", "value").groupBy("user_id").applyInPandas(write, "source string, length long")
+    made.write.parquet(f"{folder}-manifest")
+    _made[known] = f"{folder}-manifest"
+    return _made[known]
+
+
+def release(spark) -> None:
+    """Deletes the recordings that this application has written."""
+    for known in [x for x in _made if x[0] == spark.sparkContext.applicationId]:
+        system, path = fs.FileSystem.from_uri(_made.pop(known))
+        for place in (path, path.removesuffix("-manifest")):
+            system.delete_dir(place)
 
-    events(spark, d).select("user_id", "us", "event_id", "event_type", "value").groupBy("user_id").applyInPandas(write, "user_id long").count()
-    return trailer.recordings(spark, folder)
+
+def _scan(spark, d, stream: str, columns: str | None = None, **options) -> DataFrame:
+    return recording_source.scan(spark, stream, columns, manifest=_manifest(spark, d), **options)
 
 
 def _user(df: DataFrame) -> DataFrame:
-    return df.withColumn("user_id", F.regexp_extract("source", r"(\d+)\.bin$", 1).cast("long")).drop("source")
+    return df.withColumn("user_id", F.regexp_extract("source", r"(\d+)-[0-9a-f]+\.bin$", 1).cast("long")).drop("source")
 
 
 @query("""with n as (select user_id, count(*) as n from events group by user_id) select user_id, kind::int as kind, (n * width)::bigint as size, 3 as version
  from n, (values (3, 20), (4, 16), (7, 53), (37, 36)) as k(kind, width)""")
 def trailer_inventory(spark, d) -> DataFrame:
-    return _user(trailer.inventory(_recordings(spark, d)).where(F.col("kind") != trailer.METADATA)).select("user_id", "kind", "size", "version")
+    return _user(_scan(spark, d, "records", "source string, kind int, size long, version int").where(F.col("kind") != trailer.METADATA)).select("user_id", "kind", "size", "version")
 
 
 @query(f"""with {EVENTS} select user_id, 20 as number, count(*) as value from ev group by user_id union all select user_id, 24, min(us) from ev group by user_id""")
 def protobuf_fields(spark, d) -> DataFrame:
-    return _user(trailer.metadata_fields(_recordings(spark, d))).select("user_id", "number", "value")
+    return _user(_scan(spark, d, "metadata")).select("user_id", "number", "value")
 
 
 @query(f"""with {EVENTS}, s as (select user_id, us, (value + 1) / 1000 as x, us - lag(us) over (partition by user_id order by us, event_id) as step from ev), m as (
  select user_id, count(*) as samples, min(us) as first_us, max(us) as last_us, quantile_cont(step, 0.5) as median_step, count(*) filter (step <= 0) as not_increasing, min(x) as least, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.95) as p95, max(x) as largest from s group by user_id)
 select user_id, samples, first_us, last_us, median_step, not_increasing, round(least, 9) as least, round(median, 9) as median, round(p95, 9) as p95, round(largest, 9) as largest, (select count(*) from s where s.user_id = m.user_id and step > 2 * median_step) as gaps, round((largest - least) / 2, 9) as half_range from m""")
 def exposure_summary(spark, d) -> DataFrame:
-    out = _user(inspection.exposure_summary(trailer.stream(_recordings(spark, d), "exposure")))
+    out = _user(inspection.exposure_summary(_scan(spark, d, "exposure")))
     return out.withColumns({c: F.round(c, 9) for c in ("least", "median", "p95", "largest", "half_range")})
 
 
 @query(f"""with {EVENTS}, s as (select *, us - lag(us) over (partition by user_id order by us, event_id) as step from ev)
 select user_id, count(*) as samples, round((count(*) - 1) * 1e6 / nullif(max(us) - min(us), 0), 9) as mean_hz, round(1e6 / quantile_cont(step, 0.5), 9) as median_hz, max(step) as largest_step, count(*) filter (event_id % 50 = 0 or event_id % 65535 = 65534) as saturated from s group by user_id""")
 def motion_summary(spark, d) -> DataFrame:
-    out = _user(inspection.motion_summary(trailer.stream(_recordings(spark, d), "raw_motion")))
+    out = _user(inspection.motion_summary(_scan(spark, d, "raw_motion")))
     return out.withColumns({c: F.round(c, 9) for c in ("mean_hz", "median_hz")})
 
 
 @query(f"""with {EVENTS}, s as (select user_id, us > lag(us) over (partition by user_id order by us, event_id) as later from ev) select user_id, 1.0::double as least, 1.0::double as largest, bool_and(coalesce(later, true)) as increasing from s group by user_id""")
 def attitude_quality(spark, d) -> DataFrame:
-    out = _user(inspection.orientation_quality(trailer.stream(_recordings(spark, d), "attitude")))
+    out = _user(inspection.orientation_quality(_scan(spark, d, "attitude")))
     return out.withColumns({c: F.round(c, 5) for c in ("least", "largest")})
 
 
@@ -119,7 +143,7 @@ _POSITIONS = f"""{EVENTS}, m as (select user_id, us // 1000 as ms, event_type =
 @query(f"""with {_POSITIONS} select user_id, segment::int as segment, sample::bigint as sample, ms as utc_ms, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as utc, round(value / 2 * case when event_id % 2 = 0 then 1 else -1 end, 9) as lat, round(value / 3 * case when event_id % 3 = 0 then -1 else 1 end, 9) as lon,
  round(value - 100, 6) as elevation_m, case when value >= 5 then round(value - 5, 6) end as speed_mps, case when event_id % 400 < 360 then (event_id % 400)::double end as course_degrees from p""")
 def gps_decode(spark, d) -> DataFrame:
-    p = _user(gps.positions(trailer.stream(_recordings(spark, d), "gps"), DAY / 1e6))
+    p = _user(gps.positions(_scan(spark, d, "gps"), DAY / 1e6))
     return p.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9), "elevation_m": F.round("elevation_m", 6), "speed_mps": F.round("speed_mps", 6)})
 
 
@@ -127,7 +151,7 @@ def gps_decode(spark, d) -> DataFrame:
  select user_id, count(*) as points, count(distinct segment) as segments, sum(case when value < 5 then 1 else 0 end + case when event_id % 400 >= 360 then 1 else 0 end)::bigint as omitted, min(ms) as first_ms, max(ms) as last_ms from p group by user_id)
 select s.*, q.points, q.segments, q.omitted, q.first_ms, q.last_ms, samples - void - coalesce(points, 0) as invalid from s left join q using (user_id)""")
 def gps_summary(spark, d) -> DataFrame:
-    samples = trailer.stream(_recordings(spark, d), "gps")
+    samples = _scan(spark, d, "gps")
     return _user(gps.position_summary(samples, gps.positions(samples, DAY / 1e6)))
 
 
@@ -231,11 +255,10 @@ def angles(spark, d) -> DataFrame:
 select n.user_id, 5::bigint as records, n as frames, first_us, n as exposures, n as motions, saturated, coalesce(points, 0) as points,
  case when stuck > 0 then 'exposure clock,' else '' end || case when saturated > 0 then 'motion saturated,' else '' end || case when stuck > 0 then 'attitude clock,' else '' end || case when coalesce(points, 0) = 0 then 'no positions,' else '' end as problems from n join o using (user_id) left join q using (user_id)""")
 def inspect_report(spark, d) -> DataFrame:
-    files = _recordings(spark, d)
-    samples = trailer.stream(files, "gps")
+    samples = _scan(spark, d, "gps")
     out = inspection.report(
-        trailer.inventory(files), trailer.metadata_fields(files), inspection.exposure_summary(trailer.stream(files, "exposure")), inspection.motion_summary(trailer.stream(files, "raw_motion")),
-        inspection.orientation_quality(trailer.stream(files, "attitude")), gps.position_summary(samples, gps.positions(samples, DAY / 1e6)), {20: "frames", 24: "first_us"},
+        _scan(spark, d, "records"), _scan(spark, d, "metadata"), inspection.exposure_summary(_scan(spark, d, "exposure")), inspection.motion_summary(_scan(spark, d, "raw_motion")),
+        inspection.orientation_quality(_scan(spark, d, "attitude")), gps.position_summary(samples, gps.positions(samples, DAY / 1e6)), {20: "frames", 24: "first_us"},
     )
     out = _user(out.where(F.length("fingerprint") == 64))
     problems = F.concat(F.array_join("problems", ","), F.when(F.size("problems") > 0, ",").otherwise(""))
@@ -243,3 +266,18 @@ def inspect_report(spark, d) -> DataFrame:
         "user_id", F.size("records").cast("long").alias("records"), F.col("fields")["frames"].alias("frames"), F.col("fields")["first_us"].alias("first_us"), F.col("exposure.samples").alias("exposures"), F.col("motion.samples").alias("motions"),
         "motion.saturated", F.coalesce("positions.points", F.lit(0).cast("long")).alias("points"), problems.alias("problems"),
     )
+
+
+@query(f"""with {EVENTS}, s as (select user_id, us - lag(us) over (partition by user_id order by us, event_id) as step from ev) select distinct user_id, 'exposure clock does not increase' as reason from s where step <= 0""")
+def recording_faults(spark, d) -> DataFrame:
+    """Recordings of which a stream breaks a rule, read through chunk by chunk, with the first reason."""
+    return _user(_scan(spark, d, "faults", streams="exposure,attitude,raw_motion,gps"))
+
+
+@query(f"""with {EVENTS}, b as (select min(us) as a, max(us) as z from ev) select user_id, us, round((value + 1) / 1000, 9) as seconds from ev, b where us >= a + (z - a) // 3 and us < a + (z - a) // 2""")
+def exposures_in_range(spark, d) -> DataFrame:
+    """The exposures of the middle sixth of all time: bounds of the clock choose what is read of each recording."""
+    ends = events(spark, d).agg(F.min("us").alias("a"), F.max("us").alias("z")).first()
+    low, high = ends.a + (ends.z - ends.a) // 3, ends.a + (ends.z - ends.a) // 2
+    rows = _scan(spark, d, "exposure", split_bytes=4096).where((F.col("us") >= low) & (F.col("us") < high))
+    return _user(rows).select("user_id", "us", F.round("seconds", 9).alias("seconds"))

@@ -71,6 +71,7 @@ class Part(InputPartition):
 class RecordingSource(DataSource):
     """Options: path (a file or a folder, with all below), or manifest (a Parquet table of source and length); stream (a name of SCHEMAS);
     split_bytes (of a file that a task reads at most, 128 MB); suffix (of the names that are read);
+    streams: those that `faults` looks at, joined by commas, all by default;
     on_error: `fail` (the default) or `skip`, which leaves out recordings that break a rule: the stream `faults` names them and the first reason;
     ordered: `true` if clocks are known to increase, as the stream `faults` tells: filters on the clock then choose the range that is read.
 
@@ -209,7 +210,7 @@ class RecordingReader(DataSourceReader):
     def faults(self, source: str, data: Ranges) -> Iterator[pa.RecordBatch]:
         reason = None
         try:
-            for stream in (*LAYOUTS, "motion"):
+            for stream in self.options.get("streams", ",".join((*LAYOUTS, "motion"))).split(","):
                 if stream != "motion" or any(x[0] == trailer.METADATA for x in trailer.inventory_of(data)):
                     check(data, stream, ordered=stream != "gps")
         except FormatError as broken:
