@@ -33,50 +33,180 @@ def conjugate(q: np.ndarray) -> np.ndarray:
     return q * np.array([-1.0, -1.0, -1.0, 1.0])
 
 
-def integrate(times: np.ndarray, rates: np.ndarray, start: float, end: float, step: float = 1e-3) -> np.ndarray:
-    """The rotation from start to end by the mean of the rates at the ends of equal steps, each applied on the right."""
-    n = max(1, int(np.ceil((end - start) / step - 1e-9)))
-    at = np.linspace(start, end, n + 1)
-    rate = np.stack([np.interp(at, times, rates[:, k]) for k in range(3)], axis=1)
-    total = np.array([0.0, 0.0, 0.0, 1.0])
-    for q in exp_rotation((rate[1:] + rate[:-1]) / 2 * np.diff(at)[:, None]):
-        total = product(total, q)
+def prefixes(q: np.ndarray) -> np.ndarray:
+    """Row k is the product of rows 0 to k: in rounds, each with twice the reach, whole columns at a time."""
+    out, reach = q.copy(), 1
+    while reach < len(out):
+        out[reach:] = product(out[:-reach], out[reach:])
+        reach *= 2
+    return out / np.linalg.norm(out, axis=-1, keepdims=True)
+
+
+def turns(start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, step: float = 1e-3) -> np.ndarray:
+    """The rotation over each interval in which the rate goes linearly from first to last: equal steps of at most `step` seconds, each by its mean rate, applied on the right."""
+    n = np.maximum(1, np.ceil((end - start) / step - 1e-9)).astype(int)
+    total = np.tile([0.0, 0.0, 0.0, 1.0], (len(n), 1))
+    for k in range(int(n.max(initial=0))):
+        on = k < n
+        middle = first + (last - first) * ((k + 0.5) / n)[:, None]
+        total[on] = product(total[on], exp_rotation((middle * ((end - start) / n)[:, None])[on]))
     return total
 
 
-def anchored_orientation(queries: DataFrame, rates: DataFrame, anchors: DataFrame, interval: float = 0.1) -> DataFrame:
-    """(source, t, qx, qy, qz, qw): orientation at query times, by integrating rates from the anchor before and spreading the
-    error at the next anchor linearly.
+#: Kinds of rows that meet in a chunk.
+SAMPLE, NEXT, POINT = 0, 1, 2
+
+
+def rotation_scan(points: DataFrame, rates: DataFrame, chunk: float = 8.0, gap: float = 0.010001, step: float = 1e-3) -> DataFrame:
+    """points (source, t and others) with sx..sw and breaks: the rotation from the source's first sample to t, and how many gaps lie before t.
 
-    Anchors lie on a grid of `interval` seconds; each interval is independent, so
-    intervals, not sources, are the groups: queries, rates (with one sample beyond
-    each end) and both anchors of an interval meet by an equi-join on its number. A
-    query whose interval lacks an anchor or rates that cover it fails.
+    rates: source, t, wx, wy, wz in radians a second. A segmented scan of a product that does not commute: chunks of `chunk` seconds are multiplied
+    in tasks, their products are scanned per source (one row for `chunk` seconds), and each chunk applies what comes before it. Time is linear in samples
+    and points, and a source of any length is many tasks.
+
+    The rotation of an interval between two samples belongs to the chunk of the first; samples up to `gap` behind a chunk's end are sent to it too. Longer
+    intervals and times that do not increase turn nothing and count as a break. Points before the first sample, behind the last and within a break have no row.
     """
-    cell = lambda t: F.floor(t / interval + 1e-9).cast("long")
-    pad = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    q = queries.select("source", cell(F.col("t")).alias("cell"), F.lit(0).alias("kind"), "t", *[F.lit(0.0).alias(x) for x in "abcd"])
-    r = rates.select("source", cell(F.col("t")).alias("_c"), pad.alias("_k"), "t", "wx", "wy", "wz")
-    r = r.select("source", (F.col("_c") + F.col("_k")).alias("cell"), F.lit(1).alias("kind"), "t", "wx", "wy", "wz", F.lit(0.0))
-    a = anchors.select("source", F.round(F.col("t") / interval).cast("long").alias("_c"), F.explode(F.array(F.lit(0), F.lit(-1))).alias("_k"), "t", "qx", "qy", "qz", "qw")
-    a = a.select("source", (F.col("_c") + F.col("_k")).alias("cell"), F.lit(2).alias("kind"), "t", "qx", "qy", "qz", "qw")
-    wanted = q.select("source", "cell").distinct()
-    rows = q.union(r).union(a).join(wanted, ["source", "cell"])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        ask, gyro, fixed = (group[group.kind == k] for k in range(3))
-        if len(fixed) < 2 or gyro.t.min() > fixed.t.iloc[0] + 1e-9 or gyro.t.max() < fixed.t.iloc[-1] - 1e-9:
-            raise ValueError(f"interval {group.cell.iloc[0]} of {group.source.iloc[0]} is not covered")
-        t0, t1 = fixed.t.iloc[0], fixed.t.iloc[-1]
-        q0, q1 = fixed[list("abcd")].to_numpy(float)[[0, -1]]
-        times, values = gyro.t.to_numpy(), gyro[list("abc")].to_numpy(float)
-        whole = integrate(times, values, t0, t1)
-        error = log_rotation(product(conjugate(whole), product(conjugate(q0), q1)))
-        out = [product(product(q0, integrate(times, values, t0, t)), exp_rotation(error * (t - t0) / (t1 - t0))) for t in ask.t]
-        return pd.DataFrame({"source": group.source.iloc[0], "t": ask.t.to_numpy(), **{f"q{c}": [x[k] for x in out] for k, c in enumerate("xyzw")}})
-
-    return rows.groupBy("source", "cell").applyInPandas(solve, "source string, t double, qx double, qy double, qz double, qw double")
+    extra = [c for c in points.columns if c not in ("source", "t")]
+    kinds = {c: points.schema[c].dataType.simpleString() for c in extra}
+    cell = lambda t: F.floor(t / chunk).cast("long")
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in extra]
+    w = ["wx", "wy", "wz"]
+    own = rates.select("source", cell(F.col("t")).alias("chunk"), F.lit(SAMPLE).alias("kind"), "t", *w, *none)
+    beyond = rates.where(cell(F.col("t")) > cell(F.col("t") - gap)).select("source", (cell(F.col("t")) - 1).alias("chunk"), F.lit(NEXT).alias("kind"), "t", *w, *none)
+    asked = points.select("source", F.explode(F.array(cell(F.col("t")), cell(F.col("t")) - 1)).alias("chunk"), F.lit(POINT).alias("kind"), "t", *[F.lit(0.0).alias(c) for c in w], *extra)
+    samples = own.union(beyond)
+
+    def intervals(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Times and rates of a chunk's samples and the one behind them, rotations and breaks of the intervals, and whether there is one behind."""
+        mine = rows[rows.kind == SAMPLE].sort_values("t", kind="stable")
+        behind = rows[rows.kind == NEXT].sort_values("t", kind="stable").head(1 if len(mine) else 0)
+        t = np.concatenate([mine.t, behind.t]).astype(float)
+        rate = np.concatenate([mine[w], behind[w]]).astype(float)
+        broken = (np.diff(t) > gap) | (np.diff(t) <= 0)
+        q = turns(t[:-1], np.where(broken, t[:-1], t[1:]), rate[:-1], rate[1:], step) if len(t) > 1 else np.zeros((0, 4))
+        return t, rate, q, broken, len(behind) > 0
+
+    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+        t, _, q, broken, more = intervals(rows)
+        if not len(t):  # samples of the next chunk only
+            return pd.DataFrame(columns=["source", "chunk", "sx", "sy", "sz", "sw", "breaks", "more"])
+        x, y, z, s = prefixes(q)[-1] if len(q) else (0.0, 0.0, 0.0, 1.0)
+        return pd.DataFrame([(rows.source.iloc[0], rows.chunk.iloc[0], x, y, z, s, int(broken.sum()), more)], columns=["source", "chunk", "sx", "sy", "sz", "sw", "breaks", "more"])
+
+    def scan(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("chunk")
+        q = parts[["sx", "sy", "sz", "sw"]].to_numpy(float)
+        before = np.concatenate([[[0.0, 0.0, 0.0, 1.0]], prefixes(q)[:-1]])
+        breaks = (parts.breaks + ~parts.more).cumsum().shift(fill_value=0)  # a chunk without a next sample is followed by a break
+        return parts[["source", "chunk"]].assign(sx=before[:, 0], sy=before[:, 1], sz=before[:, 2], sw=before[:, 3], breaks=breaks.astype("int64"))
+
+    kind = rates.schema["source"].dataType.simpleString()
+    pose = "sx double, sy double, sz double, sw double, breaks long"
+    products = samples.groupBy("source", "chunk").applyInPandas(multiply, f"source {kind}, chunk long, {pose}, more boolean")
+    carries = products.groupBy("source").applyInPandas(scan, f"source {kind}, chunk long, {pose}")
+
+    def apply(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        names = ["source", "t", *extra, "sx", "sy", "sz", "sw", "breaks"]
+        asks = rows[rows.kind == POINT]
+        t, rate, q, broken, more = intervals(rows)
+        if not len(carry) or not len(asks) or not len(t):
+            return pd.DataFrame({c: rows[c].iloc[:0] if c in rows else [] for c in names})
+        start = carry[["sx", "sy", "sz", "sw"]].to_numpy(float)
+        upto = product(start, np.concatenate([[[0.0, 0.0, 0.0, 1.0]], prefixes(q)])) if len(q) else start
+        gone = carry.breaks.iloc[0] + np.concatenate([[0], np.cumsum(broken)])
+        at = asks.t.to_numpy(float)
+        k = np.searchsorted(t, at, side="right") - 1
+        held = (k >= 0) & ((k < len(t) - 1) | (~np.bool_(more) & (at == t[-1]))) & ~(np.concatenate([broken, [False]])[k] & (at > t[k]))
+        asks, at, k = asks[held], at[held], k[held]
+        nxt = np.minimum(k + 1, len(t) - 1)
+        part = np.where(t[nxt] > t[k], (at - t[k]) / np.where(t[nxt] > t[k], t[nxt] - t[k], 1), 0)
+        last = rate[k] + (rate[nxt] - rate[k]) * part[:, None]
+        s = product(upto[k], turns(t[k], at, rate[k], last, step))
+        return asks[["source", "t", *extra]].assign(sx=s[:, 0], sy=s[:, 1], sz=s[:, 2], sw=s[:, 3], breaks=gone[k].astype("int64"))
+
+    others = "".join(f", `{c}` {kinds[c]}" for c in extra)
+    met = samples.union(asked).groupBy("source", "chunk").cogroup(carries.groupBy("source", "chunk"))
+    return met.applyInPandas(apply, f"source {kind}, t double{others}, {pose}")
+
+
+def anchored_orientation(queries: DataFrame, rates: DataFrame, anchors: DataFrame, chunk: float = 8.0, anchor_gap: float = 1.000001, gap: float = 0.010001) -> DataFrame:
+    """Per query (source, id, t): qx, qy, qz, qw and status: the anchor's pose before, turned by the rates since, with the error at the anchor behind spread evenly over the time between.
+
+    anchors: source, t, qx..qw. The rotation between two times comes from rotation_scan(), so an anchor and a query cost the same however far apart they lie.
+    status: `ok`; `rates` if the samples do not cover the query, which may lie in a gap; `anchors` if there is none at or before it or none at or behind it, or the two lie further apart than anchor_gap;
+    `rates` if the samples do not cover both; `gap` if samples between the anchors are more than `gap` apart or out of order. Only `ok` has a pose. id: of any kind, different for each query.
+    """
+    kind, key = rates.schema["source"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+    q = ["qx", "qy", "qz", "qw"]
+    asks = queries.select("source", F.col("t").cast("double").alias("t"), F.col("id"), F.lit(False).alias("anchor"), *[F.lit(0.0).alias(c) for c in q])
+    fixed = anchors.select("source", F.col("t").cast("double").alias("t"), F.lit(None).cast(key).alias("id"), F.lit(True).alias("anchor"), *q)
+    found = rotation_scan(asks.union(fixed), rates, chunk, gap)
+    cell = lambda t: F.floor(t / chunk).cast("long")
+    t = F.col("t")
+    cells = F.when(F.col("anchor"), F.sequence(cell(t - anchor_gap), cell(t + anchor_gap))).otherwise(F.array(cell(t)))
+    met = found.withColumn("cell", F.explode(cells))
+    unseen = fixed.join(found.where("anchor").select("source", "t").distinct(), ["source", "t"], "left_anti")  # anchors that the rates do not cover still bound
+    met = met.unionByName(unseen.select("*", *[F.lit(None).cast("double").alias(c) for c in ("sx", "sy", "sz", "sw")], F.lit(None).cast("long").alias("breaks")).withColumn("cell", F.explode(cells)))
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        fixed, ask = rows[rows.anchor].sort_values("t", kind="stable").drop_duplicates("t"), rows[~rows.anchor]
+        out = ask[["source", "id", "t"]].assign(qx=np.nan, qy=np.nan, qz=np.nan, qw=np.nan, status="anchors")
+        times = fixed.t.to_numpy(float)
+        if len(times) < 2 or not len(ask):
+            return out
+        at = ask.t.to_numpy(float)
+        k = np.clip(np.searchsorted(times, at, side="right") - 1, 0, len(times) - 2)
+        pose, s = fixed[q].to_numpy(float), fixed[["sx", "sy", "sz", "sw"]].to_numpy(float)
+        gone = fixed.breaks.to_numpy(float)
+        good = (times[k] <= at) & (at <= times[k + 1]) & (times[k + 1] - times[k] <= anchor_gap)
+        covered = good & np.isfinite(s[k, 3]) & np.isfinite(s[k + 1, 3])
+        whole = covered & (gone[k + 1] == gone[k])
+        k, at, now = k[whole], at[whole], ask[["sx", "sy", "sz", "sw"]].to_numpy(float)[whole]
+        drift = log_rotation(product(conjugate(product(conjugate(s[k]), s[k + 1])), product(conjugate(pose[k]), pose[k + 1])))
+        amount = ((at - times[k]) / (times[k + 1] - times[k]))[:, None]
+        turned = product(product(pose[k], product(conjugate(s[k]), now)), exp_rotation(drift * amount))
+        out.loc[whole, q] = turned / np.linalg.norm(turned, axis=1, keepdims=True)
+        out["status"] = np.select([~good, ~covered, ~whole], ["anchors", "rates", "gap"], "ok")
+        return out
+
+    told = met.groupBy("source", "cell").applyInPandas(solve, f"source {kind}, id {key}, t double, qx double, qy double, qz double, qw double, status string")
+    missed = asks.join(told.select("id"), "id", "left_anti").select("source", "id", "t", *[F.lit(None).cast("double").alias(c) for c in q], F.lit("rates").alias("status"))
+    some = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
+    return told.unionByName(missed).select("source", "id", "t", *map(some, q), "status")
+
+
+#: Times at which a frame's rows are sampled, as parts of the readout. A fixed value of the format.
+ROW_SAMPLES = 33
+
+
+def row_poses(frames: DataFrame, rates: DataFrame, anchors: DataFrame, mount: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 1.0), **limits) -> DataFrame:
+    """(source, id, row, qx..qw, status): for each frame (source, id long, centre, readout in seconds) and each of 33 rows the turn from the lens's pose at the centre to that at the row's time.
+
+    Neighbouring rows have one sign. A frame of which any row has no orientation has that row's status in all rows, and no poses.
+    """
+    half = ROW_SAMPLES // 2
+    asks = frames.select("source", "id", F.col("centre"), F.col("readout"), F.explode(F.sequence(F.lit(0), F.lit(ROW_SAMPLES - 1))).alias("row"))
+    asks = asks.withColumn("t", F.col("centre") + (F.col("row") - half) / (2.0 * half) * F.col("readout"))
+    posed = anchored_orientation(asks.select("source", (F.col("id") * ROW_SAMPLES + F.col("row")).alias("id"), "t"), rates, anchors, **limits)
+    posed = posed.withColumns({"row": (F.col("id") % ROW_SAMPLES).cast("int"), "id": F.floor(F.col("id") / ROW_SAMPLES)})
+    kind, key = rates.schema["source"].dataType.simpleString(), "long"
+
+    def turn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row")
+        q = rows[["qx", "qy", "qz", "qw"]].to_numpy(float)
+        bad = rows.status[rows.status != "ok"]
+        if len(bad):
+            return rows[["source", "id", "row"]].assign(qx=np.nan, qy=np.nan, qz=np.nan, qw=np.nan, status=min(bad))
+        m = np.asarray(mount, float)
+        back = product(product(conjugate(m), product(conjugate(q), q[half])), m)
+        sign = np.concatenate([[1.0], np.cumprod(np.where((back[1:] * back[:-1]).sum(axis=1) < 0, -1.0, 1.0))])
+        back = back * (sign * (1 if back[half, 3] * sign[half] >= 0 else -1))[:, None]
+        return rows[["source", "id", "row"]].assign(qx=back[:, 0], qy=back[:, 1], qz=back[:, 2], qw=back[:, 3], status="ok")
+
+    out = posed.groupBy("source", "id").applyInPandas(turn, f"source {kind}, id {key}, row int, qx double, qy double, qz double, qw double, status string")
+    some = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
+    return out.select("source", "id", "row", *map(some, ("qx", "qy", "qz", "qw")), "status")
 
 
 @F.pandas_udf(FIT)

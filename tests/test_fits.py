@@ -33,19 +33,6 @@ def test_robust_rotation_ignores_outliers(spark):
     assert out[2].status == "rejected" and out[2].rotation is None
 
 
-def test_anchored_orientation_corrects_biased_rates(spark):
-    times = np.arange(0, 1.2001, 0.001)
-    angle = lambda t: np.radians(20) * t + np.radians(0.6) * np.sin(2 * np.pi * 10 * t)
-    rate = np.radians(20) + np.radians(0.6) * 2 * np.pi * 10 * np.cos(2 * np.pi * 10 * times) + 0.02
-    rates = spark.createDataFrame([("a", float(t), 0.0, 0.0, float(w)) for t, w in zip(times, rate)], "source string, t double, wx double, wy double, wz double")
-    anchors = spark.createDataFrame([("a", round(0.1 * k, 3), 0.0, 0.0, float(np.sin(angle(0.1 * k) / 2)), float(np.cos(angle(0.1 * k) / 2))) for k in range(13)], "source string, t double, qx double, qy double, qz double, qw double")
-    queries = spark.createDataFrame([("a", 0.2), ("a", 0.523), ("a", 0.77)], "source string, t double")
-    for r in motion.anchored_orientation(queries, rates, anchors).collect():
-        assert 2 * np.arctan2(r.qz, r.qw) == pytest.approx(angle(r.t), abs=1e-4)
-    with pytest.raises(Exception, match="not covered"):
-        motion.anchored_orientation(spark.createDataFrame([("a", 5.0)], "source string, t double"), rates, anchors).collect()
-
-
 def test_timing_fit(spark):
     rng = np.random.default_rng(1)
     rows = []
