@@ -403,15 +403,6 @@ def rigid_background(spark, d) -> DataFrame:
     return out.select("pair", "tracks", "inliers", F.round("median_degrees", 6).alias("median_degrees"), "status")
 
 
-@query()
-def zero_phase_lowpass(spark, d) -> DataFrame:
-    """Users' values, taken as ten samples a second, without what is faster than half a Hz."""
-    e = events(spark, d).select(F.col("user_id").cast("string").alias("source"), (F.row_number().over(SERIES.window) / 10).alias("t"), F.col("value").alias("x"), (F.col("value") % 7).alias("y"), F.lit(1.0).alias("z"))
-    long = e.groupBy("source").count().where("count > 12").select("source")
-    out = calibration.lowpass(e.join(long, "source", "left_semi"), 0.5)
-    return out.select("source", F.round("t", 1).alias("t"), *[F.round(c, 6).alias(c) for c in "xyz"])
-
-
 _GRID = "g as (select (p_partkey // 20)::int as row, (p_partkey % 20)::int as col, (p_size - 25) / 40::double as fx, ((p_partkey * 7) % 11 - 5) / 8::double as fy, (p_partkey % 15)::double as texture, p_partkey % 37 <> 0 as valid, p_size * 5::double as value from part)"
 
 

@@ -1,12 +1,12 @@
-"""Orientation from rates and anchors: line items as samples a millisecond or more apart, some with gaps."""
+"""Orientation from rates and anchors (line items as samples a millisecond or more apart, some with gaps), filters and fading states of events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import motion
-from .tables import table
+from ..operators import calibration, motion, recurrence
+from .tables import DAY, EVENTS, events, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,43 @@ def row_poses(spark, d) -> DataFrame:
     key = F.col("s_suppkey")
     frames = table(spark, d, "supplier").select(F.lit(1).alias("source"), key.alias("id"), (key * 0.14 + 0.2001).alias("centre"), F.lit(0.02).alias("readout"))
     return _axes(motion.row_poses(frames, *_motion(spark, d)))
+
+
+_LOW = dict(zip(("b0", "b1", "b2", "b3", "a0", "a1", "a2", "a3"), (repr(float(x)) + "::double" for part in calibration.butterworth3(0.5, 10) for x in part), strict=True))
+
+
+def _filtered(rows: str) -> str:
+    """Two columns of {rows} (user_id, k from 1, x, y) through the difference equation, as the body of a recursive table (user_id, k, x, y and the states)."""
+
+    def step(c: str, s: str) -> str:
+        y = f"({_LOW['b0']} * n.{c} + {s}0)"
+        return f"{y} as {c}, " + ", ".join(f"{_LOW[f'b{i + 1}']} * n.{c} - {_LOW[f'a{i + 1}']} * {y}" + (f" + {s}{i + 1}" if i < 2 else "") for i in range(3))
+
+    settled = [" + ".join(f"({_LOW[f'b{i}']} - {_LOW[f'a{i}']})" for i in range(k, 4)) for k in (1, 2, 3)]
+    first = ", ".join(f"({settled[i]}) * {c} as {s}{i}" for c, s in (("x", "p"), ("y", "q")) for i in range(3))
+    start = f"(select *, {first} from {rows} where k = 1)"
+    return f"select user_id, n.k, {step('x', 'p')}, {step('y', 'q')} from {start} n union all select n.user_id, n.k, {step('x', 'p')}, {step('y', 'q')} from r join {rows} n on n.user_id = r.user_id and n.k = r.k + 1"
+
+
+_R = "(user_id, k, x, p0, p1, p2, y, q0, q1, q2)"
+
+
+@query(f"""with recursive {EVENTS}, e as (select user_id, row_number() over (partition by user_id order by us, event_id) as i, count(*) over (partition by user_id) as n, value as x, value % 7 as y from ev),
+v as materialized (select user_id, n, i + 12 as k, x, y from e where n > 12 union all select a.user_id, a.n, 14 - b.i, 2 * a.x - b.x, 2 * a.y - b.y from e a join e b using (user_id) where a.n > 12 and a.i = 1 and b.i between 2 and 13
+ union all select a.user_id, a.n, 2 * a.n - b.i + 12, 2 * a.x - b.x, 2 * a.y - b.y from e a join e b using (user_id) where a.n > 12 and a.i = a.n and b.i between a.n - 12 and a.n - 1),
+f{_R} as ({_filtered('v').replace('from r ', 'from f r ')}), g as materialized (select f.user_id, v.n + 25 - f.k as k, f.x, f.y from f join v using (user_id, k)), h{_R} as ({_filtered('g').replace('from r ', 'from h r ')})
+select e.user_id, round(i / 10.0::double, 1) as t, case when n > 12 then 'ok' else 'short' end as status, round(h.x, 6) as x, round(h.y, 6) as y, case when n > 12 then 1.0::double end as z from e left join h on h.user_id = e.user_id and h.k = e.n + 13 - e.i""")
+def zero_phase_lowpass(spark, d) -> DataFrame:
+    """Users' values, taken as ten samples a second, without what is faster than half a Hz."""
+    e = recurrence.numbered(events(spark, d), "user_id", F.floor(F.col("us") / DAY), ["us", "event_id"])
+    rows = e.select(F.col("user_id").alias("source"), ((F.col("k") + 1) / 10).alias("t"), F.col("value").alias("x"), (F.col("value") % 7).alias("y"), F.lit(1.0).alias("z"))
+    out = recurrence.zero_phase_lowpass(rows, 0.5)
+    return out.select(F.col("source").alias("user_id"), F.round("t", 1).alias("t"), "status", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"""with recursive {EVENTS}, n as (select *, row_number() over (partition by user_id order by us, event_id) as k from ev), r as (select user_id, event_id, k, case when event_type <> 'error' then value end as s from n where k = 1 union all
+ select n.user_id, n.event_id, n.k, case when n.event_type <> 'error' then case when r.s is null then n.value else r.s + 0.3137::double * (n.value - r.s) end else r.s * 0.6113::double end from r join n on n.user_id = r.user_id and n.k = r.k + 1) select event_id, round(s, 6) as state from r""")
+def fading_state(spark, d) -> DataFrame:
+    """The decaying state of users' values without a limit, composed over chunks."""
+    out = recurrence.fading_state(events(spark, d), "user_id", F.floor(F.col("us") / DAY), ["us", "event_id"], F.col("value"), F.col("event_type") != "error", 0.3137, 0.6113, ["event_id"])
+    return out.select("event_id", F.round("state", 6).alias("state"))
