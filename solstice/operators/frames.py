@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, smoothstep
-from .matching import fit_robust_rotations, nearest_two
+from .consensus import robust_rotations
+from .matching import nearest_two
 
 
 def flow_trust(forward: DataFrame, backward: DataFrame, width: int, pixel_x: float, pixel_y: float, most_degrees: float = 2.0) -> DataFrame:
@@ -59,7 +60,7 @@ def picture_statistics(pixels: DataFrame, *group: str) -> DataFrame:
 
 
 def matched_rotations(queries: DataFrame, base: DataFrame, block: str, item: str, descriptor: str, degrees: float = 1.5, iterations: int = 3000, least: int = 12, ratio: float = 0.72) -> DataFrame:
-    """Per block (a frame pair): the robust rotation that takes the rays (x, y, z) of the queries to those of the base features they match; see fit_robust_rotations().
+    """Per block (a frame pair): the robust rotation that takes the rays (x, y, z) of the queries to those of the base features they match; see consensus.robust_rotations().
 
     A query matches its nearest descriptor if that is under `ratio` times as far as the second. A feature without a valid ray has null x.
     """
@@ -67,7 +68,7 @@ def matched_rotations(queries: DataFrame, base: DataFrame, block: str, item: str
     a = queries.select(block, F.col(item).alias("query_id"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
     b = base.where("x is not null").select(block, F.col(item).alias("base_id"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
     pairs = near.select(block, "query_id", "base_id").join(a, [block, "query_id"]).join(b, [block, "base_id"])
-    return fit_robust_rotations(pairs.drop("query_id", "base_id"), block, degrees, iterations, least=least)
+    return robust_rotations(pairs.drop("query_id", "base_id"), block, degrees, iterations, least=least)
 
 
 def face_observations(fits: DataFrame, tracks: DataFrame, group: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite, within_relative
 from .contracts import violations
 from .inspection import proper_rotation
+from .quantiles import exact_quantiles
 
 #: Modes whose frames belong together or whose clock differs from playback.
 RETIMED, GROUPED = ("timelapse", "slow-motion"), ("hdr-photo", "aeb-photo", "burst-photo", "interval-photo", "stack-photo")
@@ -201,9 +202,10 @@ def vector_rms(x: Column, y: Column, z: Column) -> Column:
 
 
 def block_scores(residuals: DataFrame, split: str, length: str) -> DataFrame:
-    """Per split: n, median and p95 of the residuals (chords of the unit sphere) as angles in degrees."""
+    """Per split: n, median and p95 of the residuals (chords of the unit sphere) as angles in degrees; null ones are not counted, and a split of any size is no single buffer."""
     angle = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.col(length) / 2)))
-    return residuals.groupBy(split).agg(F.count("*").alias("n"), F.percentile(angle, F.lit(0.5)).alias("median_degrees"), F.percentile(angle, F.lit(0.95)).alias("p95_degrees"))
+    out = exact_quantiles(residuals, [split], angle, [0.5, 0.95])
+    return out.select(split, "n", F.get("q", F.lit(0)).alias("median_degrees"), F.get("q", F.lit(1)).alias("p95_degrees"))
 
 
 def seam_report(frames: DataFrame, source: str) -> DataFrame:

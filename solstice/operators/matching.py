@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import stored
+from .quantiles import exact_quantiles
+
 
 def chunked(rows: DataFrame, block: str, item: str, vector: str, size: int) -> DataFrame:
     """(block, items, vectors): the rows of a block in chunks of about `size`, as many as the block needs."""
@@ -89,70 +92,6 @@ def fit_rotations(pairs: DataFrame, source: tuple, target: tuple, group: str) ->
     return m.select(group, "n", rotation_of_moments(F.array(*[F.col(f"m{i}{j}") for i in range(3) for j in range(3)])).alias("rotation"))
 
 
-def kabsch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The rotation r with b = a @ r.T in the least squares."""
-    u, _, vt = np.linalg.svd(a.T @ b)
-    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt))])
-    return vt.T @ flip @ u.T
-
-
-def random_triples(n: int, count: int, seed: int) -> np.ndarray:
-    """count rows of three different numbers under n, all alike in probability."""
-    rng = np.random.default_rng(seed)
-    a, b, c = rng.integers(n, size=count), rng.integers(n - 1, size=count), rng.integers(n - 2, size=count)
-    b += b >= a
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    c += c >= low
-    c += c >= high
-    return np.stack([a, b, c], axis=1)
-
-
-def robust_rotation(a: np.ndarray, b: np.ndarray, degrees: float, iterations: int, seed: int, least: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """(rotation, inliers) by consensus of random triples; the first best triple wins and is refitted on its inliers.
-
-    Trial rotations are solved and scored in blocks, of at most a million scores at once (or one trial's).
-    """
-    if len(a) < max(3, least):
-        return None
-    limit, best, most = np.cos(np.radians(degrees)), None, -1
-    products = (b[:, :, None] * a[:, None, :]).reshape(-1, 9)
-    picks, block = random_triples(len(a), iterations, seed), max(1, 1_000_000 // len(a))
-    for k in range(0, iterations, block):
-        pick = picks[k : k + block]
-        u, _, vt = np.linalg.svd(np.einsum("kti,ktj->kij", a[pick], b[pick]))
-        turn = np.ones((len(pick), 3))
-        turn[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
-        trials = np.einsum("kji,kj,klj->kil", vt, turn, u).reshape(-1, 9)
-        inside = trials @ products.T >= limit
-        counts = inside.sum(axis=1)
-        if counts.max() > most:
-            most, best = counts.max(), inside[counts.argmax()]
-    return None if most < least else (kabsch(a[best], b[best]), best)
-
-
-def fit_robust_rotations(pairs: DataFrame, group: str | list[str], degrees: float = 1.0, iterations: int = 3000, seed: int = 1, least: int = 6) -> DataFrame:
-    """Per group of ray pairs (ax, ay, az, bx, by, bz): rotation, pairs, inliers, median and p95 error in degrees of the inliers.
-
-    Too few pairs or inliers give status `rejected` and no rotation. A group is one
-    frame pair's tracks: small, and fitted in a task of its own.
-    """
-    groups = [group] if isinstance(group, str) else list(group)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ax", "ay", "az", "bx", "by", "bz"], kind="stable")  # independent of the order of arrival
-        a, b = rows[["ax", "ay", "az"]].to_numpy(float), rows[["bx", "by", "bz"]].to_numpy(float)
-        found = robust_rotation(a, b, degrees, iterations, seed, least)
-        out = {g: rows[g].iloc[0] for g in groups} | {"pairs": len(rows), "inliers": 0, "median_error": None, "p95_error": None, "rotation": None, "status": "rejected"}
-        if found is not None:
-            rotation, inside = found
-            error = np.degrees(np.arccos(np.clip(((a[inside] @ rotation.T) * b[inside]).sum(axis=1), -1, 1)))
-            out |= {"inliers": int(inside.sum()), "median_error": float(np.median(error)), "p95_error": float(np.percentile(error, 95)), "rotation": rotation.ravel().tolist(), "status": "fitted"}
-        return pd.DataFrame([out])
-
-    kinds = ", ".join(f"{g} {pairs.schema[g].dataType.simpleString()}" for g in groups)
-    return pairs.groupBy(*groups).applyInPandas(fit, f"{kinds}, pairs long, inliers long, median_error double, p95_error double, rotation array<double>, status string")
-
-
 def grid_shift(samples: DataFrame, source: str, index: str, value: str, shifts: range) -> DataFrame:
     """Per source: the shift of whole samples for which the series agrees best with its reference column, the first of equals.
 
@@ -189,6 +128,6 @@ def sector_ratio(rows: DataFrame, group: str, order: list[str], first: str, seco
     each, over = F.expr(f"_n div {sectors}"), F.col("_n") % sectors
     cut = F.when(F.col("_rank") < over * (each + 1), F.floor(F.col("_rank") / (each + 1))).otherwise(over + F.floor((F.col("_rank") - over * (each + 1)) / F.greatest(each, F.lit(1))))
     usable = ranked(rows, group, order[0], order).withColumn("sector", cut.cast("int")).where((F.col(first) > 0) & (F.col(second) > 0))
-    middle = F.percentile(F.ln(F.col(second) / F.col(first)), F.lit(0.5))
-    out = usable.groupBy(group, "sector").agg(F.count("*").alias("n"), middle.alias("_m"))
-    return out.select(group, "sector", "n", F.when(F.col("n") >= least, F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_m")))).alias("log_ratio"))
+    ratios = stored(usable.select(group, "sector", F.ln(F.col(second) / F.col(first)).alias("_r")))  # read in passes
+    out = exact_quantiles(ratios, [group, "sector"], F.col("_r"), [0.5])
+    return out.select(group, "sector", "n", F.when(F.col("n") >= least, F.greatest(F.lit(-bound), F.least(F.lit(bound), F.get("q", F.lit(0))))).alias("log_ratio"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lens as L
-from ..operators import gps, matching, raster
+from ..operators import consensus, gps, matching, raster
 from .tables import DAY, SERIES, events, table
 
 LENS = L.Lens(1.5, 90.0, 90.0, 63.5, 63.5, 128, (0.02, -0.005, 0.001, -0.002, 0.0005))
@@ -120,7 +120,7 @@ def ransac_rotation(spark, d) -> DataFrame:
     e = e.where(n > 0).select("label", F.floor(F.col("vec_id") / 500).alias("block"), "vec_id", (x / n).alias("ax"), (y / n).alias("ay"), (z / n).alias("az"))
     c, s, wrong = math.cos(0.4), math.sin(0.4), F.col("vec_id") % 4 == 0
     pairs = e.select("label", "block", "ax", "ay", "az", F.when(wrong, F.col("az")).otherwise(F.col("ax") * c - F.col("ay") * s).alias("bx"), F.when(wrong, F.col("ax")).otherwise(F.col("ax") * s + F.col("ay") * c).alias("by"), F.when(wrong, F.col("ay")).otherwise(F.col("az")).alias("bz"))
-    return matching.fit_robust_rotations(pairs, ["label", "block"], iterations=3000)
+    return consensus.robust_rotations(pairs, ["label", "block"])
 
 
 def closed_path_dp(spark, d) -> DataFrame:

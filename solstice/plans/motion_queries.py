@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, motion, recurrence
+from ..operators import motion, recurrence
 from .tables import DAY, EVENTS, events, table
 
 QUERIES: dict = {}
@@ -113,7 +113,7 @@ def row_poses(spark, d) -> DataFrame:
     return _axes(motion.row_poses(frames, *_motion(spark, d)))
 
 
-_LOW = dict(zip(("b0", "b1", "b2", "b3", "a0", "a1", "a2", "a3"), (repr(float(x)) + "::double" for part in calibration.butterworth3(0.5, 10) for x in part), strict=True))
+_LOW = dict(zip(("b0", "b1", "b2", "b3", "a0", "a1", "a2", "a3"), (repr(float(x)) + "::double" for part in recurrence.butterworth3(0.5, 10) for x in part), strict=True))
 
 
 def _filtered(rows: str) -> str:

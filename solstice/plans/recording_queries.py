@@ -15,8 +15,9 @@ from ..functions.numeric import angle_between, chord_angle
 from ..operators import gps, inspection
 from ..operators import series as S
 from ..sources import recording_source, synthetic, trailer
+from ..sources.scratch import scratch
 from ..streaming import tracks
-from ..streaming.replay import replay, scratch
+from ..streaming.replay import replay
 from .tables import DAY, EVENTS, SERIES, events, table
 
 QUERIES: dict = {}

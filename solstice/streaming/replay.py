@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; on a local master a temporary one where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="solstice-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch
 
 
 def replay(table: DataFrame, folder: str, name: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -74,29 +74,42 @@ def track(seconds=30, step=0.02):
     return t, np.array(q)
 
 
-def test_gravity_fit_finds_mount_and_shift(spark):
-    t, q = track()
-    mount, shift = np.array([0.3, -0.2, -1.3]), 0.11
-    at = np.linspace(2, 27, 12)
+def seen_downs(t, q, mount, shift, at):
     world = product(calibration.slerp(t, q, at + shift), np.broadcast_to(exp_rotation(mount), (len(at), 4)))
-    down = calibration.turned(conjugate(world), np.broadcast_to([0.0, 0, 1], (len(at), 3)))
-    poses = frame(spark, "a", t, q, "qx qy qz qw")
-    row = (fit := calibration.fit_gravity(frame(spark, "a", at, down, "dx dy dz"), poses)).first()
-    assert row.status == "fitted" and row.rms_degrees < 0.01 and abs(row["shift"] - shift) < 1e-3
-    score = calibration.score_gravity(frame(spark, "a", at, down, "dx dy dz"), poses, fit).first()
-    assert score.status == "scored" and abs(score.rms_degrees - row.rms_degrees) < 1e-9
-    assert calibration.score_gravity(frame(spark, "a", at + 20, down, "dx dy dz"), poses, fit).first().status == "coverage"
-    still = np.broadcast_to(down[0], down.shape)
-    for obs, want in ((frame(spark, "a", at[:5], down[:5], "dx dy dz"), "few"), (frame(spark, "a", at, still, "dx dy dz"), "tilt"), (frame(spark, "a", at + 100, down, "dx dy dz"), "coverage")):
-        assert calibration.fit_gravity(obs, poses).first().status == want
-    same = at.copy()
-    same[3] = same[4]
-    assert calibration.fit_gravity(frame(spark, "a", same, down, "dx dy dz"), poses).first().status in ("ordered", "rank")
-
-
-def tracks_of(t, q, shift, scale, n=600, noise=0.0, rows=0.5):
+    return calibration.turned(conjugate(world), np.broadcast_to([0.0, 0, 1], (len(at), 3)))
+
+
+def test_gravity_fits_find_random_mounts_and_shifts_and_refuse(spark):
+    t, q = track(130)
+    frames, truth = [], {}
+    for k in range(3):
+        mount, shift = np.array([0, 0, -np.pi / 2]) + RNG.uniform(-0.5, 0.5, 3), RNG.uniform(-0.3, 0.3)
+        truth[f"s{k}"] = mount, shift
+        frames.append(frame(spark, f"s{k}", (at := np.sort(RNG.uniform(2, 125, 30))), seen_downs(t, q, mount, shift, at), "dx dy dz"))
+    down = seen_downs(t, q, np.array([0.1, 0.2, -1.0]), 0.0, at)
+    frames += [frame(spark, "few", at[:5], down[:5], "dx dy dz"), frame(spark, "tilt", at, np.broadcast_to(down[0], down.shape), "dx dy dz"), frame(spark, "coverage", at + 200, down, "dx dy dz")]
+    frames.append(frame(spark, "ordered", np.where(np.arange(30) == 4, at[3], at), down, "dx dy dz"))
+    seen = frames[0]
+    for more in frames[1:]:
+        seen = seen.unionByName(more)
+    poses = frame(spark, "x", t, q, "qx qy qz qw").drop("source").crossJoin(seen.select("source").distinct()).select("source", "t", "qx", "qy", "qz", "qw")
+    fit = calibration.stored(calibration.fit_gravity(seen, poses))
+    out = {r.source: r for r in fit.collect()}
+    for s in ("few", "tilt", "coverage", "ordered"):
+        assert out[s].status == s and out[s].mount is None
+    for s, (mount, shift) in truth.items():
+        r = out[s]
+        apart = product(conjugate(exp_rotation(mount)), exp_rotation(np.array(r.mount)))
+        assert r.status == "fitted" and r.samples == 30 and r.rms_degrees < 1e-4 and abs(r["shift"] - shift) < 1e-5 and np.abs(apart[:3]).max() < 1e-5
+    scores = {r.source: r for r in calibration.score_gravity(seen, poses, fit.where("status = 'fitted'")).collect()}
+    assert scores.keys() == truth.keys() and all(x.status == "scored" and abs(x.rms_degrees - out[s].rms_degrees) < 1e-9 and abs(x.largest_degrees - out[s].largest_degrees) < 1e-9 for s, x in scores.items())
+    late = fit.where("source = 's0'").selectExpr("source", "mount", "shift + 20 as shift")
+    assert [(x.status, x.rms_degrees) for x in calibration.score_gravity(seen, poses, late).collect()] == [("coverage", None)]
+
+
+def tracks_of(source, t, q, shift, scale, n=600, noise=0.0, rows=0.5):
     pair = np.arange(n) // 10
-    t0 = 1 + pair * 0.4
+    t0 = 1 + pair * (t[-1] - 3) / (n / 10)
     row = RNG.uniform(-rows, rows, (n, 2))
     first = RNG.normal(size=(n, 3))
     first /= np.linalg.norm(first, axis=1, keepdims=True)
@@ -104,18 +117,21 @@ def tracks_of(t, q, shift, scale, n=600, noise=0.0, rows=0.5):
     move = product(conjugate(calibration.slerp(t, q, at[:, 1])), calibration.slerp(t, q, at[:, 0]))
     second = calibration.turned(move, first) + noise * RNG.normal(size=(n, 3))
     second /= np.linalg.norm(second, axis=1, keepdims=True)
-    return pd.DataFrame({"source": "a", "pair": pair, "t0": t0, "t1": t0 + 0.1, "r0": row[:, 0], "r1": row[:, 1]} | {f"{k}{c}": v[:, i] for k, v in (("a", first), ("b", second)) for i, c in enumerate("xyz")})
+    return pd.DataFrame({"source": source, "pair": pair, "t0": t0, "t1": t0 + 0.1, "r0": row[:, 0], "r1": row[:, 1]} | {f"{k}{c}": v[:, i] for k, v in (("a", first), ("b", second)) for i, c in enumerate("xyz")})
 
 
-def test_image_timing_finds_shift_and_scale(spark):
-    t, q = track()
-    poses = frame(spark, "a", t, q, "qx qy qz qw")
-    row = calibration.fit_image_timing(spark.createDataFrame(tracks_of(t, q, 0.012, 1.2)), poses, 0.02).first()
-    assert row.status == "qualified" and abs(row["shift"] - 0.012) < 1e-4 and abs(row.scale - 1.2) < 1e-2 and row.after_median < row.before_median
-    nothing = calibration.fit_image_timing(spark.createDataFrame(tracks_of(t, q, 0.0, 1.0)), poses, 0.02).first()
-    assert nothing.status == "rejected" and "hold-out median" in nothing.reasons
-    few = calibration.fit_image_timing(spark.createDataFrame(tracks_of(t, q, 0.01, 1.0, n=150)), poses, 0.02).first()
-    assert few.reasons == ["few observations"]
+def test_image_timing_finds_random_shifts_and_scales_and_refuses(spark):
+    t, q = track(150)
+    truth = {f"s{k}": (RNG.uniform(-0.03, 0.03), RNG.choice([0.7, 1.3]) + RNG.uniform(-0.1, 0.1)) for k in range(2)}
+    tables = [tracks_of(s, t, q, *x) for s, x in truth.items()] + [tracks_of("right", t, q, 0.0, 1.0), tracks_of("few", t, q, 0.01, 1.0, n=150), tracks_of("flat", t, q, 0.01, 1.0, rows=0.1), tracks_of("far", t, q, 0.2, 1.0)]
+    seen = spark.createDataFrame(pd.concat(tables))
+    poses = frame(spark, "x", t, q, "qx qy qz qw").drop("source").crossJoin(seen.select("source").distinct()).select("source", "t", "qx", "qy", "qz", "qw")
+    out = {r.source: r for r in calibration.fit_image_timing(seen, poses, 0.02).collect()}
+    for s, (shift, scale) in truth.items():
+        r = out[s]
+        assert r.status == "qualified" and r.reasons == [] and abs(r["shift"] - shift) < 1e-4 and abs(r.scale - scale) < 1e-2 and r.after_median < r.before_median
+    assert "hold-out median" in out["right"].reasons and out["few"].reasons == out["flat"].reasons == ["few observations"] and out["few"]["shift"] is None
+    assert "at its bounds" in out["far"].reasons and {out[s].status for s in ("right", "few", "flat", "far")} == {"rejected"}
 
 
 def test_rigid_background_finds_the_turn_and_refuses_a_plane(spark):
@@ -129,7 +145,7 @@ def test_rigid_background_finds_the_turn_and_refuses_a_plane(spark):
     flat /= np.linalg.norm(flat, axis=1, keepdims=True)
     rows = [pd.DataFrame({"pair": k} | {f"{n}{c}": v[:, i] for n, v in (("a", x), ("b", y)) for i, c in enumerate("xyz")}) for k, (x, y) in enumerate([(a, b), (flat, flat @ turn), (a[:11], b[:11])])]
     out = {r.pair: r for r in calibration.rigid_background(spark.createDataFrame(pd.concat(rows)), "pair").collect()}
-    assert out[0].status == "fitted" and 40 <= out[0].inliers <= 45 and np.abs(np.array(out[0].rotation).reshape(3, 3) - turn).max() < 1e-6
+    assert out[0].status == "fitted" and 40 <= out[0].inliers <= 45 and np.abs(np.array(out[0].rotation).reshape(3, 3) - turn.T).max() < 1e-6
     assert out[1].status == out[2].status == "rejected"
 
 

@@ -5,14 +5,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from solstice.operators import calibration, recurrence
+from solstice.operators import recurrence
 
 SAMPLES = "source string, t double, x double, y double, z double"
 
 
 def serial(x, cutoff, rate, edge=12):
     """Forward and backward by the difference equation, one number at a time."""
-    b, a = calibration.butterworth3(cutoff, rate)
+    b, a = recurrence.butterworth3(cutoff, rate)
     settled = [sum(b[i] - a[i] for i in range(k, 4)) for k in (1, 2, 3)]
     out = []
     for column in x.T:
@@ -32,7 +32,7 @@ def serial(x, cutoff, rate, edge=12):
 def test_filter_over_blocks_equals_the_difference_equation():
     rng = np.random.default_rng(2)
     low = recurrence.Filter(1.5, 60)
-    b, a = calibration.butterworth3(1.5, 60)
+    b, a = recurrence.butterworth3(1.5, 60)
     for n in (0, 1, 127, 128, 129, 700):
         x, state = rng.normal(size=(n, 2)), rng.normal(size=(3, 2))
         s, want = state.copy(), []
