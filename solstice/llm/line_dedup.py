@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import WHITE, ascii_lower, materialize, new_path
 
@@ -103,7 +104,7 @@ def dedup_lines(
     Lines whose key (see line_key) has min_chars code points and occurs in
     min_docs documents lose all their occurrences, except those in the document
     of the largest id that has it. Documents come in batches from the largest ids to the
-    smallest, so the batch in which a key is fresh names its keeper.
+    smallest, so the batch in which a key is fresh names its keeper. Ids may be of any kind that has an order.
 
     Null and empty texts have one empty line, which stays. A null id counts as
     one document, below all others. Repeated rows of an id are one document for
@@ -113,7 +114,11 @@ def dedup_lines(
     spark = docs.sparkSession
     keep = keep or []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        cuts = sorted(set(docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
+    else:  # a thousand ids, by hash, say about where to cut
+        some = sorted(r.doc_id for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(1000).collect())
+        cuts = sorted({some[k * len(some) // batches] for k in range(1, batches)} if some else (), reverse=True)
     batch = F.lit(len(cuts))
     for k, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") >= cut, k).otherwise(batch)

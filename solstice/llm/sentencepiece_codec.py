@@ -26,6 +26,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in slices of about so many code points; so many distinct words are remembered by a task.
 SLICE_CHARS, WORDS_KEPT = 1_000_000, 400_000
+#: Bytes of words and ids that a worker remembers at most, beyond those of one slice: words may be long, whole texts where pieces span words.
+BYTES_KEPT = 48 << 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -126,6 +128,7 @@ class Codec:
         split = not any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k == NORMAL)
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if split else "(?s:.+)")
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.library = None
         self.odd: set[str] = set()
 
@@ -142,15 +145,17 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """The ids of each text, as 32-bit integers, and whether they are the library's. Words not met before go to the library together, which uses its threads."""
         words = [self.words.findall(self.normalize(x)) for x in texts]
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > WORDS_KEPT or self.held > BYTES_KEPT:
             self.known.clear()
             self.odd.clear()
+            self.held = 0
         new = list(set(chain.from_iterable(words)) - self.known.keys())
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         self.verify(new, ids)
         flat, at = np.array(list(chain.from_iterable(ids)), np.int32).tobytes(), 0
         for word, n in zip(new, map(len, ids), strict=True):
             self.known[word] = flat[at : at + 4 * n]
+            self.held += 4 * n + 2 * len(word)
             at += 4 * n
         return [b"".join(map(self.known.__getitem__, x)) for x in words], [self.odd.isdisjoint(x) for x in words] if self.odd else [True] * len(words)
 

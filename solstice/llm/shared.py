@@ -101,14 +101,17 @@ def bound_batches(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
-    """Within it, jobs that run at once hand Python at most so many rows a batch: for rows that are large or that a batch gathers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Within it, jobs that run at once hand Python at most so many rows and about BATCH_BYTES a batch: for rows that are large or that a batch gathers."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    spark.conf.set(names[0], str(min(rows, int(before[0])) if int(before[0]) > 0 else rows))
+    size = int(before[1].removesuffix("b"))
+    spark.conf.set(names[1], str(min(size, BATCH_BYTES) if size > 0 else BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def ascii_lower(text):
