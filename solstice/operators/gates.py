@@ -156,6 +156,16 @@ def paired(first: DataFrame, second: DataFrame, source: str, frame: str, value:
     return both.join(alike, source, "left_semi")
 
 
+def paired_or_why(first: DataFrame, second: DataFrame, source: str, frame: str, value: str) -> DataFrame:
+    """paired() with status `paired`, and a row without a frame for each source that has no pairs: `one track`, `other start` or `other length`."""
+    a, b = (x.groupBy(source).agg(F.min(frame).alias(f"_f{k}"), F.count("*").alias(f"_n{k}")) for k, x in enumerate((first, second)))
+    both = a.join(b, source, "full")
+    why = F.when(F.col("_n0").isNull() | F.col("_n1").isNull(), "one track").when(F.col("_f0") != F.col("_f1"), "other start").when(F.col("_n0") != F.col("_n1"), "other length")
+    pairs = paired(first, second, source, frame, value).withColumn("status", F.lit("paired"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in pairs.schema if f.name not in (source, "status")]
+    return pairs.unionByName(both.withColumn("status", why).where("status is not null").select(source, *none, "status"))
+
+
 def round_trips(tracks: DataFrame, width: int, height: int, limit: float = 0.6, border: float = 2.0) -> DataFrame:
     """The tracks (x, y, there_x, there_y, back_x, back_y) that come back to within `limit` pixels and whose other end is inside the border."""
     c = F.col

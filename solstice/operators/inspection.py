@@ -104,7 +104,10 @@ def polygon_area(polygon: Column) -> Column:
 
 
 def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
-    """Whether the point lies inside, by crossings of the ray to the right."""
+    """Whether the point lies inside, by crossings of the ray to the right.
+
+    Of the border, points belong to the polygon that lies to their right, or above them where an edge is level; so of polygons that share an edge each point is in one.
+    """
     crosses = lambda e: ((e.a.y > y) != (e.b.y > y)) & (x < e.a.x + (y - e.a.y) / F.nullif(e.b.y - e.a.y, F.lit(0.0)) * (e.b.x - e.a.x))
     return F.aggregate(_edges(polygon), F.lit(0), lambda s, e: s + F.coalesce(crosses(e), F.lit(False)).cast("int")) % 2 == 1
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lens as L
 from ..functions import quaternion as Q
-from ..operators import calibration, frames, gates, matching, raster
+from ..operators import calibration, frames, gates, matching, raster, recurrence
 from ..operators import series as S
-from .tables import EVENTS, SERIES, events, table
+from .tables import DAY, EVENTS, SERIES, events, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,13 +165,15 @@ def fingerprint_binding(spark, d) -> DataFrame:
     return gates.bound(profiles, orders, "customer", "fingerprint").select("o_orderkey", "status")
 
 
-@query(f"""with {EVENTS}, n as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by us, event_id) - 1 as frame, least(8, count(*) over (partition by user_id, event_type)) as c from ev)
-select a.user_id, a.frame, a.value as first, b.value as second from n a join n b on a.user_id = b.user_id and a.frame = b.frame and a.c = b.c and a.frame < 8 and a.event_type = 'click' and b.event_type = 'error'""")
+@query(f"""with {EVENTS}, n as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by us, event_id) - 1 as frame from ev where event_type in ('click', 'error')), c as (
+ select user_id, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'error') as errors from n group by user_id)
+select a.user_id, a.frame, a.value as first, b.value as second, 'paired' as status from n a join n b using (user_id, frame) join c using (user_id) where clicks = errors and a.event_type = 'click' and b.event_type = 'error'
+union all select user_id, null, null, null, case when clicks = 0 or errors = 0 then 'one track' else 'other length' end from c where clicks <> errors""")
 def paired_lens_frames(spark, d) -> DataFrame:
-    """The first eight clicks and errors of a user as the two tracks of a recording."""
-    numbered = S.Series("user_id", "us", "event_id")
-    tracks = [events(spark, d).where(F.col("event_type") == kind).withColumn("frame", (F.row_number().over(numbered.window) - 1).cast("long")).where("frame < 8") for kind in ("click", "error")]
-    return gates.paired(*tracks, "user_id", "frame", "value")
+    """All clicks and errors of a user as the two tracks of a recording."""
+    e = recurrence.numbered(events(spark, d).where(F.col("event_type").isin("click", "error")).withColumn("track", F.struct("user_id", "event_type")), "track", F.floor(F.col("us") / DAY), ["us", "event_id"])
+    tracks = [e.where(F.col("event_type") == kind).select("user_id", F.col("k").alias("frame"), "value") for kind in ("click", "error")]
+    return gates.paired_or_why(*tracks, "user_id", "frame", "value")
 
 
 @query("""select l_orderkey * 10 + l_linenumber as track from lineitem where sqrt((l_discount * 5) ** 2 + (l_tax * 5) ** 2) < 0.6::double and l_quantity * 2 >= 2 and l_quantity * 2 < 88 and l_partkey % 100 >= 2 and l_partkey % 100 < 88""")
@@ -383,11 +385,13 @@ SCAN = L.Lens(1.2, 90.0, 90.0, 63.5, 63.5, 128, (0.02, -0.005, 0.001, -0.002, 0.
 
 @query()
 def rolling_shutter_projection(spark, d) -> DataFrame:
-    """Rays of a sphere as wide as the number of orders allows, seen by a lens that turns at a radian a second."""
-    width = max(64, 2 * math.isqrt(table(spark, d, "orders").count() // 2))
-    g = raster.pixel_grid(spark, width, width // 2).withColumn("r", L.pixel_ray(F.col("col"), F.col("row"), width, width // 2))
-    out = L.project_scan(g, SCAN, "r", (0.0, 0.6, 0.8), 0.02, "p")
-    return out.select("row", "col", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"), "p.valid")
+    """Line items as rays (their price is the longitude, their quantity the latitude), seen by a lens that turns at a radian a second."""
+    c = F.col
+    lon, lat = F.radians(c("l_extendedprice") % 360), F.radians((c("l_quantity") - 25.5) * 3)
+    ray = F.struct((F.sin(lon) * F.cos(lat)).alias("x"), (-F.sin(lat)).alias("y"), (F.cos(lon) * F.cos(lat)).alias("z"))
+    rays = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ray.alias("r"))
+    out = L.project_scan(rays, SCAN, "r", (0.0, 0.6, 0.8), 0.02, "p")
+    return out.select("l_orderkey", "l_linenumber", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"), "p.valid")
 
 
 @query()

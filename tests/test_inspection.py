@@ -52,3 +52,13 @@ def test_columns(spark):
     audio = "codec_name string, sample_rate string, channels int, start_time string, duration_ts long"
     rows = spark.createDataFrame([(k, s) for k, s in enumerate([None, ("aac", "48000", 2, "0.0", 9), ("mp3", "48000", 2, "0", 9), ("aac", "44100", 2, "0", 9), ("aac", "48000", 6, "0", 9), ("aac", "48000", 1, "-1", 9)])], f"k int, stream struct<{audio.replace(' ', ':').replace(',:', ',')}>")
     assert [r[0] for r in rows.orderBy("k").select(I.audio_profile(F.col("stream"))).collect()] == ["absent", "ok", "codec", "rate", "channels", "start"]
+
+
+def test_border_points_belong_to_one_of_two_polygons(spark):
+    from pyspark.sql import functions as F
+
+    polygon = lambda corners: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in corners])
+    parts = [[(0, 0), (4, 0), (0, 4)], [(4, 0), (4, 4), (0, 4)], [(4, 0), (8, 0), (8, 4), (4, 4)], [(0, 4), (8, 4), (8, 8), (0, 8)]]  # together a square
+    grid = spark.range(17 * 17).select((F.col("id") % 17 / 2.0).alias("x"), (F.floor(F.col("id") / 17) / 2.0).alias("y"))
+    rows = grid.select("x", "y", *[I.in_polygon(polygon(p), F.col("x"), F.col("y")).cast("int").alias(f"p{k}") for k, p in enumerate(parts)]).collect()
+    assert all(r.p0 + r.p1 + r.p2 + r.p3 == int(r.x < 8 and r.y < 8) for r in rows)
