@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, smoothstep
 from .consensus import robust_rotations
-from .matching import nearest_two
+from .neighbours import nearest_two
 
 
 def flow_trust(forward: DataFrame, backward: DataFrame, width: int, pixel_x: float, pixel_y: float, most_degrees: float = 2.0) -> DataFrame:

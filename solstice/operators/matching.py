@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,46 +13,6 @@ from ..sources.scratch import stored
 from .quantiles import exact_quantiles
 
 
-def chunked(rows: DataFrame, block: str, item: str, vector: str, size: int) -> DataFrame:
-    """(block, items, vectors): the rows of a block in chunks of about `size`, as many as the block needs."""
-    parts = rows.groupBy(block).agg(F.ceil(F.count("*") / size).alias("_parts"))
-    dealt = rows.join(parts, block).withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
-    lists = dealt.groupBy(block, "_part").agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias("x"))
-    return lists.select(block, F.col("x.i").alias("items"), F.col("x.v").alias("vectors"))
-
-
-def nearest_two(queries: DataFrame, base: DataFrame, block: str, query_id: str, base_id: str, vector: str, ratio: float = 0.72, size: int = 1000) -> DataFrame:
-    """Per query with two neighbours in its block: the nearest, both distances, and whether the first is under ratio times the second.
-
-    A query meets the vectors of its own block (a frame pair) only. Both sides of a block are dealt out in chunks, and each two of them
-    meet in a row, wherever it runs; it gives the two nearest of each query, and of those the two
-    nearest over all chunks are meant. Equal distances go by id.
-    """
-    a = chunked(queries, block, query_id, vector, size).select(block, F.col("items").alias("qi"), F.col("vectors").alias("qv"))
-    b = chunked(base, block, base_id, vector, size).select(block, F.col("items").alias("bi"), F.col("vectors").alias("bv"))
-    kind, query_kind = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-
-    def two(batches):
-        for batch in batches:
-            for block_value, qi, qv, bi, bv in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                order = np.argsort(np.array(bi), kind="stable")
-                points, ids = np.array(bv, float)[order], [bi[k] for k in order]
-                found = []
-                for i, v in zip(qi, np.array(qv, float), strict=True):
-                    d = np.sqrt(((points - v) ** 2).sum(axis=1))
-                    near = np.argpartition(d, 1)[:2] if len(d) > 2 else np.arange(len(d))
-                    ties = np.flatnonzero(d <= d[near].max())  # of equal distances the first ids
-                    for k in ties[np.argsort(d[ties], kind="stable")][:2]:
-                        found.append((i, float(d[k]), ids[k]))
-                yield pa.RecordBatch.from_arrays([pa.array([block_value.as_py()] * len(found), batch.schema.types[0]), *(pa.array(c) for c in zip(*found, strict=True))], names=[block, "query_id", "d", "id"])
-
-    pairs = a.join(b, block).select(block, "qi", "qv", "bi", "bv")
-    near = pairs.mapInArrow(two, f"{block} {base.schema[block].dataType.simpleString()}, query_id {query_kind}, d double, id {kind}")
-    best = near.groupBy(block, "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, 2).alias("x")).where("size(x) = 2")
-    best = best.select(block, "query_id", F.col("x")[0].alias("one"), F.col("x")[1].alias("two"))
-    return best.select(block, "query_id", F.col("one.id").alias("base_id"), F.col("one.d").alias("d1"), F.col("two.d").alias("d2"), (F.col("one.d") < ratio * F.col("two.d")).alias("kept"))
-
-
 def medoid(candidates: DataFrame, group: str, item: str, distance, within: float, minimum: int = 1) -> DataFrame:
     """Per group: the item of the least median distance to all (itself included), how many are within reach, and whether they are a strict majority.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import contracts as C
-from ..operators import matching
+from ..operators import matching, neighbours
 from .tables import EVENTS, events, table
 
 
@@ -96,7 +96,7 @@ EDGE = """select doc_id, sha256(substring(text, 1, 256) || substring(text, great
 def nearest2_ratio_test(spark, d) -> DataFrame:
     """Even vectors of a label against its odd ones."""
     e = table(spark, d, "embeddings")
-    out = matching.nearest_two(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "vec_id", "vec_id", "embedding", 0.95)
+    out = neighbours.nearest_two(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "vec_id", "vec_id", "embedding", 0.95)
     return out.select("label", "query_id", "base_id", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"), "kept")
 
 

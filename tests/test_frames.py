@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from solstice.operators import frames, matching, raster
+from solstice.operators import frames, neighbours
 
 RNG = np.random.default_rng(9)
 
@@ -58,20 +58,25 @@ def test_two_nearest_in_chunks_equal_brute_force(spark):
     a, b = RNG.integers(0, 3, (30, 4)).astype(float), RNG.integers(0, 3, (50, 4)).astype(float)
     frame = lambda v: spark.createDataFrame(pd.DataFrame({"g": np.arange(len(v)) % 2, "i": np.arange(len(v)), "v": v.tolist()}))
     for size in (1, 7, 1000):
-        got = {r.query_id: r for r in matching.nearest_two(frame(a), frame(b), "g", "i", "i", "v", 0.9, size).collect()}
+        got = {r.query_id: r for r in neighbours.nearest_two(frame(a), frame(b), "g", "i", "i", "v", 0.9, size).collect()}
         for i, v in enumerate(a):
             d = sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in enumerate(b) if j % 2 == i % 2)
             assert (got[i].base_id, got[i].d1, got[i].d2) == (d[0][1], d[0][0], d[1][0]) and got[i].kept == (d[0][0] < 0.9 * d[1][0])
 
 
-def test_ring_paths_are_the_cheapest():
-    for _ in range(30):
-        cost = RNG.integers(0, 4, (4, 6)).astype(float)
-        path, value = raster.closed_path(cost, 0.5)
-        best = min(
-            (sum(cost[r, c] for c, r in enumerate(p)) + 0.5 * sum(x != y for x, y in zip(p, p[1:])), p[0])
-            for p in np.stack(np.meshgrid(*[range(4)] * 6), -1).reshape(-1, 6).tolist()
-            if p[0] == p[-1] and all(abs(x - y) <= 1 for x, y in zip(p, p[1:]))
-        )
-        assert abs(value - best[0]) < 1e-9 and path[0] == path[-1] == best[1] and (abs(np.diff(path)) <= 1).all()
-        assert abs(sum(cost[r, c] for c, r in enumerate(path)) + 0.5 * (np.diff(path) != 0).sum() - value) < 1e-9
+def test_tiles_beyond_the_bounds_are_not_compared(spark):
+    centres = RNG.normal(size=(30, 6)) * 20
+    rows = [(g, k, (centres[RNG.integers(30)] + RNG.normal(size=6)).tolist()) for g in (None, "a", "b") for k in range(500 if g == "a" else 40)] + [("a", 1000, None), ("alone", 5, [1.0] * 6)]
+    base = spark.createDataFrame(rows, "block string, item long, v array<double>").repartition(4)
+    asks = spark.createDataFrame([(g, k, (np.array(v) + RNG.normal(size=6) * 0.1).tolist()) for g, k, v in rows if v and k % 3 == 0] + [("nowhere", 1, [0.0] * 6)], "block string, item long, v array<double>")
+    best, met = neighbours.searched(asks, base, 20)
+    got = {(r.block, r.query_id): [(x.d, x.id) for x in r.x] for r in best.collect()}
+    want = {}
+    for r in asks.collect():
+        d = sorted((float(np.sqrt(((np.array(r.v) - np.array(v)) ** 2).sum())), k) for g, k, v in rows if v and g == r.block and g is not None)
+        if d:
+            want[r.block, r.item] = d[:2]
+    assert got.keys() == want.keys()
+    assert all([i for _, i in got[k]] == [i for _, i in want[k]] and np.allclose([d for d, _ in got[k]], [d for d, _ in want[k]]) for k in want)
+    touched = {r.touched: r["count"] for r in met.groupBy("touched").count().collect()}
+    assert touched[False] > 0.25 * (touched[True] + touched[False])
