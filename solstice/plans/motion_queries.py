@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import motion, recurrence
+from ..operators import calibration, motion, recurrence
 from .tables import DAY, EVENTS, events, table
 
 QUERIES: dict = {}
@@ -151,3 +152,67 @@ def fading_state(spark, d) -> DataFrame:
     """The decaying state of users' values without a limit, composed over chunks."""
     out = recurrence.fading_state(events(spark, d), "user_id", F.floor(F.col("us") / DAY), ["us", "event_id"], F.col("value"), F.col("event_type") != "error", 0.3137, 0.6113, ["event_id"])
     return out.select("event_id", F.round("state", 6).alias("state"))
+
+
+def _about(axis: int, angle: np.ndarray) -> np.ndarray:
+    return motion.exp_rotation(np.eye(3)[axis] * np.asarray(angle, float)[:, None])
+
+
+def _swing(source: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The poses of sources at times: slow swings about three axes."""
+    turns = [_about(2, 0.6 * np.sin(0.31 * t + source)), _about(1, 0.4 * np.sin(0.23 * t)), _about(0, 0.5 * np.sin(0.17 * t + 2 * source))]
+    return motion.product(motion.product(turns[0], turns[1]), turns[2])
+
+
+def _made(df: DataFrame, make, schema: str) -> DataFrame:
+    """Each batch of rows through a NumPy function of the frame."""
+    return df.mapInPandas(lambda batches: (make(rows) for rows in batches), schema)
+
+
+def _poses(spark, d) -> DataFrame:
+    """Of five sources, each order a fiftieth of a second."""
+    rows = table(spark, d, "orders").select(F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("source"), (F.col("o_orderkey") / 50.0).alias("t"))
+
+    def make(rows):
+        q = _swing(rows.source.to_numpy(), rows.t.to_numpy())
+        return rows.assign(**{f"q{c}": q[:, k] for k, c in enumerate("xyzw")})
+
+    return _made(rows, make, "source int, t double, qx double, qy double, qz double, qw double")
+
+
+@query()
+def gravity_fit(spark, d) -> DataFrame:
+    """Parts as times at which a mounted lens sees down, with a shift of its clock; source 4 has too few. The mount and the shift are found again and scored."""
+    key = F.col("p_partkey")
+    seen = table(spark, d, "part").select((key % 5).cast("int").alias("source"), (key * 0.13 + 1.3).alias("t"), key).where("source < 4 or p_partkey < 25").select("source", "t")
+
+    def make(rows):
+        s, t = rows.source.to_numpy(), rows.t.to_numpy()
+        mount = motion.product(_about(2, -1.2 - 0.1 * s), _about(0, 0.05 + 0.06 * s))
+        world = motion.product(_swing(s, t + 0.07 * s - 0.1), mount)
+        down = calibration.turned(motion.conjugate(world), np.tile([0.0, 0.0, 1.0], (len(s), 1)))
+        return rows.assign(**{f"d{c}": down[:, k] for k, c in enumerate("xyz")})
+
+    seen, poses = calibration.stored(_made(seen, make, "source int, t double, dx double, dy double, dz double")), calibration.stored(_poses(spark, d))
+    fits = calibration.stored(calibration.fit_gravity(seen, poses))
+    scores = calibration.score_gravity(seen, poses, fits.where("status = 'fitted'")).select("source", F.col("largest_degrees").alias("scored_degrees"))
+    return fits.join(scores, "source", "left").select("source", "samples", F.transform("mount", lambda x: F.round(x, 3)).alias("mount"), F.round("shift", 3).alias("shift"), F.round("largest_degrees", 2).alias("largest_degrees"), F.round("scored_degrees", 2).alias("scored_degrees"), "status")
+
+
+@query()
+def timing_fit(spark, d) -> DataFrame:
+    """Line items as rays tracked between two frames of a lens that reads its rows in 20 ms, with a shift and a scale of its own for each source; they are found again and judged on the blocks held out."""
+    c = F.col
+    rows = table(spark, d, "lineitem").select((c("l_linenumber") % 5).cast("int").alias("source"), F.floor(c("l_orderkey") / 5).alias("pair"), (c("l_partkey") % 101 / 100 - 0.5).alias("r0"), (c("l_suppkey") % 101 / 100 - 0.5).alias("r1"), (c("l_extendedprice") % 7).alias("a"), (c("l_quantity") / 20).alias("b"))
+
+    def make(rows):
+        s, t0, r = rows.source.to_numpy(), rows.pair.to_numpy() * 0.1 + 0.5, rows[["r0", "r1"]].to_numpy()
+        ray = np.stack([np.cos(rows.a) * np.cos(rows.b), np.sin(rows.a) * np.cos(rows.b), np.sin(rows.b)], axis=1)
+        at = [t0 + 0.1 * k + r[:, k] * 0.02 * (1 + 0.1 * s) + 0.005 * s - 0.01 for k in (0, 1)]
+        seen = calibration.turned(motion.product(motion.conjugate(_swing(s, at[1])), _swing(s, at[0])), ray)
+        out = rows[["source", "pair"]].assign(t0=t0, t1=t0 + 0.1, r0=r[:, 0], r1=r[:, 1])
+        return out.assign(**{f"{n}{x}": v[:, k] for n, v in (("a", ray), ("b", seen)) for k, x in enumerate("xyz")})
+
+    tracks = _made(rows, make, "source int, pair long, t0 double, t1 double, r0 double, r1 double, " + ", ".join(f"{n}{x} double" for n in "ab" for x in "xyz"))
+    out = calibration.fit_image_timing(calibration.stored(tracks), calibration.stored(_poses(spark, d)), 0.02)
+    return out.select("source", "tracks", F.round("shift", 4).alias("shift"), F.round("scale", 2).alias("scale"), (c("after_median") < c("before_median")).alias("better"), "status", "reasons")
