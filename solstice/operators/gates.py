@@ -350,3 +350,19 @@ def row_times(frames: DataFrame, center: str, readout: float, rows: int = 33) ->
         raise ValueError("a readout takes up to a tenth of a second, and a track has two rows at least")
     out = frames.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     return out.withColumn("t", F.col(center) + (F.col("row") / (rows - 1) - 0.5) * readout)
+
+
+#: Fixed values of the format: the fields of a recording's metadata that occur once, by wire type.
+SINGULAR = {2: (2, 3, 4, 5, 19, 22, 26, 27, 31, 53, 54, 56, 65), 0: (15, 20, 24, 29, 40, 42, 43, 62, 97, 153, 175, 203, 208), 1: (25, 28)}
+
+
+def metadata_violations(fields: DataFrame, singular: dict[int, tuple[int, ...]] | None = None) -> DataFrame:
+    """(source, number, rule): known fields that occur `twice`, or of another `wire type`; fields that are not known may be anything.
+
+    fields: source, number, wire, as trailer.metadata_fields() or the data source's `metadata` give them. A field may break both rules.
+    """
+    wires = F.create_map(*[F.lit(x) for wire, numbers in (singular or SINGULAR).items() for n in numbers for x in (n, wire)])
+    known = fields.withColumn("_wire", F.try_element_at(wires, F.col("number").cast("int"))).where("_wire is not null")
+    of = known.groupBy("source", "number").agg(F.count("*").alias("n"), F.bool_or(F.col("wire") != F.col("_wire")).alias("other"))
+    rules = F.array_compact(F.array(F.when(F.col("n") > 1, "twice"), F.when(F.col("other"), "wire type")))
+    return of.select("source", "number", F.explode(rules).alias("rule"))

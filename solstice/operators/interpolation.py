@@ -78,3 +78,27 @@ def slerped(df: DataFrame, field: str = "q", out: str = "r", time: str = "us") -
     df = df.withColumn("_n", length)
     made = Q.quaternion(*[F.col(f"_p{c}") / F.col("_n") for c in "xyzw"])
     return df.withColumn(out, F.when(F.col("_n").isNotNull(), made)).drop(*ends, "_t", "_dot", "_ka", "_kb", "_n", *[f"_p{c}" for c in "xyzw"])
+
+
+def periodic_linear(queries: DataFrame, knots: DataFrame, at: str, value: str, period: float, source: str = "source", order: str = "id") -> DataFrame:
+    """queries with the value between the knots (source, at, value) around a ring of `period`: behind the last knot comes the first again. Null without knots.
+
+    Positions count modulo the period. Of knots of one position the mean counts. Only two knots of a source are repeated beyond the ring's ends.
+    """
+    place = F.pmod(F.col(at).cast("double"), F.lit(float(period)))
+    ring = knots.select(source, place.alias("_at"), F.col(value).cast("double").alias("_value")).groupBy(source, "_at").agg(F.avg("_value").alias("_value"))
+    ends = ring.groupBy(source).agg(F.min(F.struct("_at", "_value")).alias("a"), F.max(F.struct("_at", "_value")).alias("z"))
+    beyond = ends.select(source, F.explode(F.array(*[F.struct((F.col(f"{k}._at") + shift).alias("_at"), F.col(f"{k}._value").alias("_value")) for k, shift in (("a", period), ("z", -period))])).alias("x"))
+    ring = ring.unionByName(beyond.select(source, "x._at", "x._value")).withColumn(order, F.lit(0))
+    met = asof(queries.withColumn("_at", place), ring, source, "_at", order)
+    return met.withColumn(value, linear("_value", "_at")).drop("_at", "before", "after")
+
+
+def wrap_columns(cells: DataFrame, column: str, width: int, pad: int) -> DataFrame:
+    """cells (columns 0 to width - 1 of a ring) with `pad` columns more on either side: those of the other end, under numbers that go on beyond 0 and width - 1."""
+    if not 0 <= pad <= width:
+        raise ValueError("a ring can be padded by its own width at most")
+    c = F.col(column)
+    places = F.array_compact(F.array(c, F.when(c < pad, c + width), F.when(c >= width - pad, c - width)))
+    rest = [x for x in cells.columns if x != column]
+    return cells.select(*rest, F.explode(places).alias(column)).select(*cells.columns)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, motion, recurrence
+from ..operators import calibration, gates, interpolation, motion, recurrence
 from .tables import DAY, EVENTS, events, table
 
 QUERIES: dict = {}
@@ -216,3 +216,32 @@ def timing_fit(spark, d) -> DataFrame:
     tracks = _made(rows, make, "source int, pair long, t0 double, t1 double, r0 double, r1 double, " + ", ".join(f"{n}{x} double" for n in "ab" for x in "xyz"))
     out = calibration.fit_image_timing(calibration.stored(tracks), calibration.stored(_poses(spark, d)), 0.02)
     return out.select("source", "tracks", F.round("shift", 4).alias("shift"), F.round("scale", 2).alias("scale"), (c("after_median") < c("before_median")).alias("better"), "status", "reasons")
+
+
+@query("""with k as (select (p_partkey % 5)::int as source, ((p_partkey * 37) % 360)::double as x, avg(p_retailprice) as y from part group by all), e as (select source, min(x) as a, max(x) as z from k group by source),
+p as (select * from k union all select source, x + 360, y from k join e using (source) where x = a union all select source, x - 360, y from k join e using (source) where x = z),
+q as (select o_orderkey, (o_custkey % 5)::int as source, fmod(o_orderkey * 7.3::double, 360.0::double) as x from orders)
+select o_orderkey, round(a.y + (b.y - a.y) * ((q.x - a.x) / (b.x - a.x)), 6) as y from q asof join p a on q.source = a.source and q.x >= a.x asof join p b on q.source = b.source and q.x < b.x""")
+def periodic_interpolation(spark, d) -> DataFrame:
+    """Prices of parts around a ring of degrees, read at each order's angle."""
+    key = F.col("p_partkey")
+    knots = table(spark, d, "part").select((key % 5).cast("int").alias("source"), (key * 37).alias("x"), F.col("p_retailprice").alias("y"))
+    asks = table(spark, d, "orders").select((F.col("o_custkey") % 5).cast("int").alias("source"), F.col("o_orderkey"), (F.col("o_orderkey") * F.lit(7.3)).alias("x"), F.lit(0).alias("id"))
+    return interpolation.periodic_linear(asks, knots, "x", "y", 360.0).select("o_orderkey", F.round("y", 6).alias("y"))
+
+
+@query("""with g as (select p_partkey // 20 as row, p_partkey % 20 as col, p_retailprice as value from part) select row, col, value from g union all select row, col + 20, value from g where col < 3 union all select row, col - 20, value from g where col >= 17""")
+def wrap_padding(spark, d) -> DataFrame:
+    """Parts as a ring of 20 columns with three more on either side."""
+    key = F.col("p_partkey")
+    cells = table(spark, d, "part").select(F.floor(key / 20).alias("row"), (key % 20).alias("col"), F.col("p_retailprice").alias("value"))
+    return interpolation.wrap_columns(cells, "col", 20, 3)
+
+
+@query("""with f as (select l_orderkey as source, l_partkey % 70 as number, l_suppkey % 3 as wire from lineitem), w as (select * from f join (select unnest([2, 3, 4, 5, 19, 22, 26, 27, 31, 53, 54, 56, 65]) as number, 2 as w union all
+ select unnest([15, 20, 24, 29, 40, 42, 43, 62]), 0 union all select unnest([25, 28]), 1) using (number)), g as (select source, number, count(*) as n, bool_or(wire <> w) as other from w group by all)
+select source, number, 'twice' as rule from g where n > 1 union all select source, number, 'wire type' from g where other""")
+def metadata_contract(spark, d) -> DataFrame:
+    """Line items as the metadata fields of their orders."""
+    fields = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 70).alias("number"), (F.col("l_suppkey") % 3).alias("wire"))
+    return gates.metadata_violations(fields)
