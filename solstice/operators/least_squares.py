@@ -82,8 +82,9 @@ def fit(parts: DataFrame, starts: DataFrame, residuals: Residuals, scale: list[f
                     row |= {"x": row["trial"], "sums": found, "damping": row["damping"] if first else max(row["damping"] / 9, 1e-12)}
                     row["settled"] = bool(not first and (moved < 1e-10 or gain <= 1e-14 * found[0]) or found[0] == 0)
                 else:
-                    row["damping"] *= 5
-                    row["settled"] = bool(row["damping"] > 1e9)  # no direction improves
+                    small = np.abs((np.asarray(row["trial"]) - np.asarray(row["x"])) / units).max() < 1e-9
+                    row["damping"] *= 8
+                    row["settled"] = bool(small or row["damping"] > 1e9)  # no direction improves
                 row["trial"] = next_step(row, units)
                 out.append(row)
             yield pd.DataFrame(out, columns=["source", "x", "low", "high", "trial", "sums", "damping", "settled"])
