@@ -168,12 +168,12 @@ def fingerprint_binding(spark, d) -> DataFrame:
 @query(f"""with {EVENTS}, n as (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by us, event_id) - 1 as frame from ev where event_type in ('click', 'error')), c as (
  select user_id, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'error') as errors from n group by user_id)
 select a.user_id, a.frame, a.value as first, b.value as second, 'paired' as status from n a join n b using (user_id, frame) join c using (user_id) where clicks = errors and a.event_type = 'click' and b.event_type = 'error'
-union all select user_id, null, null, null, case when clicks = 0 or errors = 0 then 'one track' else 'other length' end from c where clicks <> errors""")
+union all select user_id, -1, null, null, case when clicks = 0 or errors = 0 then 'one track' else 'other length' end from c where clicks <> errors""")
 def paired_lens_frames(spark, d) -> DataFrame:
-    """All clicks and errors of a user as the two tracks of a recording."""
+    """All clicks and errors of a user as the two tracks of a recording; frame -1 tells why a user has no pairs."""
     e = recurrence.numbered(events(spark, d).where(F.col("event_type").isin("click", "error")).withColumn("track", F.struct("user_id", "event_type")), "track", F.floor(F.col("us") / DAY), ["us", "event_id"])
     tracks = [e.where(F.col("event_type") == kind).select("user_id", F.col("k").alias("frame"), "value") for kind in ("click", "error")]
-    return gates.paired_or_why(*tracks, "user_id", "frame", "value")
+    return gates.paired_or_why(*tracks, "user_id", "frame", "value").withColumn("frame", F.coalesce("frame", F.lit(-1).cast("long")))
 
 
 @query("""select l_orderkey * 10 + l_linenumber as track from lineitem where sqrt((l_discount * 5) ** 2 + (l_tax * 5) ** 2) < 0.6::double and l_quantity * 2 >= 2 and l_quantity * 2 < 88 and l_partkey % 100 >= 2 and l_partkey % 100 < 88""")
