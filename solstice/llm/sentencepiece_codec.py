@@ -26,8 +26,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in slices of about so many code points; so many distinct words are remembered by a task.
 SLICE_CHARS, WORDS_KEPT = 1_000_000, 400_000
-#: Bytes of words and ids that a worker remembers at most, beyond those of one slice: words may be long, whole texts where pieces span words.
-BYTES_KEPT = 48 << 20
+#: Bytes of words and ids that a worker remembers at most, beyond those of one slice, and of an entry besides its content: words may be long, whole texts where pieces span words.
+BYTES_KEPT, ENTRY = 48 << 20, 160
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -155,7 +155,7 @@ class Codec:
         flat, at = np.array(list(chain.from_iterable(ids)), np.int32).tobytes(), 0
         for word, n in zip(new, map(len, ids), strict=True):
             self.known[word] = flat[at : at + 4 * n]
-            self.held += 4 * n + 2 * len(word)
+            self.held += 4 * n + 2 * len(word) + ENTRY
             at += 4 * n
         return [b"".join(map(self.known.__getitem__, x)) for x in words], [self.odd.isdisjoint(x) for x in words] if self.odd else [True] * len(words)
 

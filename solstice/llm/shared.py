@@ -93,9 +93,10 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sets the session's bound of bytes that Python gets in a batch, where it has none: rows may be long."""
+    """Bounds the bytes that Python gets in a batch in this session, for jobs that run later: rows may be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).removesuffix("b")) in (-1, (1 << 63) - 1, (1 << 31) - 1):
+    size = int(spark.conf.get(name).removesuffix("b"))
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

@@ -49,14 +49,14 @@ def test_media_of_texts_of_many_megabytes(spark):
 
 
 def test_word_cache_is_bounded_by_bytes(monkeypatch):
-    monkeypatch.setattr(sentencepiece_codec, "BYTES_KEPT", 3000)
+    monkeypatch.setattr(sentencepiece_codec, "BYTES_KEPT", 30_000)
     codec = sentencepiece_codec.Codec(unigram(False))
     rng = random.Random(3)
     fresh = sentencepiece_codec.Codec(unigram(False))
     for _ in range(60):
         text = "".join(rng.choice("abc ") for _ in range(400))
         assert codec.encode([text]) == fresh.encode([text])
-        assert codec.held <= 3000 + 6 * 2 * 400
+        assert codec.held <= 30_000 + (160 + 6) * 2 * 400
 
 
 def test_texts_longer_than_a_slice_come_back(spark):
