@@ -3,13 +3,14 @@
     register(spark)
     spark.read.format("solstice.recording").option("path", folder).option("stream", "raw_motion").load()
 
-Partitions are ranges of rows: a large file is cut by its length into as many parts as it needs, small files share one. Each task
-reads the file's trailer and index, then the bytes of its rows only, in chunks; nothing of a file is read while the read is planned.
+Partitions are ranges of rows: a large recording is cut by its length into as many parts as it needs, small ones share one, and parts share tasks where
+there are very many. Each task reads the file's trailer and index, then the bytes of its rows only, in chunks; nothing of a file is read while the read is planned.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import posixpath
 import re
 from collections.abc import Callable, Iterator
@@ -26,8 +27,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from . import trailer
 from .trailer import FormatError, Ranges, need
 
-#: Rows that are decoded at once, and bytes of a chunk that is hashed.
-CHUNK_ROWS, CHUNK_BYTES = 1 << 17, 8 << 20
+#: Rows that are decoded at once, bytes of a chunk that is hashed, and of a recording that is read at once where all of it is asked for.
+CHUNK_ROWS, CHUNK_BYTES, SMALL_BYTES = 1 << 17, 8 << 20, 1 << 20
+#: Tasks beyond which pieces share one, as long as it reads 128 MB at most, and rows of a batch that small recordings share.
+TASKS, TASK_BYTES, BATCH_ROWS = 512, 128 << 20, 10_000
 #: Fixed values of the format: the ranges of a gyroscope in degrees a second, and the fields that are read for a recording's clock and range.
 GYRO_RANGES = (250, 500, 1000, 2000, 4000)
 FIRST_FRAME, MOTION_RANGES = 24, 65
@@ -61,16 +64,16 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 
 
 class Part(InputPartition):
-    """Pieces of files: (source, length, which part of how many)."""
+    """Pieces of recordings: (source, length, first and last part (not included) of how many, file, where the recording starts in it)."""
 
-    def __init__(self, pieces: list[tuple[str, int, int, int]]):
+    def __init__(self, pieces: list[tuple[str, int, int, int, int, str, int]]):
         super().__init__(pieces)
         self.pieces = pieces
 
 
 class RecordingSource(DataSource):
-    """Options: path (a file or a folder, with all below), or manifest (a Parquet table of source and length); stream (a name of SCHEMAS);
-    split_bytes (of a file that a task reads at most, 128 MB); suffix (of the names that are read);
+    """Options: path (a file or a folder, with all below), or manifest (a Parquet table of source and length; with path and start, a recording is so many bytes of the file `path`, and source is its name only); stream (a name of SCHEMAS);
+    split_bytes (of a recording's part at most, 128 MB; beyond 512 parts, those of up to 128 MB share tasks); suffix (of the names that are read);
     streams: those that `faults` looks at, joined by commas, all by default;
     on_error: `fail` (the default) or `skip`, which leaves out recordings that break a rule: the stream `faults` names them and the first reason;
     ordered: `true` if clocks are known to increase, as the stream `faults` tells: filters on the clock then choose the range that is read.
@@ -89,12 +92,15 @@ class RecordingSource(DataSource):
         return RecordingReader(dict(self.options), schema)
 
 
-def listed(options: dict[str, str]) -> list[tuple[str, int]]:
-    """(source, length) of the files that are read; a source is a URI."""
+def listed(options: dict[str, str]) -> list[tuple[str, int, str, int]]:
+    """(source, length, file, start) of the recordings that are read, in the order of files; a file is a URI."""
     if "manifest" in options:
         system, path = fs.FileSystem.from_uri(options["manifest"])
-        rows = pq.read_table(path, filesystem=system, columns=["source", "length"])
-        return sorted(zip(rows["source"].to_pylist(), rows["length"].to_pylist(), strict=True))
+        rows = pq.read_table(path, filesystem=system)
+        source, length = rows["source"].to_pylist(), rows["length"].to_pylist()
+        within = "path" in rows.column_names
+        files = rows["path"].dictionary_encode().to_pylist() if within else source
+        return sorted(zip(source, length, files, rows["start"].to_pylist() if within else [0] * len(source), strict=True), key=lambda x: (x[2], x[3], x[0]))
     path, suffix = options["path"], options.get("suffix", "")
     scheme = re.match(r"[a-z0-9]+:(//[^/]*)?", path)
     system, place = fs.FileSystem.from_uri(path if scheme else f"file://{posixpath.abspath(path)}")
@@ -103,7 +109,7 @@ def listed(options: dict[str, str]) -> list[tuple[str, int]]:
     start = "file://" if not scheme or scheme[0].startswith("file:") else scheme[0].rstrip("/") + ("" if place.startswith("/") else "//" if "//" not in scheme[0] else "")
     if scheme and not scheme[0].startswith("file:") and scheme[1]:
         start = f"{scheme[0].split('//')[0]}//"
-    return sorted((f"{start}{x.path}", x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(suffix) and not posixpath.basename(x.path).startswith((".", "_")))
+    return sorted((f"{start}{x.path}", x.size, f"{start}{x.path}", 0) for x in found if x.type == fs.FileType.File and x.path.endswith(suffix) and not posixpath.basename(x.path).startswith((".", "_")))
 
 
 class RecordingReader(DataSourceReader):
@@ -138,40 +144,64 @@ class RecordingReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         most = int(self.options.get("split_bytes", 128 << 20))
         whole = self.stream in ("records", "metadata", "faults")
-        out, held, size = [], [], 0
-        for source, length in listed(self.options):
+        pieces, total = [], 0
+        for source, length, path, start in listed(self.options):
             if self.sources is not None and source not in self.sources:
                 continue
             parts = 1 if whole else max(1, -(-length // most))
-            if parts > 1:
-                out += [Part([(source, length, k, parts)]) for k in range(parts)]
-                continue
-            if held and size + length > most:
+            pieces += [(source, length, k, k + 1, parts, path, start) for k in range(parts)]
+            total += length
+        share = most
+        if sum(p[4] > 1 for p in pieces) + total // most > TASKS:
+            share = max(most, min(TASK_BYTES, -(-total // TASKS)))
+        out, held, size = [], [], 0
+        for p in pieces:
+            one = -(-p[1] // p[4])
+            if held and (size + one > share or share == most and (p[4] > 1 or held[-1][4] > 1)):
                 out.append(Part(held))
                 held, size = [], 0
-            held.append((source, length, 0, 1))
-            size += length
+            if held and held[-1][0] == p[0] and held[-1][3] == p[2]:  # parts that follow are read as one
+                held[-1] = (*held[-1][:3], p[3], *p[4:])
+            else:
+                held.append(p)
+            size += one
         return out + [Part(held)] * bool(held) or [Part([])]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        for source, length, k, parts in partition.pieces:
-            system, path = fs.FileSystem.from_uri(source)
-            with system.open_input_file(path) as file:
-                data = Ranges(file, length)
-                try:
-                    if self.stream == "faults":
-                        yield from self.faults(source, data)
-                    elif self.stream == "records":
-                        yield from self.records(source, data)
-                    elif self.stream == "metadata":
-                        yield from self.metadata(source, data)
-                    else:
-                        if self.skip:
-                            check(data, self.stream)
-                        yield from self.rows(source, data, k, parts)
-                except FormatError as broken:
-                    if not self.skip:
-                        raise FormatError(f"{source}: {broken}") from None
+        return shared(self.found(partition))
+
+    def found(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        file, opened = None, None
+        try:
+            for source, length, first, last, parts, path, start in partition.pieces:
+                if path != opened:
+                    if file is not None:
+                        file.close()
+                    system, place = fs.FileSystem.from_uri(path)
+                    file, opened = system.open_input_file(place), path
+                data = Ranges(file, length, start)
+                if length <= SMALL_BYTES and last - first == parts:
+                    data = Ranges(io.BytesIO(data[0:length]), length)
+                yield from self.pieces(source, data, first, last, parts)
+        finally:
+            if file is not None:
+                file.close()
+
+    def pieces(self, source: str, data: Ranges, first: int, last: int, parts: int) -> Iterator[pa.RecordBatch]:
+        try:
+            if self.stream == "faults":
+                yield from self.faults(source, data)
+            elif self.stream == "records":
+                yield from self.records(source, data)
+            elif self.stream == "metadata":
+                yield from self.metadata(source, data)
+            else:
+                if self.skip:
+                    check(data, self.stream)
+                yield from self.rows(source, data, first, last, parts)
+        except FormatError as broken:
+            if not self.skip:
+                raise FormatError(f"{source}: {broken}") from None
 
     def batch(self, source: str, found: dict[str, object], n: int) -> pa.RecordBatch:
         columns = [pa.array([source] * n if c == "source" else found[c], ARROW[self.kinds_of[c]]) for c in self.fields]
@@ -189,12 +219,12 @@ class RecordingReader(DataSourceReader):
             need(all(x[3] is None or x[3] < 1 << 63 for x in rows), "number above 63 bits")
             yield self.batch(source, dict(zip(("position", "number", "wire", "value", "payload"), zip(*rows, strict=True), strict=True)), len(rows))
 
-    def rows(self, source: str, data: Ranges, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, source: str, data: Ranges, part: int, end: int, parts: int) -> Iterator[pa.RecordBatch]:
         layout, found = placed(data, self.stream)
         if found is None:
             return
         start, n = found
-        first, last = n * part // parts, n * (part + 1) // parts
+        first, last = n * part // parts, n * end // parts
         if self.ordered and self.stream in LAYOUTS:
             first, last = within(data, layout, start, first, last, self.low, self.high)
         clock = Clock(data) if self.stream == "motion" else None
@@ -219,6 +249,19 @@ class RecordingReader(DataSourceReader):
             yield self.batch(source, {"reason": [reason]}, 1)
 
 
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, those of small batches together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BATCH_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def header_of(chunk: bytes) -> bytes:
     """A chunk of views behind the shortest header, as the decoder wants one."""
     return (4).to_bytes(4, "little") + chunk
