@@ -1,4 +1,4 @@
-"""Recordings of all events: a file per user, written by tasks to the shared folder and read back by ranges."""
+"""Recordings of all events: one per user, written by tasks into files of many in the shared folder and read back by ranges."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from ..functions import quaternion as Q
 from ..functions.numeric import angle_between, chord_angle
 from ..operators import gps, inspection
 from ..operators import series as S
+from ..operators.groups import starts, whole
 from ..sources import recording_source, synthetic, trailer
 from ..sources.scratch import scratch
 from ..streaming import tracks
@@ -55,26 +56,43 @@ def _recording(rows: pd.DataFrame) -> bytes:
     return synthetic.recording({trailer.METADATA: about, trailer.EXPOSURE: times.tobytes(), trailer.GPS: places.tobytes(), trailer.ATTITUDE: poses.tobytes(), trailer.RAW_MOTION: motion.tobytes()})
 
 
+#: Bytes from which a task begins another file of recordings.
+SHARD_BYTES = 128 << 20
 #: The manifest of a table's recordings, by application and folder of the table.
 _made: dict[tuple[str, str], str] = {}
 
 
 def _manifest(spark, d) -> str:
-    """Recordings of all events, written once an application: a file per user under the name of the attempt that wrote it, and a table of those that count."""
+    """Recordings of all events, written once an application: a recording per user, one behind the other in files under the name of the attempt that wrote them, and a table of those that count."""
     known = (spark.sparkContext.applicationId, d)
     if known in _made:
         return _made[known]
     folder = f"{scratch(spark)}-recordings"
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
+    def write(batches):
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        name, content = f"{int(rows.user_id.iloc[0])}-{uuid.uuid4().hex}.bin", _recording(rows.sort_values(["us", "event_id"]))
-        with system.open_output_stream(f"{path}/{name}") as file:
-            file.write(content)
-        return pd.DataFrame({"source": [f"{folder}/{name}"], "length": [len(content)]})
-
-    made = events(spark, d).select("user_id", "us", "event_id", "event_type", "value").groupBy("user_id").applyInPandas(write, "source string, length long")
+        name, file, at = "", None, 0
+        try:
+            for rows in whole(batches, ["user_id"]):
+                made, bounds = [], starts(rows, ["user_id"]).tolist()
+                for a, z in zip(bounds, [*bounds[1:], len(rows)], strict=True):
+                    if file is None or at >= SHARD_BYTES:
+                        if file is not None:
+                            file.close()
+                        name, at = f"{uuid.uuid4().hex}.bin", 0
+                        file = system.open_output_stream(f"{path}/{name}")
+                    content = _recording(rows.iloc[a:z])
+                    file.write(content)
+                    made.append((f"{folder}/{int(rows.user_id.iloc[a])}-{name}", len(content), f"{folder}/{name}", at))
+                    at += len(content)
+                yield pd.DataFrame(made, columns=["source", "length", "path", "start"])
+        finally:
+            if file is not None:
+                file.close()
+
+    rows = events(spark, d).select("user_id", "us", "event_id", "event_type", "value").repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+    made = rows.mapInPandas(write, "source string, length long, path string, start long")
     made.write.parquet(f"{folder}-manifest")
     _made[known] = f"{folder}-manifest"
     return _made[known]
