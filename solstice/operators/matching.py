@@ -16,12 +16,14 @@ from .quantiles import exact_quantiles
 def medoid(candidates: DataFrame, group: str, item: str, distance, within: float, minimum: int = 1) -> DataFrame:
     """Per group: the item of the least median distance to all (itself included), how many are within reach, and whether they are a strict majority.
 
-    Ties go to the first item by id. distance: of columns a.* and b.* of the joined pair.
-    Groups are small sets of candidate fits.
+    Ties go to the first item by id. distance: of columns a.* and b.* of the joined pair, but not of the item. Candidates that are alike in all columns but the item have the same distances:
+    they are one with a weight, so pairs are those of different candidates, however many there are of each.
     """
-    a, b = candidates.alias("a"), candidates.alias("b")
-    pairs = a.join(b, F.col(f"a.{group}") == F.col(f"b.{group}")).select(F.col(f"a.{group}").alias(group), F.col(f"a.{item}").alias(item), distance(F.col("a"), F.col("b")).alias("d"))
-    scores = pairs.groupBy(group, item).agg(F.percentile("d", F.lit(0.5)).alias("median_distance"), F.count_if(F.col("d") <= within).alias("consistent"), F.count("*").alias("n"))
+    alike = [c for c in candidates.columns if c not in (group, item)]
+    kinds = stored(candidates.groupBy(group, *alike).agg(F.min(item).alias(item), F.count("*").alias("_w")))
+    a, b = kinds.alias("a"), kinds.alias("b")
+    pairs = a.join(b, F.col(f"a.{group}") == F.col(f"b.{group}")).select(F.col(f"a.{group}").alias(group), F.col(f"a.{item}").alias(item), distance(F.col("a"), F.col("b")).alias("d"), F.col("b._w").alias("_w"))
+    scores = pairs.groupBy(group, item).agg(F.percentile("d", F.lit(0.5), F.col("_w")).alias("median_distance"), F.coalesce(F.sum(F.when(F.col("d") <= within, F.col("_w"))), F.lit(0)).alias("consistent"), F.sum("_w").alias("n"))
     first = F.row_number().over(W.partitionBy(group).orderBy("median_distance", item))
     best = scores.withColumn("_k", first).where("_k = 1").drop("_k")
     required = F.greatest(F.lit(minimum).cast("long"), F.when(F.col("n") > 1, F.floor(F.col("n") / 2) + 1).otherwise(1))

@@ -245,7 +245,7 @@ def overlap_consensus(spark, d) -> DataFrame:
     c = F.col
     f = table(spark, d, "part").select(c("p_brand").alias("fits"), c("p_partkey").alias("id"), (c("p_size") * 2).alias("inliers"), (c("p_partkey") % 120).alias("valid"), (c("p_retailprice") / 1000).alias("p95"))
     good = gates.overlap_consensus_input(f).withColumn("turn", F.radians(c("id") % 40 / 10))
-    out = matching.medoid(good, "fits", "id", lambda a, b: F.round(F.abs(F.degrees(F.col("a.turn") - F.col("b.turn"))), 6), 0.75, 2)
+    out = matching.medoid(good.select("fits", "id", "turn"), "fits", "id", lambda a, b: F.round(F.abs(F.degrees(F.col("a.turn") - F.col("b.turn"))), 6), 0.75, 2)
     return out.withColumn("median_distance", F.round("median_distance", 6))
 
 
