@@ -1,4 +1,4 @@
-"""Robust rotations by consensus, for groups of any size: trials are rows, and votes are partial sums over chunks of a group."""
+"""Robust rotations by consensus, for groups of any size: trials are fitted in the tasks that count their votes, and votes are partial sums over chunks of a group."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import stored
+from .groups import in_groups
 from .quantiles import exact_quantiles
 from .recurrence import numbered
 
@@ -46,10 +47,9 @@ def numbered_pairs(pairs: DataFrame, group: list[str], chunk: int = CHUNK) -> Da
     return stored(numbered(rows, "g", F.pmod(F.xxhash64(*both), F.lit(256)), both, chunk))
 
 
-def trial_rotations(rows: DataFrame, trials: int, seed: int) -> DataFrame:
-    """(g, trial, rotation): the fits of three different rows each, drawn by hashes of seed and trial, for groups of three rows or more."""
+def drawn_rotations(rows: DataFrame, picks: DataFrame, seed: int) -> DataFrame:
+    """(g, trial, rotation): the fits of three different rows each, drawn by hashes of seed and trial. picks: g, n, trial."""
     draw = lambda slot, below: F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.lit(slot)), below)
-    picks = rows.groupBy("g").agg(F.first("n").alias("n")).where("n >= 3").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     picks = picks.withColumns({"i": draw(0, F.col("n")), "j": draw(1, F.col("n") - 1), "l": draw(2, F.col("n") - 2)})
     picks = picks.withColumn("j", F.col("j") + (F.col("j") >= F.col("i")).cast("int"))
     picks = picks.withColumn("l", F.col("l") + (F.col("l") >= F.least("i", "j")).cast("int"))
@@ -59,25 +59,61 @@ def trial_rotations(rows: DataFrame, trials: int, seed: int) -> DataFrame:
     return sums.select("g", "trial", rotation_of(F.array(*[F.col(f"m{i}{j}") for i in range(3) for j in range(3)])).alias("rotation"))
 
 
-def votes(rows: DataFrame, models: DataFrame, limit: float) -> DataFrame:
-    """(g, trial, inliers): how many rows each trial's rotation takes within the limit (a cosine). A group's trials go to each of its chunks."""
-    lists = models.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("trial", "rotation"))).alias("m"))
-    places = rows.groupBy("g").agg(F.max("chunk").alias("last")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    sent = lists.join(places, "g").select(F.col("g").alias("g"), F.col("chunk").alias("chunk"), F.col("m.trial").alias("trial"), F.flatten("m.rotation").alias("rotation"))
-
-    def count(part: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(models):
-            return pd.DataFrame({"g": [], "trial": [], "inliers": []})
-        a, b = part[list(SOURCE)].to_numpy(float), part[list(TARGET)].to_numpy(float)
-        products = (b[:, :, None] * a[:, None, :]).reshape(-1, 9)
-        turns = np.asarray(models.rotation.iloc[0], float).reshape(-1, 9)
-        block = max(1, SCORES // len(a))
-        inside = np.concatenate([(turns[k : k + block] @ products.T >= limit).sum(axis=1) for k in range(0, len(turns), block)])
-        return pd.DataFrame({"g": [part.g.iloc[0]] * len(turns), "trial": models.trial.iloc[0], "inliers": inside})
-
-    kind = rows.schema["g"].dataType.simpleString()
-    key = rows.groupBy("g", "chunk").cogroup(sent.groupBy("g", "chunk"))
-    counted = key.applyInPandas(count, f"g {kind}, trial int, inliers long")
+def trial_rotations(rows: DataFrame, trials: int, seed: int) -> DataFrame:
+    """(g, trial, rotation): all trials as rows, for groups of three rows or more. votes() makes the same ones in its tasks."""
+    picks = rows.groupBy("g").agg(F.first("n").alias("n")).where("n >= 3").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    return drawn_rotations(rows, picks, seed)
+
+
+def draws(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The three rows of each trial in a group of n, from its three hashes, as drawn_rotations() draws them."""
+    i, j, k = hashes[:, 0] % n, hashes[:, 1] % (n - 1), hashes[:, 2] % (n - 2)
+    j = j + (j >= i)
+    k = k + (k >= np.minimum(i, j))
+    return np.stack([i, j, k + (k >= np.maximum(i, j))], axis=1)
+
+
+def votes(rows: DataFrame, trials: int, seed: int, limit: float, chunk: int = CHUNK) -> DataFrame:
+    """(g, trial, inliers): how many rows each trial's rotation takes within the limit (a cosine), of groups of three rows or more; of groups in one chunk, the first trial with the most.
+
+    Trials are fitted where they vote: a task has a chunk, and of a group with more chunks all rows that its trials draw as well. The driver holds three hashes a trial.
+    """
+    hashed = rows.sparkSession.range(trials).select(*[F.xxhash64(F.lit(seed), F.col("id").cast("int"), F.lit(slot)) for slot in range(3)])
+    hashes = np.array([tuple(r) for r in hashed.collect()], np.int64).reshape(-1, 3)  # trials in order: range() keeps it
+    both = [*SOURCE, *TARGET]
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("g", "chunk", "k", "n", *both).schema)
+
+    def sampled(batches):
+        for part in batches:
+            keep = np.zeros(len(part), bool)
+            for n in part.n.unique():
+                mine = part.n.to_numpy() == n
+                keep[mine] = np.isin(part.k.to_numpy()[mine], draws(hashes, int(n)))
+            yield part[keep]
+
+    large = rows.where((F.col("n") >= 2 * chunk) & (F.col("n") >= 3)).select("g", "chunk", "k", "n", *both)
+    places = large.select("g", "chunk").distinct()
+    sent = large.mapInPandas(sampled, columns).drop("chunk").hint("merge").join(places, "g")
+    dealt = rows.where("n >= 3").select("g", "chunk", "k", "n", *both, F.lit(1).alias("kind")).unionByName(sent.withColumn("kind", F.lit(0)))
+
+    def count(part: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        v, k, n, kind, g = part[both].to_numpy(float), part.k.to_numpy(), part.n.to_numpy(), part.kind.to_numpy(), part.g
+        found = []
+        for start, end in bounds:
+            first = start + int((kind[start:end] == 0).sum())  # the chunk's own rows come behind those that are drawn
+            known = slice(start, first) if first > start else slice(start, end)
+            three = v[known][np.searchsorted(k[known], draws(hashes, int(n[start])))]
+            turns = rotations(np.einsum("tri,trj->tij", three[:, :, :3], three[:, :, 3:])).reshape(-1, 9)
+            own = v[first:end]
+            products = (own[:, 3:, None] * own[:, None, :3]).reshape(-1, 9)
+            block = max(1, SCORES // len(own))
+            inside = np.concatenate([(turns[a : a + block] @ products.T >= limit).sum(axis=1) for a in range(0, len(turns), block)])
+            told = [int(inside.argmax())] if len(own) == n[start] else range(len(inside))
+            found.append(pd.DataFrame({"g": [g.iloc[start]] * len(told), "trial": told, "inliers": inside[told]}))
+        return pd.concat(found)
+
+    group = rows.schema["g"].dataType.simpleString()
+    counted = in_groups(dealt, ["g", "chunk"], ["kind", "k"], count, f"g {group}, trial int, inliers long")
     return counted.groupBy("g", "trial").agg(F.sum("inliers").alias("inliers"))
 
 
@@ -99,9 +135,10 @@ def robust_rotations(pairs: DataFrame, group: str | list[str], degrees: float =
     sizes = rows.groupBy("g").agg(F.count("*").alias("pairs"), sound.alias("sound"))
     fit = sizes.where(F.col("sound") & (F.col("pairs") >= max(3, least))).select("g")
     usable = rows.join(fit, "g", "left_semi")
-    counts = votes(usable, trial_rotations(usable, trials, seed), limit)
+    counts = votes(usable, trials, seed, limit, chunk)
     best = counts.groupBy("g").agg(F.max(F.struct("inliers", (-F.col("trial")).alias("t"))).alias("x")).select("g", (-F.col("x.t")).alias("trial"), F.col("x.inliers").alias("inliers"))
-    first = stored(best.join(trial_rotations(usable, trials, seed), ["g", "trial"]))
+    best = stored(best.join(sizes.select("g", F.col("pairs").alias("n")), "g"))
+    first = stored(best.join(drawn_rotations(usable, best, seed), ["g", "trial"]))
     inner = usable.join(first.select("g", "rotation"), "g").where(_cosine(F.col("rotation")) >= limit)
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"m{i}{j}") for i, a in enumerate(SOURCE) for j, b in enumerate(TARGET)] + [F.sum(F.col(SOURCE[i]) * F.col(SOURCE[j])).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)]
     again = inner.groupBy("g").agg(F.count("*").alias("inliers"), *sums)

@@ -82,3 +82,26 @@ def test_a_large_group_is_many_chunks_and_nothing_gives_nothing(spark, pairs):
     assert sorted(r["count"] for r in rows.groupBy("chunk").count().collect()) == [100] * 9
     assert consensus.robust_rotations(pairs.where("false"), "g").count() == 0
     assert rows.agg(F.count_distinct("k")).first()[0] == 900
+
+
+@pytest.mark.parametrize("chunk", [16, 1 << 14])
+def test_votes_fit_the_same_trials_in_their_tasks(spark, pairs, groups, chunk, monkeypatch):
+    rows = consensus.numbered_pairs(pairs.where("g <> 'odd'"), ["g"], chunk)
+    trials = {}
+    for r in consensus.trial_rotations(rows, 40, 3).collect():
+        a, b = groups[r.g.g]
+        inside = ((a @ np.array(r.rotation).reshape(3, 3).T) * b).sum(axis=1) >= np.cos(0.02)
+        trials[r.g.g, r.trial] = int(inside.sum())
+    got = {(r.g.g, r.trial): r.inliers for r in consensus.votes(rows, 40, 3, float(np.cos(0.02)), chunk).collect()}
+    assert {g for g, _ in got} == {"large", "half", "few", "wild", "alike"}
+    # fits of rows that are all alike turn about an open axis
+    assert all(trials[x] == n for x, n in got.items() if x[0] != "alike")
+    for g, (a, _) in groups.items():
+        mine = {k: n for (x, k), n in got.items() if x == g}
+        if g != "odd" and len(a) < 2 * chunk:
+            assert list(mine) == [min(range(40), key=lambda k: (-trials[g, k], k))] or g == "alike"
+        elif g != "odd":
+            assert len(mine) == 40
+    # a query of all groups makes no row of each trial
+    monkeypatch.setattr(consensus, "trial_rotations", None)
+    assert consensus.robust_rotations(pairs, ["g"], 1.0, 40, 3, chunk=chunk).count() == len(groups)
