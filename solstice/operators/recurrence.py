@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .groups import in_groups
+
 #: Rows of a chunk (the last one of a source has up to twice as many), and of a block within it.
 CHUNK, BLOCK = 1 << 16, 128
 
@@ -96,45 +99,64 @@ STATE = [f"s{k}" for k in range(9)]
 
 
 def _directed(rows: DataFrame, source_kind: str, cutoff: float, edge: int, forward: bool) -> DataFrame:
-    """One direction of the filter. rows: source, chunk, k, n, rate, t and the values; forward also makes the `edge` rows behind the end, which backward starts from."""
-
-    def sequence(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
-        """The sorted rows, the input with the rows that go on before them, and how many those are."""
-        part = part.sort_values("k", ascending=forward)
-        x = part[VALUES].to_numpy(float)
-        before = 2 * x[0] - x[edge:0:-1] if forward and part.chunk.iloc[0] == 0 else x[:0]
-        behind = 2 * x[-1] - x[-2 : -edge - 2 : -1] if forward and part.k.iloc[-1] == part.n.iloc[-1] - 1 else x[:0]
-        return part, np.concatenate([before, x, behind]), len(before)
-
-    def summary(part: pd.DataFrame) -> pd.DataFrame:
-        part, x, _ = sequence(part)
-        end = _filter(cutoff, float(part.rate.iloc[0])).over(x, np.zeros((3, 3)))[1]
-        row = (part.source.iloc[0], part.chunk.iloc[0], len(x), part.rate.iloc[0], *x[0], *end.ravel())
-        return pd.DataFrame([row], columns=["source", "chunk", "rows", "rate", *VALUES, *STATE])
-
-    def scan(parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("chunk", ascending=forward)
-        low = _filter(cutoff, float(parts.rate.iloc[0]))
-        state, states = low.settled[:, None] * parts[VALUES].to_numpy(float)[0], []
-        for n, end in zip(parts["rows"], parts[STATE].to_numpy(float).reshape(-1, 3, 3), strict=True):
-            states.append(state.ravel())
-            state = low.after(int(n)) @ state + end
-        return pd.DataFrame(np.array(states), columns=STATE).assign(source=parts.source.to_numpy(), chunk=parts.chunk.to_numpy())[["source", "chunk", *STATE]]
-
-    def apply(part: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        part, x, skip = sequence(part)
-        y = _filter(cutoff, float(part.rate.iloc[0])).over(x, carry[STATE].to_numpy(float).reshape(3, 3))[0][skip:]
-        more = len(y) - len(part)
-        out = part[["source", "chunk", "k", "n", "rate", "t"]]
-        if more:
-            out = pd.concat([out, out.tail(1).loc[out.tail(1).index.repeat(more)].assign(k=part.n.iloc[0] + np.arange(more), t=np.nan)])
-        return out.assign(**{c: y[:, i] for i, c in enumerate(VALUES)})
+    """One direction of the filter. rows: source, chunk, k, n, rate, t and the values, a table that is read twice; forward also makes the `edge` rows behind the end, which backward starts from."""
+    order = F.col("k") if forward else F.col("k").desc()
+
+    def sequence(x: np.ndarray, chunk: int, last: bool) -> tuple[np.ndarray, int]:
+        """A chunk's input with the rows that go on before and behind it, and how many those before are."""
+        before = 2 * x[0] - x[edge:0:-1] if forward and chunk == 0 else x[:0]
+        behind = 2 * x[-1] - x[-2 : -edge - 2 : -1] if forward and last else x[:0]
+        return np.concatenate([before, x, behind]), len(before)
+
+    def arrays(part: pd.DataFrame):
+        return part[VALUES].to_numpy(float), part.chunk.to_numpy(), part.k.to_numpy(), part.n.to_numpy(), part.rate.to_numpy(float)
+
+    def summary(part: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        v, chunk, k, n, rate = arrays(part)
+        numbers = np.empty((len(bounds), 4 + len(STATE)))
+        lengths = np.empty(len(bounds), int)
+        for i, (a, z) in enumerate(bounds):
+            x = sequence(v[a:z], chunk[a], k[z - 1] == n[z - 1] - 1)[0]
+            lengths[i] = len(x)
+            numbers[i] = rate[a], *x[0], *_filter(cutoff, rate[a]).over(x, np.zeros((3, 3)))[1].ravel()
+        out = pd.DataFrame(numbers, columns=["rate", *VALUES, *STATE])
+        first = [a for a, _ in bounds]
+        return out.assign(source=part.source.iloc[first].to_numpy(), chunk=chunk[first], rows=lengths)[["source", "chunk", "rows", "rate", *VALUES, *STATE]]
+
+    def scan(parts: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        v, ends, lengths, rate = parts[VALUES].to_numpy(float), parts[STATE].to_numpy(float).reshape(-1, 3, 3), parts["rows"].to_numpy(), parts.rate.to_numpy(float)
+        states = np.empty((len(parts), 9))
+        for a, z in bounds:
+            low = _filter(cutoff, rate[a])
+            state = low.settled[:, None] * v[a]
+            for i in range(a, z):
+                states[i] = state.ravel()
+                if i + 1 < z:
+                    state = low.after(int(lengths[i])) @ state + ends[i]
+        return parts[["source", "chunk"]].assign(carry=list(states))
+
+    def apply(part: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        v, chunk, k, n, rate = arrays(part)
+        taken, made, number = [], [], []
+        for a, z in bounds:
+            first = a + 1  # the state before the chunk comes first
+            x, skip = sequence(v[first:z], chunk[a], k[z - 1] == n[z - 1] - 1)
+            y = _filter(cutoff, rate[first]).over(x, np.asarray(part.carry.iloc[a], float).reshape(3, 3))[0][skip:]
+            more = len(y) - (z - first)
+            taken += [np.arange(first, z), np.full(more, z - 1)]
+            number += [k[first:z], n[z - 1] + np.arange(more)]
+            made.append(y)
+        taken, number, made = np.concatenate(taken), np.concatenate(number), np.concatenate(made)
+        t = np.where(number == k[taken], part.t.to_numpy(float)[taken], np.nan)
+        out = part[["source", "chunk", "n", "rate"]].iloc[taken].assign(k=number, t=t, **{c: made[:, i] for i, c in enumerate(VALUES)})
+        return out[["source", "chunk", "k", "n", "rate", "t", *VALUES]]
 
     state = ", ".join(f"{c} double" for c in STATE)
-    ends = rows.groupBy("source", "chunk").applyInPandas(summary, f"source {source_kind}, chunk long, rows long, rate double, x double, y double, z double, {state}")
-    carries = ends.groupBy("source").applyInPandas(scan, f"source {source_kind}, chunk long, {state}")
-    met = rows.groupBy("source", "chunk").cogroup(carries.groupBy("source", "chunk"))
-    return met.applyInPandas(apply, f"source {source_kind}, chunk long, k long, n long, rate double, t double, x double, y double, z double")
+    ends = in_groups(rows, ["source", "chunk"], [order], summary, f"source {source_kind}, chunk long, rows long, rate double, x double, y double, z double, {state}")
+    carries = in_groups(ends, ["source"], [F.col("chunk") if forward else F.col("chunk").desc()], scan, f"source {source_kind}, chunk long, carry array<double>")
+    lead = carries.select("source", "chunk", *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("k", "n", "rate", "t", *VALUES)], "carry", F.lit(0).alias("kind"))
+    met = rows.select("source", "chunk", "k", "n", "rate", "t", *VALUES, F.lit(None).cast("array<double>").alias("carry"), F.lit(1).alias("kind")).unionByName(lead)
+    return in_groups(met, ["source", "chunk"], ["kind", order], apply, f"source {source_kind}, chunk long, k long, n long, rate double, t double, x double, y double, z double")
 
 
 def zero_phase_lowpass(samples: DataFrame, cutoff: float = 2.0, bucket: float = 60.0, chunk: int = CHUNK, edge: int = 12) -> DataFrame:
@@ -145,16 +167,16 @@ def zero_phase_lowpass(samples: DataFrame, cutoff: float = 2.0, bucket: float =
     A source of any length is as many tasks as it has chunks. Rows of equal times go by their values.
     """
     kind = samples.schema["source"].dataType.simpleString()
-    rows = numbered(samples.select("source", "t", *VALUES), "source", F.floor(F.col("t") / bucket), ["t", *VALUES], chunk)
+    rows = stored(numbered(samples.select("source", "t", *VALUES), "source", F.floor(F.col("t") / bucket), ["t", *VALUES], chunk))
     # A chunk's first row is also the next one of the chunk before, so each step is seen in one chunk.
     seen = rows.select("source", "k", "t", F.explode(F.when((F.col("k") > 0) & (F.floor((F.col("k") - 1) / chunk) < F.floor(F.col("k") / chunk)), F.array(F.floor(F.col("k") / chunk), F.floor(F.col("k") / chunk) - 1)).otherwise(F.array(F.floor(F.col("k") / chunk)))).alias("c"))
     step = F.round((F.col("t") - F.lag("t").over(W.partitionBy("source", "c").orderBy("k"))) * 1_000_000).cast("long")
     rates = seen.withColumn("step", step).groupBy("source").agg((1e6 / F.nullif(F.greatest(F.percentile("step", F.lit(0.5)), F.lit(0.0)), F.lit(0.0))).alias("rate"))
     rows = rows.join(rates.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     status = F.when(F.col("n") <= edge, "short").when(F.col("rate").isNull() | (F.col("rate") <= 2 * cutoff), "rate").otherwise("ok")
-    rows = rows.withColumn("status", status)
+    rows = stored(rows.withColumn("status", status))
     good = rows.where("status = 'ok'").select("source", "chunk", "k", "n", "rate", "t", *VALUES)
-    there = _directed(good, kind, cutoff, edge, True)
+    there = stored(_directed(good, kind, cutoff, edge, True))
     back = _directed(there, kind, cutoff, edge, False).where(F.col("k") < F.col("n")).select("source", "t", *VALUES, F.lit("ok").alias("status"))
     none = [F.lit(None).cast("double").alias(c) for c in VALUES]
     return back.unionByName(rows.where("status <> 'ok'").select("source", "t", *none, "status"))
@@ -168,58 +190,62 @@ def fading_state(df: DataFrame, source: str, bucket: Column, order: list[str], v
     """
     ok = F.coalesce(supported, F.lit(False)) & value.isNotNull()
     rows = df.withColumns({"_ok": ok, "_v": F.coalesce(value.cast("double"), F.lit(0.0))})
-    rows = numbered(rows, source, bucket, order, chunk).select(F.col(source).alias("source"), *keep, "k", "chunk", "_ok", "_v")
+    rows = stored(numbered(rows, source, bucket, order, chunk).select(F.col(source).alias("source"), *keep, "k", "chunk", "_ok", "_v"))
     kind = rows.schema["source"].dataType.simpleString()
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
-    def maps(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """a and b of rows 0 to k together, and whether one of them was supported; a source's first supported row starts anew, wherever it lies."""
-        good, v = part._ok.to_numpy(bool), part._v.to_numpy(float)
+    def maps(good: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a and b of rows 0 to k together; a source's first supported row starts anew, wherever it lies."""
         a, b = np.where(good, 1 - gain, decay), np.where(good, gain * v, 0.0)
         reach = 1
         while reach < len(a):
             a[reach:], b[reach:] = a[reach:] * a[:-reach], a[reach:] * b[:-reach] + b[reach:]
             reach *= 2
-        return a, b, np.logical_or.accumulate(good)
+        return a, b
 
-    def begun(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """States and whether there is one, if the chunk's first supported value is the source's."""
-        good = part._ok.to_numpy(bool)
+    def begun(good: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """States, if the chunk's first supported value is the source's; NaN before it."""
         first = int(good.argmax()) if good.any() else len(good)
         state = np.full(len(good), np.nan)
         if first < len(good):
-            a, b, _ = maps(part.iloc[first + 1 :]) if first + 1 < len(good) else (np.zeros(0), np.zeros(0), None)
-            state[first] = part._v.iloc[first]
+            a, b = maps(good[first + 1 :], v[first + 1 :])
+            state[first] = v[first]
             state[first + 1 :] = a * state[first] + b
-        return state, good
-
-    def summary(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        a, b, some = maps(part)
-        state = begun(part)[0][-1]
-        return pd.DataFrame([(part.source.iloc[0], part.chunk.iloc[0], a[-1], b[-1], bool(some[-1]), state)], columns=["source", "chunk", "a", "b", "some", "fresh"])
-
-    def scan(parts: pd.DataFrame) -> pd.DataFrame:
-        parts, state, states = parts.sort_values("chunk"), np.nan, []
-        for a, b, some, fresh in zip(parts.a, parts.b, parts.some, parts.fresh, strict=True):
-            states.append(state)
-            if not np.isnan(state):
-                state = a * state + b
-            elif some:
-                state = fresh
-        return parts[["source", "chunk"]].assign(state=states)
-
-    def apply(part: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        part, before = part.sort_values("k"), carry.state.iloc[0]
-        if pd.isna(before):
-            state = begun(part)[0]
-        else:
-            a, b, _ = maps(part)
-            state = a * before + b
-        return part[["source", *keep]].assign(state=state)
-
-    ends = rows.groupBy("source", "chunk").applyInPandas(summary, f"source {kind}, chunk long, a double, b double, some boolean, fresh double")
-    carries = ends.groupBy("source").applyInPandas(scan, f"source {kind}, chunk long, state double")
-    met = rows.groupBy("source", "chunk").cogroup(carries.groupBy("source", "chunk"))
-    out = met.applyInPandas(apply, f"source {kind}, {kinds}, state double")
+        return state
+
+    def summary(part: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        ok, v, out = part._ok.to_numpy(bool), part._v.to_numpy(float), []
+        for first, z in bounds:
+            a, b = maps(ok[first:z], v[first:z])
+            out.append((a[-1], b[-1], bool(ok[first:z].any()), begun(ok[first:z], v[first:z])[-1]))
+        return pd.concat([part[["source", "chunk", *keep]].iloc[[x for x, _ in bounds]].reset_index(drop=True), pd.DataFrame(out, columns=["a", "b", "some", "fresh"])], axis=1)
+
+    def scan(parts: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        a, b, some, fresh = (parts[c].to_numpy() for c in ("a", "b", "some", "fresh"))
+        states = np.full(len(parts), np.nan)
+        for first, z in bounds:
+            for i in range(first + 1, z):
+                if not np.isnan(states[i - 1]):
+                    states[i] = a[i - 1] * states[i - 1] + b[i - 1]
+                elif some[i - 1]:
+                    states[i] = fresh[i - 1]
+        return parts[["source", "chunk", *keep]].assign(before=states)
+
+    def apply(part: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        ok, v, before, state = part._ok.to_numpy(bool), part._v.to_numpy(float), part.before.to_numpy(float), np.empty(len(part))
+        lead = np.zeros(len(part), bool)
+        for first, z in bounds:
+            lead[first] = True  # the state before the chunk comes first
+            if np.isnan(before[first]):
+                state[first + 1 : z] = begun(ok[first + 1 : z], v[first + 1 : z])
+            else:
+                a, b = maps(ok[first + 1 : z], v[first + 1 : z])
+                state[first + 1 : z] = a * before[first] + b
+        return part[["source", *keep]].assign(state=state)[~lead]
+
+    ends = in_groups(rows, ["source", "chunk"], ["k"], summary, f"source {kind}, chunk long, {kinds}, a double, b double, some boolean, fresh double")
+    carries = in_groups(ends, ["source"], ["chunk"], scan, f"source {kind}, chunk long, {kinds}, before double")
+    lead = carries.select("source", "chunk", "before", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("k"), F.lit(False).alias("_ok"), F.lit(0.0).alias("_v"), *keep)  # with the ids of a row, as nulls would make them inexact
+    met = rows.withColumns({"before": F.lit(None).cast("double"), "kind": F.lit(1)}).unionByName(lead)
+    out = in_groups(met, ["source", "chunk"], ["kind", "k"], apply, f"source {kind}, {kinds}, state double")
     return out.withColumn("state", F.when(~F.isnan("state"), F.col("state")))

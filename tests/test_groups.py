@@ -51,3 +51,18 @@ def test_a_recording_in_a_file_of_many_is_read_by_parts(spark, tmp_path):
     for split in (128 << 20, 100):
         got = rs.scan(spark, "exposure", manifest=f"file://{tmp_path}/manifest", split_bytes=split, ordered="true").where(F.col("us") >= 100)
         assert sorted((r.source, r["sample"], r.us) for r in got.collect()) == [(f"r{k}", i, 10 * i + k) for k in range(3) for i in range(10, 50)]
+
+
+def test_filters_of_small_sources_share_calls(spark):
+    from solstice.operators import recurrence
+
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"source": np.repeat(np.arange(300), 25), "t": np.tile(np.arange(25) / 10, 300), "x": rng.normal(size=7500), "y": rng.normal(size=7500), "z": 1.0})
+    df = spark.createDataFrame(rows)
+    for out in (recurrence.zero_phase_lowpass(df, 0.5), recurrence.fading_state(df, "source", F.floor("t"), ["t"], F.col("x"), F.col("y") > 0, 0.3, 0.6, ["t"])):
+        plan = out._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "FlatMapCoGroupsInPandas" not in plan and "MapInPandas" in plan
+        assert out.count() == 7500
+    one = recurrence.zero_phase_lowpass(df.where("source = 7"), 0.5).orderBy("t").toPandas()
+    some = recurrence.zero_phase_lowpass(df, 0.5).where("source = 7").orderBy("t").toPandas()
+    assert np.abs(one[["x", "y", "z"]].to_numpy() - some[["x", "y", "z"]].to_numpy()).max() < 1e-12
