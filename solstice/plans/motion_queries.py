@@ -28,6 +28,7 @@ def query(sql: str | None = None):
 def _motion(spark, d) -> tuple[DataFrame, DataFrame]:
     """Rates and anchors: the line number is the source, an order is a millisecond, and the orders of each 64 ms are anchors that turn about z."""
     rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("source"), F.col("l_orderkey").alias("k")).agg(F.avg("l_quantity").alias("a"), F.avg("l_discount").alias("b"), F.avg("l_tax").alias("c"))
+    rows = calibration.stored(rows)
     t = (F.col("k") / 1000.0).alias("t")
     rates = rows.select("source", t, ((F.col("a") - 25) / 25).alias("wx"), ((F.col("b") - 0.05) * 20).alias("wy"), ((F.col("c") - 0.04) * 20).alias("wz"))
     zero = F.lit(0.0)

@@ -66,3 +66,23 @@ def test_filters_of_small_sources_share_calls(spark):
     one = recurrence.zero_phase_lowpass(df.where("source = 7"), 0.5).orderBy("t").toPandas()
     some = recurrence.zero_phase_lowpass(df, 0.5).where("source = 7").orderBy("t").toPandas()
     assert np.abs(one[["x", "y", "z"]].to_numpy() - some[["x", "y", "z"]].to_numpy()).max() < 1e-12
+
+
+def test_orientation_works_out_its_samples_once_and_frames_share_calls(spark):
+    from solstice.operators import motion
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    rates = spark.range(2000).select(F.lit(1).alias("source"), (F.col("id") / 1000).alias("t"), told(F.lit(0.1)).alias("wx"), F.lit(0.0).alias("wy"), F.lit(0.0).alias("wz"))
+    anchors = spark.range(0, 2000, 100).select(F.lit(1).alias("source"), (F.col("id") / 1000).alias("t"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"), F.lit(1.0).alias("qw"))
+    frames = spark.range(60).select(F.lit(1).alias("source"), "id", (F.col("id") / 40 + 0.2).alias("centre"), F.lit(0.02).alias("readout"))
+    out = motion.row_poses(frames, rates, anchors)
+    got = out.collect()
+    assert len(got) == 60 * motion.ROW_SAMPLES and {r.status for r in got} == {"ok"}
+    assert seen.value <= 2 * 2000
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
