@@ -86,3 +86,18 @@ def test_orientation_works_out_its_samples_once_and_frames_share_calls(spark):
     assert len(got) == 60 * motion.ROW_SAMPLES and {r.status for r in got} == {"ok"}
     assert seen.value <= 2 * 2000
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_piece_works_out_the_turns_between_its_poses_once(monkeypatch):
+    from solstice.operators import calibration
+
+    rng = np.random.default_rng(0)
+    t, q, at = np.sort(rng.random(50)), rng.normal(size=(50, 4)), rng.uniform(-0.2, 1.2, 400)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    want = calibration.slerp(t, q, np.clip(at, t[0], t[-1]))
+    calls, log = [], calibration.log_rotation
+    monkeypatch.setattr(calibration, "log_rotation", lambda x: calls.append(len(x)) or log(x))
+    part = {"pose_t": t, **{f"pose_q{c}": q[:, k] for k, c in enumerate("xyzw")}}
+    for _ in range(3):
+        assert np.abs(calibration.posed(part, at) - want).max() < 1e-12
+    assert calls == [49]
