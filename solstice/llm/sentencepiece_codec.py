@@ -131,6 +131,11 @@ class Codec:
         self.held = 0
         self.library = None
         self.odd: set[str] = set()
+        # What the decoder makes of a piece, in text and in bytes. A piece named like a byte is one to it; its text here is one that no text holds.
+        byte = [re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) for p, _, _ in m.pieces]
+        self.spelled = ["\ud800" if b else p for b, (p, _, _) in zip(byte, m.pieces, strict=True)]
+        self.spelled_bytes = [bytes([int(p[3:5], 16)]) if b else p.encode() for b, (p, _, _) in zip(byte, m.pieces, strict=True)]
+        self.unlike: set[str] = set()
 
     def normalize(self, text: str) -> str:
         """The text as the model sees it: its character map, then white space as marks."""
@@ -142,22 +147,30 @@ class Codec:
             return text
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """The ids of each text, as 32-bit integers, and whether they are the library's. Words not met before go to the library together, which uses its threads."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """The ids of each text, as 32-bit integers, whether they are the library's, and whether the pieces of each of its words spell it.
+
+        Words not met before go to the library together, which uses its threads.
+        """
         words = [self.words.findall(self.normalize(x)) for x in texts]
+        here = set(chain.from_iterable(words))
         if len(self.known) > WORDS_KEPT or self.held > BYTES_KEPT:
-            self.known.clear()
-            self.odd.clear()
-            self.held = 0
-        new = list(set(chain.from_iterable(words)) - self.known.keys())
+            # What these texts hold is likely to come again.
+            self.known = {x: self.known[x] for x in self.known.keys() & here}
+            self.odd &= here
+            self.unlike &= here
+            self.held = sum(len(v) + 2 * len(k) + ENTRY for k, v in self.known.items())
+        new = list(here - self.known.keys())
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         self.verify(new, ids)
+        self.spell(new, ids)
         flat, at = np.array(list(chain.from_iterable(ids)), np.int32).tobytes(), 0
         for word, n in zip(new, map(len, ids), strict=True):
             self.known[word] = flat[at : at + 4 * n]
             self.held += 4 * n + 2 * len(word) + ENTRY
             at += 4 * n
-        return [b"".join(map(self.known.__getitem__, x)) for x in words], [self.odd.isdisjoint(x) for x in words] if self.odd else [True] * len(words)
+        right, spelled = ([s.isdisjoint(x) for x in words] if s else [True] * len(words) for s in (self.odd, self.unlike))
+        return [b"".join(map(self.known.__getitem__, x)) for x in words], right, spelled
 
     def verify(self, words: list[str], found: list[list[int]]) -> None:
         """Notes the words whose ids differ from what the model file's own library gives for them.
@@ -173,6 +186,15 @@ class Codec:
         if right != found:
             self.odd.update(word for word, a, b in zip(words, right, found, strict=True) if a != b)
 
+    def spell(self, words: list[str], found: list[list[int]]) -> None:
+        """Notes the words that their pieces, one behind the other, don't spell.
+
+        A text of other words is decoded right: bytes of a word make whole characters, so no words are decoded otherwise together than alone.
+        """
+        piece, part = self.spelled.__getitem__, self.spelled_bytes.__getitem__
+        left = [(w, x) for w, x in zip(words, found, strict=True) if "".join(map(piece, x)) != w]
+        self.unlike.update(w for w, x in left if b"".join(map(part, x)) != w.encode())
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
 
@@ -221,7 +243,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
 
     ids are what the model file's own library gives for the whole text, without
     begin or end marks. round_trip says that decoding them gives the normalised text
-    again; parity, that each of its words has the ids that the library gives for it. Null and empty texts have no ids, and both are true. Rows are
+    again: its words' pieces spell it, or the tokenizers backend decodes the whole text and the result is compared; parity, that each of its words has the ids that the library gives for it. Null and empty texts have no ids, and both are true. Rows are
     independent: repeated rows are each encoded. Columns of df named ids, n_tokens,
     round_trip or parity are replaced; all others stay. No rows give no rows. The model
     file is read by the driver and sent to the tasks; it is of a fixed size.
@@ -232,11 +254,12 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH,
     def run(column):
         c = codec(data, threads)
         texts = [x or "" for x in column.to_pylist()]
-        found, right = c.encode(texts)
+        found, right, same = c.encode(texts)
         flat = np.frombuffer(b"".join(found), np.int32)
         ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-        back = c.decode([np.frombuffer(x, np.int32).tolist() for x in found])
-        same = [x == c.normalize(y)[c.model.dummy_prefix :].replace(MARK, " ") for x, y in zip(back, texts, strict=True)]
+        doubt = [i for i, x in enumerate(same) if not x]
+        for i, back in zip(doubt, c.decode([np.frombuffer(found[i], np.int32).tolist() for i in doubt]) if doubt else (), strict=True):
+            same[i] = back == c.normalize(texts[i])[c.model.dummy_prefix :].replace(MARK, " ")
         return {
             "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
             "n_tokens": pa.array(np.diff(ends), pa.int64()),

@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -79,6 +80,21 @@ def test_unigram_models_are_rebuilt(squeeze):
         assert codec.decode([ids])[0] == library.decode(ids)
 
 
+def test_only_texts_that_their_pieces_do_not_spell_are_decoded_whole(tmp_path, monkeypatch):
+    decode, runs, whole = sentencepiece_codec.Codec.decode, [], []
+    monkeypatch.setattr(sentencepiece_codec.Codec, "decode", lambda self, ids: whole.extend(ids) or decode(self, ids))
+    monkeypatch.setattr(sentencepiece_codec, "_batches", lambda df, column, run, kind, extra: runs.append(run))
+    (tmp_path / "unigram").write_bytes(unigram(False))
+    sentencepiece_codec.encode(None, model_path=str(tmp_path / "unigram"))
+    texts = ["ab a", "a é  b", "☃☃ ab", "<0x61>", "a<0x61>▁b", "ab", " ", "", None, "▁ c"]
+    codec = sentencepiece_codec.Codec(unigram(False))
+    ids = [np.frombuffer(codec.encode([x or ""])[0][0], np.int32).tolist() for x in texts]
+    want = [x == codec.normalize(y or "")[1:].replace("▁", " ") for x, y in zip(decode(codec, ids), texts, strict=True)]
+    assert [texts[i] for i, x in enumerate(want) if not x] == ["<0x61>", "a<0x61>▁b"]  # a unigram model takes this for the byte
+    assert runs[0](pa.array(texts))["round_trip"].to_pylist() == want
+    assert whole == [ids[3], ids[4]]
+
+
 def test_damaged_models_are_refused():
     with pytest.raises((ValueError, IndexError)):
         sentencepiece_codec.parse_model(unigram(False)[:-3] + b"\xff")
