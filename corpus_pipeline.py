@@ -64,14 +64,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each row as often as the target mix says; some not at all. Repeated rows count, and are taken, each for itself."""
-    rows = numbered(docs, "mix-documents")
-    with Storage(spark) as own:
-        mix = mixing.mix(rows.withColumn("domain", mixing.source_domain(F.col("source"))), keep=[ROW])
-        copies = materialize(mix.where("copies > 0").select(F.col(ROW).alias("taken"), "copies"), "mix-copies")
-        own.release(but=1)
-    out = rows.join(copies, rows[ROW] == copies.taken)
-    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Takes each row as often as the target mix says; some not at all. Repeated rows count, and are taken, each for itself.
+
+    Texts go through the mix with their rows: only those of the buckets in which budgets end are shuffled.
+    """
+    named = docs.select(*COLUMNS, F.col("lang").alias("lang_"), F.col("source").alias("source_"))
+    mix = mixing.mix(named.withColumn("domain", mixing.source_domain(F.col("source"))), keep=["text", "n_chars", "lang_", "source_"])
+    out = mix.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("doc_id", "text", F.col("lang_").alias("lang"), F.col("source_").alias("source"), "n_chars")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

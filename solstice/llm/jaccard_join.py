@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix, shingle_sets
-from .shared import arrow_batches, connected_components, materialize
+from .shared import Storage, arrow_batches, connected_components, materialize
 
 #: Bits of the filter that keeps documents without a candidate from being cut into n-grams again: a fixed 1 MB.
 FILTER_BITS = 1 << 23
@@ -480,11 +480,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         described = materialize(describe(docs, words, common), "jaccard-rows")
         hot = common_grams(described, common)
         described = described.select("id", "cls", "n")
-        shared = materialize(shared_prefixes(docs, hot, words, percent), "jaccard-prefixes")
+        with Storage(spark) as passing:
+            shared = materialize(shared_prefixes(docs, hot, words, percent), "jaccard-prefixes")
     shared = shared.distinct()  # rows of common n-grams may come from several batches
     likely = shared.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared_of(F.col("n"), percent))
     likely = materialize(likely.select("cls"), "jaccard-likely", narrow=True)
     rows = materialize(shared.join(likely, "cls", "left_semi"), "jaccard-likely-rows")
+    passing.release()  # the prefixes that are still needed are stored
     grams = gram_sets(likely, docs, described, words)
     known = trie_links(rows, grams, hub_links(rows, grams, percent), percent)
     sets = materialize(described.groupBy("cls").agg(F.min("id").alias("id")), "jaccard-classes")

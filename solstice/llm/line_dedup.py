@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WHITE, ascii_lower, materialize, new_path
+from .shared import WHITE, ascii_lower, materialize, new_path, shuffles_deleted
 
 
 def line_key(line: Column) -> Column:
@@ -54,7 +54,8 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex}"
         # Dealt out by bucket first: one file for each, not one for each task and bucket.
         writer = df.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
-        writer.option("path", new_path(self.spark, name)).saveAsTable(name)
+        with shuffles_deleted(self.spark):
+            writer.option("path", new_path(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
 
     def runs(self) -> list[DataFrame]:

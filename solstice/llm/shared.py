@@ -88,10 +88,23 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     if narrow:
         df = df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Within it, a write's shuffle files are deleted when it is done, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bounds the bytes that Python gets in a batch in this session, for jobs that run later: rows may be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

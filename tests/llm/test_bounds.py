@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from solstice.llm import line_dedup, media_columns, mixing, sentencepiece_codec, shared, url_filter
@@ -102,3 +103,28 @@ def test_op5_verdicts_without_a_rule_agree_with_a_rule_left_out(spark):
     got = url_filter.filter_urls(pages, taught, rules=rules).select("page_id", "host", "path", "rule", "verdict", F.pmod(F.xxhash64("host", "path"), F.lit(4)).alias("m")).collect()
     unseen = [r.verdict == truth[r.page_id][1] for r in got if r.page_id in truth and truth[r.page_id][0] == left_out[1] and r.rule is None and r.m == 0]
     assert len(unseen) > 3 and np.mean(unseen) > 0.9
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = files()
+    rows = shared.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    end = time.time() + 10
+    while files() - before and time.time() < end:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_texts_of_the_mix_are_not_joined_by_row(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.select(*corpus_pipeline.COLUMNS)
+    out = corpus_pipeline.mixing_stage(spark, docs.unionByName(docs), "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number_" not in plan
+    assert out.exceptAll(docs.unionByName(docs).unionByName(docs.unionByName(docs))).count() == 0
