@@ -71,7 +71,8 @@ def ranked(rows: DataFrame, group: str, lead: str, order: list[str], mean: int =
     A group of any size is ranked in parallel: buckets of equal width over `lead`, `mean` rows each on average, are counted,
     running sums over the counts are the buckets' first ranks, and rows are numbered within their bucket.
     """
-    ends = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min(lead).cast("double").alias("_low"), F.max(lead).cast("double").alias("_high"))
+    # A table, so that Spark knows how few groups are: a plain join by group brings all rows of one to a task.
+    ends = stored(rows.groupBy(group).agg(F.count("*").alias("_n"), F.min(lead).cast("double").alias("_low"), F.max(lead).cast("double").alias("_high")))
     width = F.greatest((F.col("_high") - F.col("_low")) * mean / F.col("_n"), F.lit(1e-300))
     dealt = rows.join(ends, group).withColumn("_bucket", F.floor((F.col(lead).cast("double") - F.col("_low")) / width)).drop("_low", "_high")
     counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_c"))

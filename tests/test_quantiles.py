@@ -1,10 +1,12 @@
 """Exact quantiles against NumPy over groups with ties, signs, tails, nulls and a hot group."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from solstice.operators import quantiles
+from solstice.operators import matching, quantiles
 
 
 @pytest.mark.parametrize("probabilities", [[0.5], [0.0, 0.25, 0.95, 1.0]])
@@ -34,3 +36,16 @@ def test_quantiles_of_several_columns_and_of_nothing(spark):
     assert got == {(a, b): np.median([v for x, y, v in rows if (x, y) == (a, b)]) for a in range(2) for b in range(3)}
     assert quantiles.exact_quantiles(df.where("false"), ["a"], F.col("v"), [0.5]).count() == 0
     assert quantiles.exact_quantiles(df, [], F.col("v"), [0.5]).first().q == [np.median([v for *_, v in rows])]
+
+
+def test_ranks_do_not_bring_a_group_to_one_task(spark):
+    rows = spark.createDataFrame([("a" if k % 3 else "b", k * 7 % 1000, k) for k in range(3000)], "g string, lead long, k long").repartition(5)
+    out = matching.ranked(rows, "g", "lead", ["lead", "k"], mean=20)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [g#" in plan and not re.search(r"SortMergeJoin \[g#\d+\],", plan)
+    got = sorted((r.g, r["_rank"], r.k) for r in out.collect())
+    want = []
+    for g in "ab":
+        inside = sorted((k * 7 % 1000, k) for k in range(3000) if ("a" if k % 3 else "b") == g)
+        want += [(g, i, k) for i, (_, k) in enumerate(inside)]
+    assert got == want
