@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize, new_path
 
-#: Vectors in a tile, about; and rows of a tile that are compared with the other tile at once.
-TILE, STRIP = 4096, 512
-#: Tiles that a row of work compares one tile with.
-RUN = 8
+#: Vectors in a tile, about; and rows and columns of a tile pair that are compared at once.
+TILE, STRIP, WIDTH = 4096, 512, 512
+#: Tiles that a row of work compares one tile with; and tasks that the rows of work are dealt to, at most.
+RUN, TASKS = 8, 4096
+#: The part of the axes, leading ones, whose products bound a cosine.
+LEADING = 7 / 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -47,39 +50,66 @@ def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
     return axes[:, ::-1].copy()
 
 
-def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Side(NamedTuple):
+    """What a tile's vectors are compared by: the unit vectors, in single precision too, and their leading axes with the length of the rest as one more."""
+
+    exact: np.ndarray
+    single: np.ndarray
+    leading: np.ndarray
+
+
+def side(x: np.ndarray, axes: np.ndarray) -> Side:
+    x = unit(x)
+    k = math.ceil(x.shape[1] * LEADING)
+    along = x @ axes
+    return Side(x, x.astype(np.float32), np.column_stack([along[:, :k], np.sqrt((along[:, k:] ** 2).sum(axis=1))]).astype(np.float32))
+
+
+def true_at(mask: np.ndarray) -> np.ndarray:
+    """Where a mask is true, in its flat order: eight of a sparse one at a time."""
+    flat = mask.ravel()
+    cut = len(flat) // 8 * 8
+    some = np.flatnonzero(flat[:cut].view(np.uint64))
+    if len(some) * 32 > cut:
+        return np.flatnonzero(flat)
+    at = (some[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], cut + np.flatnonzero(flat[cut:])])
+
+
+def linked(a: Side, b: Side, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of a and b with cosine >= threshold (of one tile with itself: i < j).
 
-    Products are summed over the leading axes first. What the others can add is
-    at most the product of the rows' lengths along them; pairs that cannot
-    reach the threshold are left after each stage, and the rest get their full cosine
-    of the given components in double precision.
+    What the axes behind the leading ones can add is at most the product of the rows' lengths
+    along them: pairs that cannot reach the threshold are left after one product in single precision. The rest get their
+    whole cosine in it, and in double precision, of the given components, where that is too near to the threshold to tell.
     """
-    a, b = unit(a), unit(b)
-    ra, rb = a @ axes, b @ axes
-    dims = a.shape[1]
-    stops = sorted({max(1, math.ceil(dims * x)) for x in (0.25, 0.5, 0.75)} - {dims}) or [dims]
-    rest = [(np.sqrt(np.maximum(0, (ra[:, k:] ** 2).sum(axis=1))), np.sqrt(np.maximum(0, (rb[:, k:] ** 2).sum(axis=1)))) for k in stops]
-    # The bound of the first stage is one product: the lengths of the rest are one more axis.
-    left = np.column_stack([ra[:, : stops[0]], rest[0][0]]).astype(np.float32)
-    right = np.column_stack([rb[:, : stops[0]], rest[0][1]]).astype(np.float32).T.copy()
-    slack = 1e-4  # far above the rounding of single precision
-    for s in range(0, len(a), STRIP):
-        ii, jj = np.nonzero(left[s : s + STRIP] @ right >= np.float32(threshold - slack))
-        ii += s
-        if same:
-            ii, jj = ii[ii < jj], jj[ii < jj]
-        total = np.zeros(len(ii))
-        for n, k in enumerate(stops):
-            if n:
-                total += (ra[ii, stops[n - 1] : k] * rb[jj, stops[n - 1] : k]).sum(axis=1)
-                keep = total + rest[n][0][ii] * rest[n][1][jj] >= threshold - slack
-                ii, jj, total = ii[keep], jj[keep], total[keep]
+    slack = 1e-5 + 2.4e-7 * a.exact.shape[1]  # above the rounding of single precision
+    least = np.float32(threshold - slack)
+    right = b.leading.T.copy()
+    for s in range(0, len(a.exact), STRIP):
+        for t in range(s // WIDTH * WIDTH if same else 0, len(b.exact), WIDTH):
+            rows, cols = slice(s, s + STRIP), slice(t, t + WIDTH)
+            bound = a.leading[rows] @ right[:, cols]
+            at = true_at(bound >= least)
+            if len(at) * 16 > bound.size:
+                whole = a.single[rows] @ b.single[cols].T
+                at = np.flatnonzero(whole >= least)
+                cosine = whole.ravel()[at]
+                ii, jj = np.divmod(at, whole.shape[1])
+                ii, jj = ii + s, jj + t
+            elif len(at):
+                ii, jj = np.divmod(at, bound.shape[1])
+                ii, jj = ii + s, jj + t
+                cosine = np.einsum("ij,ij->i", a.single[ii], b.single[jj])
             else:
-                total = (ra[ii, :k] * rb[jj, :k]).sum(axis=1)
-        keep = (a[ii] * b[jj]).sum(axis=1) >= threshold
-        if keep.any():
-            yield ii[keep], jj[keep]
+                continue
+            keep = cosine >= np.float32(threshold + slack)
+            near = np.flatnonzero(~keep & (cosine >= least))
+            keep[near] = (a.exact[ii[near]] * b.exact[jj[near]]).sum(axis=1) >= threshold
+            if same:
+                keep &= ii < jj
+            if keep.any():
+                yield ii[keep], jj[keep]
 
 
 def least_labels(n: int, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
@@ -119,12 +149,16 @@ def compare_tiles(work: DataFrame, folder: str, axes: np.ndarray, dims: int, sin
         files, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for i, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = read_tile(files, f"{root}/{i}", dims, single)
+                one = read(files, f"{root}/{i}")
                 for j in range(first, last + 1):
-                    other = one if i == j else read_tile(files, f"{root}/{j}", dims, single)
+                    other = one if i == j else read(files, f"{root}/{j}")
                     if len(other[0]):
                         yield from compared(one, other, i == j)
 
+    def read(files, path):
+        ids, copies, x = read_tile(files, path, dims, single)
+        return ids, copies, side(x, axes) if len(ids) else None
+
     def compared(one, other, same):
         sides = [one] if same else [one, other]
         ids, copies = (np.concatenate([x[k] for x in sides]) for k in (0, 1))
@@ -133,11 +167,14 @@ def compare_tiles(work: DataFrame, folder: str, axes: np.ndarray, dims: int, sin
         order = np.argsort(ids)  # labels by rank, so that the smallest label is the smallest id
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        for ii, jj in linked(one[2], sides[-1][2], axes, threshold, same):
+        for ii, jj in linked(one[2], sides[-1][2], threshold, same):
             jj = jj + shift
-            np.add.at(degree, ii, copies[jj])
-            np.add.at(degree, jj, copies[ii])
-            label = least_labels(len(ids), np.concatenate([rank[ii], np.arange(len(ids))]), np.concatenate([rank[jj], label]))
+            # Sums of doubles are exact to 2^53 copies.
+            degree += np.bincount(ii, copies[jj], len(ids)).astype(np.int64) + np.bincount(jj, copies[ii], len(ids)).astype(np.int64)
+            p, q = rank[ii], rank[jj]
+            far = label[p] != label[q]
+            if far.any():
+                label = least_labels(len(ids), np.concatenate([p[far], np.arange(len(ids))]), np.concatenate([q[far], label]))
         found = np.flatnonzero(degree)
         if len(found):
             yield pa.RecordBatch.from_pydict({"id": ids[found], "degree": degree[found], "to": ids[order[label[rank[found]]]]})
@@ -190,7 +227,9 @@ def _links(vectors: DataFrame, dims: int, single: bool, threshold: float, tile:
     spans = spark.createDataFrame([(int(i), int(j)) for i, j in zip(order, last, strict=True)], "i int, last int")
     runs = spans.select("i", F.explode(F.sequence("i", "last", F.lit(RUN))).alias("first"), "last")
     runs = runs.select("i", "first", F.least("last", F.col("first") + RUN - 1).alias("last"))
-    return compare_tiles(runs.repartition("i", "first"), folder, axes, dims, single, threshold)
+    # Rows of work are short, so tasks are counted by them and not by bytes, which AQE would gather in one.
+    count = sum((int(j) - int(i)) // RUN + 1 for i, j in zip(order, last, strict=True))
+    return compare_tiles(runs.repartition(min(count, TASKS)), folder, axes, dims, single, threshold)
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
@@ -229,7 +268,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     classes = classes.join(degree, "id", "left").join(groups, "id", "left")
     classes = classes.select("v", F.coalesce("degree", F.lit(0)).alias("degree"), "copies", F.coalesce("component", "id").alias("component"))
     classes = materialize(classes, "vector-results")
-    out = rows.join(classes, "v", "left")
+    # A join sorts by the hash; rows that are no vector have one of their own.
+    key = F.when(F.col("v").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("v"))
+    out = rows.withColumn("h", key).join(classes.withColumn("h", F.xxhash64("v")), ["h", "v"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce(F.col("degree") + F.col("copies") - 1, F.lit(0)).alias("n_links"),

@@ -214,6 +214,32 @@ def test_vectors_equal_brute_force(spark, kind, tile):
     assert all(out[i] == (0, i, True) for i, _, _ in bad) and all(out[i][2] == (out[i][1] == i) for i in out)
 
 
+def test_tiles_are_many_tasks(spark):
+    x = np.random.default_rng(7).normal(size=(80, 8))
+    classes = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "id long, copies long, v array<double>")
+    work = embedding_dedup._links(classes, 8, False, 0.9, 4)
+    assert work.rdd.getNumPartitions() >= 20  # 210 pairs of tiles, but for some that the first axis rules out, by eights
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.08, 3.0])
+def test_pairs_of_tiles_equal_brute_force(spread):
+    rng = np.random.default_rng(8)
+    x = np.ones(24) + rng.normal(size=(700, 24)) * spread
+    half = rng.normal(size=24)
+    half -= half @ x[0] / (x[0] @ x[0]) * x[0]
+    for k, c in enumerate((0.9 - 1e-9, 0.9 + 1e-9, 0.9 - 1e-5, 0.9 + 1e-5)):  # cosines with the first that single precision cannot tell from 0.9
+        x[690 + k] = c * x[0] / np.linalg.norm(x[0]) + np.sqrt(1 - c * c) * half / np.linalg.norm(half)
+    u = embedding_dedup.unit(x)
+    axes = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.9), strict=True)}
+    one, other = embedding_dedup.side(x, axes), embedding_dedup.side(x[:601], axes)
+    pairs = lambda a, b, same: [(int(i), int(j)) for ii, jj in embedding_dedup.linked(a, b, 0.9, same) for i, j in zip(ii, jj, strict=True)]
+    found, across = pairs(one, one, True), pairs(one, other, False)
+    assert len(set(found)) == len(found) and set(found) == {(i, j) for i, j in want if i < j}
+    assert len(set(across)) == len(across) and set(across) == {(i, j) for i, j in want if j < 601}
+    assert ((0, 690) in found, (0, 691) in found, (0, 692) in found, (0, 693) in found) == (False, True, False, True)
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_vectors(table).count() == 0
