@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,15 +171,22 @@ def _made(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInPandas(lambda batches: (make(rows) for rows in batches), schema)
 
 
+def _with(df: DataFrame, make, schema: str, inputs: list[str]) -> DataFrame:
+    """df with columns that a NumPy function makes of others. Unlike _made()'s they are worked out only where they are read, and for rows that are left, so df need not be stored."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    @F.pandas_udf(schema)
+    def made(*columns: pd.Series) -> pd.DataFrame:
+        out = make(*[c.to_numpy() for c in columns])
+        return pd.DataFrame({n: out[:, k] for k, n in enumerate(names)})
+
+    return df.withColumn("_made", made(*inputs)).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in names])
+
+
 def _poses(spark, d) -> DataFrame:
     """Of five sources, each order a fiftieth of a second."""
     rows = table(spark, d, "orders").select(F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("source"), (F.col("o_orderkey") / 50.0).alias("t"))
-
-    def make(rows):
-        q = _swing(rows.source.to_numpy(), rows.t.to_numpy())
-        return rows.assign(**{f"q{c}": q[:, k] for k, c in enumerate("xyzw")})
-
-    return _made(rows, make, "source int, t double, qx double, qy double, qz double, qw double")
+    return _with(rows, _swing, "qx double, qy double, qz double, qw double", ["source", "t"])
 
 
 @query()
@@ -194,7 +202,7 @@ def gravity_fit(spark, d) -> DataFrame:
         down = calibration.turned(motion.conjugate(world), np.tile([0.0, 0.0, 1.0], (len(s), 1)))
         return rows.assign(**{f"d{c}": down[:, k] for k, c in enumerate("xyz")})
 
-    seen, poses = calibration.stored(_made(seen, make, "source int, t double, dx double, dy double, dz double")), calibration.stored(_poses(spark, d))
+    seen, poses = calibration.stored(_made(seen, make, "source int, t double, dx double, dy double, dz double")), _poses(spark, d)
     fits = calibration.stored(calibration.fit_gravity(seen, poses))
     scores = calibration.score_gravity(seen, poses, fits.where("status = 'fitted'")).select("source", F.col("largest_degrees").alias("scored_degrees"))
     return fits.join(scores, "source", "left").select("source", "samples", F.transform("mount", lambda x: F.round(x, 3)).alias("mount"), F.round("shift", 3).alias("shift"), F.round("largest_degrees", 2).alias("largest_degrees"), F.round("scored_degrees", 2).alias("scored_degrees"), "status")
@@ -206,16 +214,14 @@ def timing_fit(spark, d) -> DataFrame:
     c = F.col
     rows = table(spark, d, "lineitem").select((c("l_linenumber") % 5).cast("int").alias("source"), F.floor(c("l_orderkey") / 5).alias("pair"), (c("l_partkey") % 101 / 100 - 0.5).alias("r0"), (c("l_suppkey") % 101 / 100 - 0.5).alias("r1"), (c("l_extendedprice") % 7).alias("a"), (c("l_quantity") / 20).alias("b"))
 
-    def make(rows):
-        s, t0, r = rows.source.to_numpy(), rows.pair.to_numpy() * 0.1 + 0.5, rows[["r0", "r1"]].to_numpy()
-        ray = np.stack([np.cos(rows.a) * np.cos(rows.b), np.sin(rows.a) * np.cos(rows.b), np.sin(rows.b)], axis=1)
-        at = [t0 + 0.1 * k + r[:, k] * 0.02 * (1 + 0.1 * s) + 0.005 * s - 0.01 for k in (0, 1)]
-        seen = calibration.turned(motion.product(motion.conjugate(_swing(s, at[1])), _swing(s, at[0])), ray)
-        out = rows[["source", "pair"]].assign(t0=t0, t1=t0 + 0.1, r0=r[:, 0], r1=r[:, 1])
-        return out.assign(**{f"{n}{x}": v[:, k] for n, v in (("a", ray), ("b", seen)) for k, x in enumerate("xyz")})
-
-    tracks = _made(rows, make, "source int, pair long, t0 double, t1 double, r0 double, r1 double, " + ", ".join(f"{n}{x} double" for n in "ab" for x in "xyz"))
-    out = calibration.fit_image_timing(calibration.stored(tracks), calibration.stored(_poses(spark, d)), 0.02)
+    def make(s, t0, r0, r1, a, b):
+        ray = np.stack([np.cos(a) * np.cos(b), np.sin(a) * np.cos(b), np.sin(b)], axis=1)
+        at = [t0 + 0.1 * k + r * 0.02 * (1 + 0.1 * s) + 0.005 * s - 0.01 for k, r in ((0, r0), (1, r1))]
+        return np.concatenate([ray, calibration.turned(motion.product(motion.conjugate(_swing(s, at[1])), _swing(s, at[0])), ray)], axis=1)
+
+    rows = rows.select("*", (c("pair") * 0.1 + 0.5).alias("t0")).select("*", (c("t0") + 0.1).alias("t1"))
+    tracks = _with(rows, make, ", ".join(f"{n}{x} double" for n in "ab" for x in "xyz"), ["source", "t0", "r0", "r1", "a", "b"]).drop("a", "b")
+    out = calibration.fit_image_timing(tracks, _poses(spark, d), 0.02)
     return out.select("source", "tracks", F.round("shift", 4).alias("shift"), F.round("scale", 2).alias("scale"), (c("after_median") < c("before_median")).alias("better"), "status", "reasons")
 
 
